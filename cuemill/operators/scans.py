@@ -146,12 +146,59 @@ def ordinals(df: DataFrame, keys, order, block: Column, name: str = "pos") -> Da
     return out.withColumn(name, F.col("__n").cast("long")).drop("__n")
 
 
-def islands(df: DataFrame, keys, pos: str, keep: Column, name: str = "island") -> DataFrame:
-    """Number runs of neighbouring rows where ``keep`` holds; rows outside a run are dropped.
-    The number is the count of breaks before the row, so runs of one key have rising, not dense, numbers."""
+def blocked(df: DataFrame, keys, order, block: Column | None, local, summary, carry, merge) -> DataFrame:
+    """The general form of ``scan`` for running values whose parts depend on one another.
+
+    ``local(rows, window)`` adds columns inside a block, ``summary`` is a list of aggregates of a block,
+    ``carry(blocks, window)`` turns summaries into what each block receives from those before it, and
+    ``merge(rows)`` combines both. One pass, where a chain of scans would read its input again and again.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    rows = local(df.withColumn(BLK, block if block is not None else by_rows(order[0])), Window.partitionBy(*keys, BLK).orderBy(*order))
+    per_block = rows.groupBy(*keys, BLK).agg(*summary)
+    carried = carry(per_block, Window.partitionBy(*keys).orderBy(BLK))
+    return merge(rows.join(carried, keys + [BLK], "left")).drop(BLK)
+
+
+def runs(df: DataFrame, keys, pos: str, keep: Column, name: str = "run_no") -> DataFrame:
+    """Rows where ``keep`` holds, with the 1-based number of their run of neighbours. Dense per key."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     flagged = df.withColumn("__keep", F.coalesce(keep, F.lit(False)))
-    numbered = scan(flagged, keys, pos, None, **{name: sum_upto(F.when(F.col("__keep"), 0).otherwise(1))})
-    return numbered.filter("__keep").drop("__keep")
+
+    def local(rows, w):
+        opens = F.col("__keep") & ~F.lag("__keep", 1).over(w)
+        rows = rows.withColumn("__opens", F.coalesce(opens, F.lit(False)).cast("long"))
+        return rows.withColumn("__n", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def carry(blocks, w):
+        enters = F.col("__first") & ~F.coalesce(F.lag("__last").over(w), F.lit(False))
+        blocks = blocks.withColumn("__enters", enters.cast("long"))
+        base = F.coalesce(F.sum(F.col("__total") + F.col("__enters")).over(before(w)), F.lit(0)) + F.col("__enters")
+        return blocks.withColumn("__base", base).drop("__total", "__first", "__last", "__enters")
+
+    summary = [F.sum("__opens").alias("__total"), F.min_by("__keep", pos).alias("__first"), F.max_by("__keep", pos).alias("__last")]
+    out = blocked(flagged, keys, pos, None, local, summary, carry, lambda r: r.withColumn(name, F.col("__base") + F.col("__n")))
+    return out.filter("__keep").drop("__keep", "__opens", "__n", "__base")
+
+
+def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0, rows: int = BLOCK_ROWS):
+    """For a table whose ``pos`` has no gaps: copy the few rows at each block border to the block next door, so that
+    lag and lead up to ``back`` and ``ahead`` see them. One shuffle, and the input is read once. Returns the rows
+    and their window; finish with ``own_rows``."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    at, own = F.col(pos) % rows, F.floor(F.col(pos) / rows)
+    targets = [own]
+    if back:
+        targets.append(F.when(at >= rows - back, own + 1))
+    if ahead:
+        targets.append(F.when(at < ahead, own - 1))
+    spread = df.withColumn(BLK, F.explode(F.array_compact(F.array(*targets)))).withColumn("__own", F.col(BLK) == own)
+    return spread, Window.partitionBy(*keys, BLK).orderBy(pos)
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.filter("__own").drop("__own", BLK)
 
 
 def keep_first(df: DataFrame, key, order) -> DataFrame:

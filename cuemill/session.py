@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "cuemill", shuffle: int = 8) -> SparkSession:
@@ -37,3 +38,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a derived table to the shared folder and read it back: the plan above starts from the files, so a table
+    used several times is computed once, and a lost executor costs only a re-read."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
