@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions import numbers, rules, text
@@ -122,7 +122,11 @@ def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, u
         (mid2 >= 2 * (F.col("r_start") - eps)) & (mid2 <= 2 * (F.col("r_end") + eps)), bucket, "left")
     rated = placed.groupBy("media_id", "at_us", "to_us").agg(F.min_by(F.struct("r_pct", "r_unit"), F.col("r_unit")).alias("r")).select(
         "media_id", "at_us", "to_us", F.coalesce("r.r_pct", F.lit(100)).alias("speed_pct"), F.col("r.r_unit").alias(unit))
-    numbered = number_pieces(stage(rated, "parts"), by, unit, eps)
+
+    def same(cur, prev):
+        return (cur("at_us") - prev("to_us") <= eps) & (cur("speed_pct") == prev("speed_pct")) & cur(unit).eqNullSafe(prev(unit))
+
+    numbered = scans.change_runs(stage(rated, "parts"), "media_id", "at_us", by, ["at_us", "to_us", "speed_pct", unit], same, "piece_no")
     p = numbered.groupBy("media_id", "piece_no").agg(
         F.min("at_us").alias("source_start_us"), F.max("to_us").alias("source_end_us"), F.min("speed_pct").alias("speed_pct"), F.min(unit).alias(unit))
     length = F.col("source_end_us") - F.col("source_start_us")
@@ -132,30 +136,6 @@ def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, u
         "media_id", "piece_no", "source_start_us", "source_end_us", "speed_pct", unit, "output_start_us", "output_end_us")
 
 
-def number_pieces(parts: DataFrame, by, unit: str, eps: int) -> DataFrame:
-    """Number the runs of parts that touch and share speed and unit: 1, 2, ... in time order, in one pass."""
-    facts = F.struct("to_us", "speed_pct", unit)
-
-    def differs(start, pct, unit_value, prev):
-        same = (start - prev["to_us"] <= eps) & (pct == prev["speed_pct"]) & unit_value.eqNullSafe(prev[unit])
-        return (~F.coalesce(same, F.lit(False))).cast("long")
-
-    def local(rows, w):
-        rows = rows.withColumn("__p", F.lag(facts).over(w))
-        new = F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(differs(F.col("at_us"), F.col("speed_pct"), F.col(unit), F.col("__p")))
-        return rows.withColumn("__new", new).withColumn("__n", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def carry(blocks, w):
-        f = F.col("__first")
-        blocks = blocks.withColumn("__enters", differs(f["at_us"], f["speed_pct"], f[unit], F.lag("__last").over(w)))
-        base = F.coalesce(F.sum(F.col("__total") + F.col("__enters")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__enters")
-        return blocks.withColumn("__base", base).drop("__first", "__last", "__total", "__enters")
-
-    summary = [F.sum("__new").alias("__total"), F.min_by(F.struct("at_us", "speed_pct", unit), "at_us").alias("__first"), F.max_by(facts, "at_us").alias("__last")]
-    out = scans.blocked(parts, "media_id", "at_us", by, local, summary, carry, lambda r: r.withColumn("piece_no", F.col("__base") + F.col("__n")))
-    return out.drop("__p", "__new", "__n", "__base")
-
-
 def map_time(points: DataFrame, pieces: DataFrame, at: str = "at_us", point_id: str = "point_id", out: str = "mapped_us") -> DataFrame:
     """Source time to output time. The first piece that holds the time (0.5 ms either side) maps it; in a removed gap
     the piece before gives its end; before everything it is 0. As-of scan over pieces, with the two pieces before

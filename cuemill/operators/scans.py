@@ -182,6 +182,29 @@ def runs(df: DataFrame, keys, pos: str, keep: Column, name: str = "run_no") -> D
     return out.filter("__keep").drop("__keep", "__opens", "__n", "__base")
 
 
+def change_runs(df: DataFrame, keys, order, block: Column | None, facts, same, name: str = "run_no") -> DataFrame:
+    """1-based number of the run each row belongs to; a new run starts where ``same(current, previous)`` is not true.
+    Both arguments are functions from a column name in ``facts`` to a Column."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    breaks = lambda cur, prev: (~F.coalesce(same(cur, lambda n: prev[n]), F.lit(False))).cast("long")
+
+    def local(rows, w):
+        rows = rows.withColumn("__p", F.lag(F.struct(*facts)).over(w))
+        new = F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(breaks(F.col, F.col("__p")))
+        return rows.withColumn("__new", new).withColumn("__n", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def carry(blocks, w):
+        blocks = blocks.withColumn("__enters", breaks(lambda n: F.col("__first")[n], F.lag("__last").over(w)))
+        base = F.coalesce(F.sum(F.col("__total") + F.col("__enters")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__enters")
+        return blocks.withColumn("__base", base).drop("__first", "__last", "__total", "__enters")
+
+    summary = [F.sum("__new").alias("__total"), F.min_by(F.struct(*facts), at).alias("__first"), F.max_by(F.struct(*facts), at).alias("__last")]
+    out = blocked(df, keys, order, block, local, summary, carry, lambda r: r.withColumn(name, F.col("__base") + F.col("__n")))
+    return out.drop("__p", "__new", "__n", "__base")
+
+
 def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0, rows: int = BLOCK_ROWS):
     """For a table whose ``pos`` has no gaps: copy the few rows at each block border to the block next door, so that
     lag and lead up to ``back`` and ``ahead`` see them. One shuffle, and the input is read once. Returns the rows

@@ -155,14 +155,15 @@ def entry_context(segments: DataFrame, words: DataFrame, filler: str = text.char
     w = scans.scan(words.withColumn("__filler", text.is_filler("text", filler)), "media_id", "pos", None,
                    prev_end_ms=scans.lag("end_ms"), prev_filler=scans.lag("__filler"), prev_word_id=scans.lag("word_id"))
     w = w.select("media_id", "pos", "word_id", "start_ms", "__filler", "prev_end_ms", "prev_filler", "prev_word_id")
-    s = segments.select("media_id", "seg_no", "segment_id", "first_pos", "last_pos")
+    s = segments.select("media_id", "seg_no", "segment_id", "first_pos", "last_pos", "first_word_id", "last_word_id")
     inside = (F.col("pos") >= F.col("first_pos")) & (F.col("pos") <= F.col("last_pos"))
     j = bucketed_range_join(w, s, "media_id", F.col("pos"), F.col("first_pos"), F.col("last_pos"), inside, 4096)
     rank = F.when(~F.col("__filler") | (F.col("pos") == F.col("last_pos")), F.col("pos"))
-    row = F.struct("word_id", "pos", "start_ms", "prev_end_ms", "prev_filler", "prev_word_id", "first_pos")
+    row = F.struct("word_id", "pos", "start_ms", "prev_end_ms", "prev_filler", "prev_word_id", "first_pos", "first_word_id", "last_word_id")
     e = j.groupBy("media_id", "seg_no", "segment_id").agg(F.min_by(row, rank).alias("f")).select("media_id", "seg_no", "segment_id", "f.*")
     gap = F.col("start_ms") - F.col("prev_end_ms")
-    discarded = F.coalesce(F.col("prev_filler") & (gap <= rules.FILLER_REACH_US // 1000), F.lit(False))
+    listed = (F.col("prev_word_id") == F.col("first_word_id")) | (F.col("prev_word_id") == F.col("last_word_id"))
+    discarded = F.coalesce(F.col("prev_filler") & ~listed & (gap <= rules.FILLER_REACH_US // 1000), F.lit(False))
     lo, hi = (x // 1000 for x in rules.SPLICE_GAP_US)
     return e.select(
         "media_id", "seg_no", "segment_id", F.col("word_id").alias("first_meaningful_word_id"), (F.col("pos") - F.col("first_pos")).alias("leading_fillers"),

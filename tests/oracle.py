@@ -51,7 +51,9 @@ def compare(spark, con, q, sf_dir):
     df = q.run(spark, sf_dir)
     cols = sorted(df.columns)
     t = time.time()
-    got = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
+    arrow = df.toArrow()
+    lists = [[plain(v) for v in arrow.column(c).to_pylist()] for c in cols]
+    got = list(zip(*lists)) if lists else []
     SPENT["spark"] = time.time() - t
     cur = con.execute(q.sql)
     names = [d[0] for d in cur.description]
