@@ -23,9 +23,9 @@ def audit_word_order(words: DataFrame, media: DataFrame) -> DataFrame:
         ("normalized_word_illegal_overlap", "error", (F.col("__pe") >= 0) & (start < F.col("__pe") - rules.OVERLAP_TOLERANCE_MS), {"overlap_ms": F.col("__pe") - start}),
         ("normalized_word_outside_media", "error", (F.col("duration_ms") > 0) & (end > F.col("duration_ms") + rules.MEDIA_TOLERANCE_MS), {})], "pos")
     untimed = findings(words, [("normalized_word_invalid_timing", "error", start.isNull() | end.isNull(), {})], "pos")
-    first = words.groupBy("media_id", "word_id").agg(F.count(F.lit(1)).alias("__n"), F.min("pos").alias("__first")).filter((F.col("__n") > 1) | (F.coalesce("word_id", F.lit("")) == ""))
-    again = words.join(first, (words["media_id"] == first["media_id"]) & words["word_id"].eqNullSafe(first["word_id"])).filter(
-        (words["pos"] > F.col("__first")) | (F.coalesce(words["word_id"], F.lit("")) == "")).select(words["media_id"], words["pos"])
+    named = words.select("media_id", "pos", F.coalesce("word_id", F.lit("")).alias("__id"))
+    copies = named.groupBy("media_id", "__id").agg(F.count(F.lit(1)).alias("__n"), F.min("pos").alias("__first")).filter("__n > 1 OR __id = ''")
+    again = named.join(copies, ["media_id", "__id"]).filter("pos > __first OR __id = ''")
     return order.unionByName(untimed).unionByName(findings(again, [("normalized_word_id_invalid", "error", F.lit(True), {})], "pos"))
 
 
@@ -205,14 +205,13 @@ def audit_reveals(events: DataFrame, units: DataFrame, words: DataFrame) -> Data
     roles = ["evidence_start_word_id", "evidence_end_word_id", "earliest_allowed_word_id", "trigger_word_id", "fully_visible_by_word_id", "hold_until_word_id"]
     key = ["media_id", "segment_id", "visual_id"]
     u = units.withColumnRenamed("unit", "unit_kind")
-    e = scans.keep_first(events, key, "event_no")
-    copies = events.groupBy(*key).agg(F.count(F.lit(1)).alias("__copies"))
-    e = e.join(copies, key).join(u, key, "left")
+    first = events.groupBy(*key).agg(F.min("event_no").alias("__first"))
+    e = events.join(first, key).join(u, key, "left")
     unknown = findings(e, [
         ("semantic_reveal_unknown_visual", "error", F.col("unit_kind").isNull(), {}),
-        ("semantic_reveal_duplicate_visual", "error", F.col("unit_kind").isNotNull() & (F.col("__copies") > 1), {}),
-        ("semantic_reveal_unit_mismatch", "error", F.col("unit_kind") != F.col("unit"), {})], "event_no")
-    known = e.filter(F.col("unit_kind").isNotNull())
+        ("semantic_reveal_duplicate_visual", "error", F.col("unit_kind").isNotNull() & (F.col("event_no") > F.col("__first")), {}),
+        ("semantic_reveal_unit_mismatch", "error", (F.col("event_no") == F.col("__first")) & (F.col("unit_kind") != F.col("unit")), {})], "event_no")
+    known = e.filter(F.col("unit_kind").isNotNull() & (F.col("event_no") == F.col("__first")))
     w = words.select("media_id", "word_id", F.col("pos").alias("__pos"), F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"))
     named = known.select("media_id", "event_no", F.explode(F.array(*[F.struct(F.lit(r).alias("role_name"), F.col(r).alias("word_id")) for r in roles])).alias("x")).select("media_id", "event_no", "x.*")
     j = named.join(w, ["media_id", "word_id"], "left")
