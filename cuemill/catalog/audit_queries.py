@@ -101,7 +101,7 @@ def _(spark, sf):
 # --- word and segment audits ----------------------------------------------------------------------------
 
 EW = """WITH w AS (SELECT user_id AS media_id, event_id AS pos, CASE WHEN event_id % 17 = 5 THEN '' ELSE 'w' || (event_id - event_id % 3)::VARCHAR END AS word_id,
-  CASE WHEN event_id % 13 <> 7 THEN event_id * 10 - (value * 10)::BIGINT END AS s, event_id * 10 + 300 - (value * 2)::BIGINT * (event_id % 5) AS e FROM events),
+  CASE WHEN event_id % 13 <> 7 THEN event_id * 10 - floor(value * 10)::BIGINT END AS s, event_id * 10 + 300 - floor(value * 2)::BIGINT * (event_id % 5) AS e FROM events),
 md AS (SELECT media_id, max(pos) * 10 - 200 AS d FROM w GROUP BY 1)"""
 
 
@@ -117,7 +117,7 @@ def _(spark, sf):
     e, v = F.col("event_id"), F.col("value")
     w = table(spark, sf, "events").select(
         F.col("user_id").alias("media_id"), e.alias("pos"), F.when(e % 17 == 5, "").otherwise(F.concat(F.lit("w"), (e - e % 3).cast("string"))).alias("word_id"),
-        F.when(e % 13 != 7, e * 10 - F.round(v * 10).cast("long")).alias("start_ms"), (e * 10 + 300 - F.round(v * 2).cast("long") * (e % 5)).alias("end_ms"))
+        F.when(e % 13 != 7, e * 10 - F.floor(v * 10).cast("long")).alias("start_ms"), (e * 10 + 300 - F.floor(v * 2).cast("long") * (e % 5)).alias("end_ms"))
     media = w.groupBy("media_id").agg((F.max("pos") * 10 - 200).alias("duration_ms"))
     return audits.audit_word_order(w, media).select("media_id", "subject_id", "rule")
 

@@ -33,3 +33,10 @@ def query(name: str, survey: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has too few splits to keep the cores busy before it is exploded. A large table has enough
+    splits of its own and is left as it is. ``key`` is the table's unique row id, so the parts come out even."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df

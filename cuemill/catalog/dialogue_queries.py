@@ -63,14 +63,14 @@ def _(spark, sf):
 
 @query("range_coverage", "C3", "WITH " + views.LINES + """,
 n AS (SELECT doc_id AS source_id, max(line_no) + 1 AS n_lines FROM lines GROUP BY 1),
-e AS (SELECT doc_id AS source_id, line_no + 1 AS ls, line_no + 1 + length(line) % 4 AS le FROM lines WHERE length(line) % 3 = 0),
+e AS (SELECT doc_id AS source_id, line_no + 1 AS ls, line_no + 1 + length(line) % 4 AS le FROM lines WHERE contains(line, ',')),
 c AS (SELECT DISTINCT source_id, unnest(range(ls, le + 1)) AS x FROM e), g AS (SELECT source_id, count(*) AS cited FROM c GROUP BY 1)
 SELECT n.source_id, n_lines, coalesce(cited, 0) AS cited_lines, coalesce(cited, 0)::DOUBLE / n_lines AS ratio FROM n LEFT JOIN g ON n.source_id = g.source_id""")
 def _(spark, sf):
     x = views.doc_lines(spark, sf).withColumnRenamed("doc_id", "source_id")
     n = x.groupBy("source_id").agg((F.max("line_no") + 1).alias("n_lines"))
     m = F.length("line")
-    e = x.filter(m % 3 == 0).select("source_id", F.col("line_no").alias("evidence_id"), (F.col("line_no") + 1).alias("line_start"), (F.col("line_no") + 1 + m % 4).alias("line_end"))
+    e = x.filter(F.contains(F.col('line'), F.lit(','))).select("source_id", F.col("line_no").alias("evidence_id"), (F.col("line_no") + 1).alias("line_start"), (F.col("line_no") + 1 + m % 4).alias("line_end"))
     return dialogue.range_coverage(e, n)
 
 

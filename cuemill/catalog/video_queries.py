@@ -12,27 +12,28 @@ from cuemill.operators import scans, videos, words
 
 
 @query("parse_counts", "P7", r"""
-WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN format('{:,}', l_extendedprice::BIGINT) WHEN 2 THEN l_quantity::INT || '.' || (l_orderkey % 10) || '万' WHEN 3 THEN l_quantity::INT || 'k'
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN format('{:,}', floor(l_extendedprice)::BIGINT) WHEN 2 THEN l_quantity::INT || '.' || (l_orderkey % 10) || '万' WHEN 3 THEN l_quantity::INT || 'k'
   WHEN 4 THEN '暂无' WHEN 5 THEN '' WHEN 6 THEN '约' || l_quantity::INT || '.' || (l_partkey % 10) || 'K 赞' ELSE l_quantity::INT || '.' || (l_partkey % 10) END AS raw FROM lineitem),
 n AS (SELECT *, try_cast(regexp_extract(replace(raw, ',', ''), '([\d.]+)', 1) AS DOUBLE) AS v FROM s)
 SELECT l_orderkey, l_linenumber, l_partkey, raw, coalesce(floor(v * CASE WHEN contains(raw, '万') THEN 10000.0::DOUBLE WHEN contains(lower(raw), 'k') THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END + 0.5::DOUBLE)::BIGINT, 0) AS n FROM n""")
 def _(spark, sf):
     q, i = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
     raw = (
-        F.when(i == 1, F.format_number(F.round("l_extendedprice").cast("long"), 0)).when(i == 2, F.concat(q, F.lit("."), (F.col("l_orderkey") % 10).cast("string"), F.lit("万"))).when(i == 3, F.concat(q, F.lit("k")))
+        F.when(i == 1, F.format_number(F.floor("l_extendedprice").cast("long"), 0)).when(i == 2, F.concat(q, F.lit("."), (F.col("l_orderkey") % 10).cast("string"), F.lit("万"))).when(i == 3, F.concat(q, F.lit("k")))
         .when(i == 4, "暂无").when(i == 5, "").when(i == 6, F.concat(F.lit("约"), q, F.lit("."), (F.col("l_partkey") % 10).cast("string"), F.lit("K 赞"))).otherwise(F.concat(q, F.lit("."), (F.col("l_partkey") % 10).cast("string"))))
     d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
     return d.withColumn("n", numbers.parse_count("raw"))
 
 
 @query("format_counts", "P8", """
-WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice::BIGINT // 10 ELSE o_totalprice::BIGINT END AS n FROM orders), t AS (SELECT *, n // 1000 + CASE WHEN n % 1000 >= 500 THEN 1 ELSE 0 END AS t FROM o WHERE n % 1000 <> 500)
-SELECT o_orderkey, CASE WHEN n >= 10000 THEN (t // 10)::VARCHAR || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || (t % 10) END || '万' ELSE n::VARCHAR END AS report,
-  CASE WHEN n >= 100000 THEN ((n + 5000) // 10000)::VARCHAR || '万' WHEN n >= 10000 THEN (t // 10)::VARCHAR || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || (t % 10) END || '万' ELSE format('{:,}', n) END AS card FROM t""")
-def _(spark, sf):
-    p = F.round("o_totalprice").cast("long")
-    # Exact halves are left to a fixture test: SQL engines round them by decimal text.
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.floor(p / 10)).otherwise(p).alias("n")).filter("n % 1000 <> 500")
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN floor(o_totalprice)::BIGINT // 10 ELSE floor(o_totalprice)::BIGINT END AS n FROM orders),
+x AS (SELECT *, n // 1000 AS t0, n % 1000 AS r, n / 10000.0::DOUBLE - floor(n / 10000.0::DOUBLE) AS part, ((n // 1000 % 10) * 2 + 1) / 20.0::DOUBLE AS mid FROM o),
+t AS (SELECT *, t0 + CASE WHEN r > 500 OR (r = 500 AND (part > mid OR (part = mid AND t0 % 2 = 1))) THEN 1 ELSE 0 END AS a, t0 + CASE WHEN r > 500 OR (r = 500 AND part >= mid) THEN 1 ELSE 0 END AS b FROM x)
+SELECT o_orderkey, CASE WHEN n >= 10000 THEN (a // 10)::VARCHAR || CASE WHEN a % 10 = 0 THEN '' ELSE '.' || (a % 10) END || '万' ELSE n::VARCHAR END AS report,
+  CASE WHEN n >= 100000 THEN ((n + 5000) // 10000)::VARCHAR || '万' WHEN n >= 10000 THEN (b // 10)::VARCHAR || CASE WHEN b % 10 = 0 THEN '' ELSE '.' || (b % 10) END || '万' ELSE format('{:,}', n) END AS card FROM t""")
+def _(spark, sf):
+    p = F.floor("o_totalprice").cast("long")
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.floor(p / 10)).otherwise(p).alias("n"))
     return o.select("o_orderkey", numbers.format_count("n").alias("report"), numbers.format_count("n", "card").alias("card"))
 
 
@@ -80,12 +81,12 @@ def _(spark, sf):
 
 
 @query("sample_times", "P34", """
-WITH d AS (SELECT o_orderkey, o_totalprice::BIGINT * 1000 AS d FROM orders), i AS (SELECT *, CASE WHEN d <= 12000000 THEN 2000000.0::DOUBLE WHEN d <= 60000000 THEN 3000000.0::DOUBLE WHEN d <= 180000000 THEN 5000000.0::DOUBLE
+WITH d AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * 1000 AS d FROM orders), i AS (SELECT *, CASE WHEN d <= 12000000 THEN 2000000.0::DOUBLE WHEN d <= 60000000 THEN 3000000.0::DOUBLE WHEN d <= 180000000 THEN 5000000.0::DOUBLE
   ELSE greatest(6000000.0::DOUBLE, d / 28.0::DOUBLE) END AS iv FROM d), c AS (SELECT *, least(28, greatest(1, ceil(d / iv)::INT)) AS n FROM i)
 SELECT o_orderkey, unnest(CASE WHEN d <= 0 THEN [0::BIGINT] WHEN n = 1 THEN [least(d // 2, greatest(0, d - 100000))] ELSE list_transform(range(n), lambda k: least(d - 100000, (k * d) // n + 250000)) END) AS at_us FROM c""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
-    return o.select("o_orderkey", F.explode(numbers.sample_times_us(F.round("o_totalprice").cast("long") * 1000)).alias("at_us"))
+    return o.select("o_orderkey", F.explode(numbers.sample_times_us(F.floor("o_totalprice").cast("long") * 1000)).alias("at_us"))
 
 
 PART = "SELECT p_partkey, '#' || lpad(to_hex(p_partkey * 7919 % 16777216), 6, '0') AS c1, CASE p_partkey % 4 WHEN 0 THEN 'White' WHEN 1 THEN '#' || lpad(to_hex(p_size * 80), 3, '0') WHEN 2 THEN 'rgb(' || p_size || ', ' || (p_partkey % 256) || ',10)' ELSE 'teal' END AS c2 FROM part"
@@ -250,13 +251,13 @@ def _(spark, sf):
 
 # --- ranking, reuse, sets ---------------------------------------------------------------------------------
 
-SEARCH = """WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS pos, CASE WHEN o_orderkey % 9 > 0 THEN 'u' || o_orderkey ELSE '' END AS url, o_orderpriority AS author, (o_totalprice::BIGINT) // 1000 AS likes FROM orders)"""
+SEARCH = """WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS pos, CASE WHEN o_orderkey % 9 > 0 THEN 'u' || o_orderkey ELSE '' END AS url, o_orderpriority AS author, (floor(o_totalprice)::BIGINT) // 1000 AS likes FROM orders)"""
 
 
 def search(spark, sf):
     return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.lit("u"), F.col("o_orderkey").cast("string"))).otherwise("").alias("url"),
-        F.col("o_orderpriority").alias("author"), F.floor(F.round("o_totalprice").cast("long") / 1000).alias("likes"))
+        F.col("o_orderpriority").alias("author"), F.floor(F.floor("o_totalprice").cast("long") / 1000).alias("likes"))
 
 
 @query("rank_search", "T2", SEARCH + """
@@ -289,9 +290,9 @@ def _(spark, sf):
 
 
 @query("best_run", "T5", """
-SELECT o_custkey, arg_min(o_orderkey, [-(o_totalprice::BIGINT // 50000), epoch_us(o_orderdate), o_orderkey]) AS run_id, max(o_totalprice::BIGINT // 50000) AS score, count(*) AS n_runs FROM orders GROUP BY 1""")
+SELECT o_custkey, arg_min(o_orderkey, [-(floor(o_totalprice)::BIGINT // 50000), epoch_us(o_orderdate), o_orderkey]) AS run_id, max(floor(o_totalprice)::BIGINT // 50000) AS score, count(*) AS n_runs FROM orders GROUP BY 1""")
 def _(spark, sf):
-    r = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("run_id"), F.floor(F.round("o_totalprice").cast("long") / 50_000).alias("score"), views.micros("o_orderdate").alias("mtime"))
+    r = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("run_id"), F.floor(F.floor("o_totalprice").cast("long") / 50_000).alias("score"), views.micros("o_orderdate").alias("mtime"))
     return videos.best_run(r, "o_custkey").select("o_custkey", "run_id", "score", "n_runs")
 
 

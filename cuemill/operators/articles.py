@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions import rules, text, urls
-from cuemill.operators import scans
 
 FRONTMATTER = r"(?s)^\x{FEFF}?---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)$"
 
@@ -230,32 +229,39 @@ def extract_tasks(df: DataFrame, column: str = "text") -> DataFrame:
         *rest, "line_no", (F.lower(F.regexp_extract("line", mark, 1)) == "x").alias("done"), F.regexp_extract("line", mark, 2).alias("task"))
 
 
-def emphasis_blocks(lines: DataFrame, key: str = "doc_id", pos: str = "line_no", column: str = "line") -> DataFrame:
-    """``::: emphasis`` to ``:::`` blocks outside code fences, with what is wrong with each.
-    Fences of either kind toggle by running count; a block holds the lines between its opening and its close."""
-    s = text.clean_ends(column)
-    fence = s.rlike("^(?:`{3,}|~{3,})").cast("int")
-    a = scans.scan(lines.withColumn("__s", s).withColumn("__f", fence), key, pos, __fences=scans.sum_before("__f"))
-    outside = (F.col("__fences") % 2 == 0) & (F.col("__f") == 0)
-    opens, closes = outside & (F.col("__s") == "::: emphasis"), outside & (F.col("__s") == ":::")
-    a = a.withColumn("__open", opens.cast("int")).withColumn("__close", closes.cast("int"))
-    b = scans.scan(a, key, pos, block_no=scans.sum_upto("__open"))
-    b = b.filter("block_no > 0")
-    c = scans.scan(b, [key, "block_no"], pos, scans.by_rows(pos), __closed=scans.sum_before("__close"))
-    inside = (F.col("__closed") == 0) & (F.col("__open") == 0) & (F.col("__close") == 0)
-    last_open = c.groupBy(key, "block_no").agg(
-        F.min(F.when(F.col("__open") == 1, F.col(pos))).alias("start_line"),
-        F.min(F.when((F.col("__close") == 1) & (F.col("__closed") == 0), F.col(pos))).alias("end_line"),
-        F.count_if(inside & (F.col("__s") != "")).alias("n_lines"),
-        F.count_if(inside & F.col(column).rlike(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+\.\s|!\[)")).alias("n_bad"),
-        F.max("block_no").alias("__b"))
-    total = c.groupBy(key).agg(F.max("block_no").alias("__last"))
-    out = last_open.join(total, key)
-    problem = (
-        F.when(F.col("end_line").isNull() & (F.col("block_no") < F.col("__last")), "nested")
-        .when(F.col("end_line").isNull(), "unclosed").when(F.col("n_lines") == 0, "empty")
-        .when(F.col("n_bad") > 0, "not_a_paragraph"))
-    return out.select(key, "block_no", "start_line", "end_line", "n_lines", problem.alias("problem"))
+def emphasis_blocks(df: DataFrame, column: str = "text") -> DataFrame:
+    """``::: emphasis`` to ``:::`` blocks outside code fences, with what is wrong with each: nested, unclosed, empty or
+    not_a_paragraph. A fold over the document's own lines, so it stays inside the row."""
+    rest = [c for c in df.columns if c != column]
+    block = F.array().cast("array<struct<start_line:int,end_line:int,n_lines:int,problem:string>>")
+    zero = F.lit(0)
+    start = F.struct(zero.alias("line"), F.lit("").alias("fence"), F.lit(-1).alias("open"), zero.alias("n"), zero.alias("bad"), block.alias("blocks"))
+
+    def done(s, end, problem):
+        row = F.struct(s["open"].alias("start_line"), end.alias("end_line"), s["n"].alias("n_lines"), problem.alias("problem"))
+        return F.concat(s["blocks"], F.array(row))
+
+    def step(s, raw):
+        t = text.clean_ends(raw)
+        token = F.substring(F.regexp_extract(t, "^(`{3,}|~{3,})", 1), 1, 1)
+        closed = s["open"] < 0
+        fence = F.when((token != "") & closed, F.when(s["fence"] == token, F.lit("")).otherwise(token)).otherwise(s["fence"])
+        opens = (fence == "") & (t == "::: emphasis")
+        closes = (fence == "") & (t == ":::") & ~closed
+        inside = ~closed & ~opens & ~closes
+        verdict = F.when(s["n"] == 0, "empty").when(s["bad"] > 0, "not_a_paragraph")
+        blocks = F.when(opens & ~closed, done(s, F.lit(None).cast("int"), F.lit("nested"))).when(closes, done(s, s["line"], verdict)).otherwise(s["blocks"])
+        odd = raw.rlike(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+\.\s|!\[)")
+        return F.struct(
+            (s["line"] + 1).alias("line"), fence.alias("fence"), F.when(opens, s["line"]).when(closes, F.lit(-1)).otherwise(s["open"]).alias("open"),
+            F.when(opens, zero).otherwise(s["n"] + (inside & (t != "")).cast("int")).alias("n"),
+            F.when(opens, zero).otherwise(s["bad"] + (inside & odd).cast("int")).alias("bad"), blocks.alias("blocks"))
+
+    def finish(s):
+        return F.when(s["open"] >= 0, done(s, F.lit(None).cast("int"), F.lit("unclosed"))).otherwise(s["blocks"])
+
+    found = F.aggregate(F.split(column, r"\r?\n"), start, step, finish)
+    return df.select(*rest, F.posexplode(found).alias("block_no", "b")).select(*rest, "block_no", "b.*")
 
 
 def resolve_assets(refs: DataFrame, assets: DataFrame, suffixes=tuple(rules.IMAGE_SUFFIXES)) -> DataFrame:

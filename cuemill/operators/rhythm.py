@@ -16,10 +16,7 @@ PIECE_BUCKET_US = 600_000_000
 
 def pauses(words: DataFrame, unit: str | None = "unit_id") -> DataFrame:
     """Gaps between neighbouring words (of one unit when given)."""
-    specs = {"after_word_id": scans.lag("word_id"), "gap_start_ms": scans.lag("end_ms")}
-    if unit:
-        specs["__unit"] = scans.lag(unit)
-    w = scans.scan(words, "media_id", "pos", None, **specs)
+    w = scans.previous(words, "media_id", "pos", after_word_id="word_id", gap_start_ms="end_ms", **({"__unit": unit} if unit else {}))
     w = w.withColumn("pause_ms", F.col("start_ms") - F.col("gap_start_ms")).filter("pause_ms > 0")
     if unit:
         w = w.filter(F.col("__unit") == F.col(unit)).drop("__unit")
@@ -30,8 +27,7 @@ def pauses(words: DataFrame, unit: str | None = "unit_id") -> DataFrame:
 def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTECTED_TEXT, with_text: bool = True) -> DataFrame:
     """Rhythm decision per unit: span, active and pause time, speech units, rates, protection, speed tier,
     pause edits, diagnosis, action, projected length and its class."""
-    specs = {"__pe": scans.lag("end_ms"), "__pu": scans.lag(unit)}
-    w = scans.scan(words, "media_id", "pos", None, **specs)
+    w = scans.previous(words, "media_id", "pos", __pe="end_ms", __pu=unit)
     gap = F.when(F.col("__pu") == F.col(unit), F.greatest(F.lit(0).cast("long"), F.col("start_ms") - F.col("__pe")))
     w = w.withColumn("__gap", gap)
     # The removal of a pause depends on the unit's speed, which is one of four tiers: sum it for each tier at once.

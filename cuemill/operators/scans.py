@@ -220,6 +220,18 @@ def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0,
     return spread, Window.partitionBy(*keys, BLK).orderBy(pos)
 
 
+def previous(df: DataFrame, keys, pos: str, **columns) -> DataFrame:
+    """Add values of the row before, for a table whose ``pos`` counts 0, 1, 2, ... without gaps. One shuffle, one read.
+    A gap at a block border would hide the row before, so it raises an error rather than give a wrong answer."""
+    spread, w = neighbourhood(df, keys, pos, back=1)
+    spread = spread.withColumn("__prev", F.lag(F.struct(*[F.col(c).alias(n) for n, c in columns.items()])).over(w))
+    out = own_rows(spread)
+    lost = F.col("__prev").isNull() & (F.col(pos) >= BLOCK_ROWS)
+    checked = F.when(lost, F.raise_error(F.lit(f"{pos} has gaps: number the rows with ordinals() first")).cast(out.schema["__prev"].dataType)).otherwise(F.col("__prev"))
+    out = out.withColumn("__prev", checked)
+    return out.select("*", *[F.col("__prev")[n].alias(n) for n in columns]).drop("__prev")
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("__own").drop("__own", BLK)
 

@@ -152,8 +152,8 @@ def map_anchors(anchors: DataFrame, mapped: DataFrame, total_ms: DataFrame | Non
 def entry_context(segments: DataFrame, words: DataFrame, filler: str = text.char_class(rules.FILLER_CHARS)) -> DataFrame:
     """How each segment begins: its first word after leading fillers, the word before that, and the context
     (opening, after-filler or normal) with the continuous-speech flag. Times in ms, gap rule 0.9 s."""
-    w = scans.scan(words.withColumn("__filler", text.is_filler("text", filler)), "media_id", "pos", None,
-                   prev_end_ms=scans.lag("end_ms"), prev_filler=scans.lag("__filler"), prev_word_id=scans.lag("word_id"))
+    w = scans.previous(words.withColumn("__filler", text.is_filler("text", filler)), "media_id", "pos",
+                       prev_end_ms="end_ms", prev_filler="__filler", prev_word_id="word_id")
     w = w.select("media_id", "pos", "word_id", "start_ms", "__filler", "prev_end_ms", "prev_filler", "prev_word_id")
     s = segments.select("media_id", "seg_no", "segment_id", "first_pos", "last_pos", "first_word_id", "last_word_id")
     inside = (F.col("pos") >= F.col("first_pos")) & (F.col("pos") <= F.col("last_pos"))
