@@ -260,7 +260,7 @@ def _(spark, sf):
 
 
 @query("sniff_images", "S13", """
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image/webp' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'image/bmp' END AS image_type, NOT (doc_id % 6 IN (1, 2) AND strlen(text) + CASE doc_id % 6 WHEN 1 THEN 4 ELSE 3 END <= 3000) AS needs_conversion FROM documents""")
+SELECT doc_id, CASE WHEN strlen(text) + [12, 4, 3, 4, 2, 0][doc_id % 6 + 1] < 12 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'image/webp' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'image/bmp' END END AS image_type, NOT (doc_id % 6 IN (1, 2) AND strlen(text) + [12, 4, 3, 4, 2, 0][doc_id % 6 + 1] >= 12 AND strlen(text) + CASE doc_id % 6 WHEN 1 THEN 4 ELSE 3 END <= 3000) AS needs_conversion FROM documents""")
 def _(spark, sf):
     i = F.col("doc_id") % 6
     magic = F.when(i == 0, "524946460000000057454250").when(i == 1, "89504E47").when(i == 2, "FFD8FF").when(i == 3, "47494638").when(i == 4, "424D").otherwise("")

@@ -108,9 +108,9 @@ next_after = _maker("next_after")
 next_from = _maker("next_from")
 
 
-def by_rows(pos: str, rows: int = BLOCK_ROWS) -> Column:
+def by_rows(pos: str, rows: int | None = None) -> Column:
     """Block id for a table with a dense ordinal column."""
-    return F.floor(F.col(pos) / F.lit(rows))
+    return F.floor(F.col(pos) / F.lit(rows or BLOCK_ROWS))
 
 
 def by_span(value: str, span: int) -> Column:
@@ -196,7 +196,9 @@ def change_runs(df: DataFrame, keys, order, block: Column | None, facts, same, n
         return rows.withColumn("__new", new).withColumn("__n", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def carry(blocks, w):
-        blocks = blocks.withColumn("__enters", breaks(lambda n: F.col("__first")[n], F.lag("__last").over(w)))
+        last = F.lag("__last").over(w)
+        enters = F.when(last.isNull(), F.lit(1).cast("long")).otherwise(breaks(lambda n: F.col("__first")[n], last))
+        blocks = blocks.withColumn("__enters", enters)
         base = F.coalesce(F.sum(F.col("__total") + F.col("__enters")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__enters")
         return blocks.withColumn("__base", base).drop("__first", "__last", "__total", "__enters")
 
@@ -205,11 +207,12 @@ def change_runs(df: DataFrame, keys, order, block: Column | None, facts, same, n
     return out.drop("__p", "__new", "__n", "__base")
 
 
-def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0, rows: int = BLOCK_ROWS):
+def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0, rows: int | None = None):
     """For a table whose ``pos`` has no gaps: copy the few rows at each block border to the block next door, so that
     lag and lead up to ``back`` and ``ahead`` see them. One shuffle, and the input is read once. Returns the rows
     and their window; finish with ``own_rows``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = rows or BLOCK_ROWS
     at, own = F.col(pos) % rows, F.floor(F.col(pos) / rows)
     targets = [own]
     if back:

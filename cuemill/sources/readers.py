@@ -94,16 +94,22 @@ def comment_rows(videos: DataFrame) -> DataFrame:
     return c.select("media_id", "pos", "c.*")
 
 
+def event_rows(lines: DataFrame) -> DataFrame:
+    """Parse text lines (``value``) of the event log. Parsing is by expression and names all columns, so a torn line is
+    known as such whichever columns a query uses."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    e = lines.filter(F.trim("value") != "").select(F.from_json("value", EVENT_SCHEMA, options).alias("e")).select("e.*")
+    return e.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """JSONL event log. A torn line, such as a last line cut short, is left out."""
-    e = spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return e.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return event_rows(spark.read.text(path))
 
 
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event log as a stream over a folder of JSONL files."""
-    e = spark.readStream.schema(EVENT_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
-    return e.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return event_rows(spark.readStream.text(folder))
 
 
 def read_ass(spark: SparkSession, path: str, style: str = SUBTITLE_STYLE) -> DataFrame:
