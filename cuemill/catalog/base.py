@@ -31,8 +31,13 @@ def query(name: str, survey: str, sql: str | None = None):
     return register
 
 
+# Tables of long texts and their unique row ids.
+ROW_IDS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, ROW_IDS[name]) if name in ROW_IDS else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuemill.catalog import views
 from cuemill.catalog.base import query, table
-from cuemill.operators import dialogue
+from cuemill.operators import dialogue, scans
 
 RUNS = """WITH t0 AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'user' WHEN role = 'assistant' AND length(text) % 5 = 0 THEN 'user' ELSE role END AS role, CASE WHEN length(text) % 7 = 0 THEN ' ' ELSE text END AS text FROM conversations),
 t1 AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS b FROM t0),
@@ -46,12 +46,12 @@ def _(spark, sf):
 
 
 @query("benchmark_quotes", "J14", """
-WITH k AS (SELECT item_id, regexp_extract(text, '^[^.\\n]+') AS quote FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS tok FROM documents)
-SELECT k.item_id, d.doc_id, instr(d.text, quote)::INT AS "offset" FROM k JOIN documents d ON instr(d.text, quote) > 0 WHERE length(quote) > 20""")
+WITH k AS (SELECT item_id, regexp_extract(text, '^[^.\\n]+') AS quote FROM benchmark)
+SELECT k.item_id, d.doc_id, instr(d.text, quote)::INT AS "offset" FROM k JOIN documents d ON instr(d.text, quote) > 0 WHERE length(quote) > 20 AND len(string_split(quote, ' ')) >= 3""")
 def _(spark, sf):
     # Documents meet an item only where they share the item's longest word, so the literal test runs on few pairs.
     d = table(spark, sf, "documents").select("doc_id", "text")
-    k = table(spark, sf, "benchmark").select("item_id", F.regexp_extract("text", "^[^.\\n]+", 0).alias("quote")).filter(F.length("quote") > 20)
+    k = table(spark, sf, "benchmark").select("item_id", F.regexp_extract("text", "^[^.\\n]+", 0).alias("quote")).filter((F.length("quote") > 20) & (F.size(F.split("quote", " ")) >= 3))
     inner = F.slice(F.split("quote", " "), 2, 1000)
     inner = F.slice(inner, F.lit(1), F.greatest(F.lit(0), F.size(inner) - 1))
     key = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
@@ -126,3 +126,10 @@ m AS (SELECT candidate_id, pos, 0 AS i, w1 AS word_id FROM i UNION ALL SELECT ca
 SELECT candidate_id, word_id, min(pos) AS pos, arg_min(i, [pos, i])::INT AS i FROM m GROUP BY 1, 2""")
 def _(spark, sf):
     return dialogue.candidate_members(items(spark, sf))
+
+
+@query("ordered_events", "T7", """
+SELECT event_id, user_id, (row_number() OVER (ORDER BY ts, user_id, event_type, event_id) - 1)::BIGINT AS place FROM events""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.lit(1).alias("all"), views.micros("ts").alias("at"), "user_id", "event_type", "event_id")
+    return scans.ordinals(e, "all", ["at", "user_id", "event_type", "event_id"], scans.by_span("at", views.EVENT_BLOCK_US), "place").select("event_id", "user_id", "place")

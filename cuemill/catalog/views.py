@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.catalog.base import spread, table
+from cuemill.catalog.base import table
 from cuemill.operators import scans
 
 # Common short words of the four languages stand in for fillers, so retained segments follow the text.
@@ -28,7 +28,7 @@ def micros(c) -> F.Column:
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """documents as word-timed transcripts: media_id, pos, word_id, text, start_ms, end_ms, unit_id, utterance_id."""
     toks = F.filter(F.split("text", r"[ \n\r\t]+"), lambda x: x != "")
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents")
     w = docs.select(F.col("doc_id").alias("media_id"), F.posexplode(toks).alias("pos", "text"))
     start = F.col("pos").cast("long") * 600 + (F.col("pos") * 53 + F.col("media_id") * 17) % 120
     return w.select(
@@ -91,7 +91,7 @@ segments AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY first_p
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 

@@ -47,7 +47,7 @@ def verify_quotes(evidence: DataFrame, sources: DataFrame, source_id: str = "sou
 
 def range_coverage(evidence: DataFrame, sources: DataFrame, source_id: str = "source_id") -> DataFrame:
     """Lines cited at least once against the lines of each source. ``evidence``: line_start, line_end (from 1, inclusive)."""
-    e = evidence.withColumn("__id", F.monotonically_increasing_id()) if "evidence_id" not in evidence.columns else evidence.withColumnRenamed("evidence_id", "__id")
+    e = evidence.withColumn("__id", F.lit(0)) if "evidence_id" not in evidence.columns else evidence.withColumnRenamed("evidence_id", "__id")
     e = scans.scan(e, source_id, ["line_start", "line_end", "__id"], scans.by_span("line_start", 4096), __reach=scans.max_before("line_end"))
     cited = F.greatest(F.lit(0), F.col("line_end") - F.greatest(F.col("line_start") - 1, F.coalesce("__reach", F.lit(0))))
     g = e.groupBy(source_id).agg(F.sum(cited).cast("long").alias("cited_lines"))

@@ -26,24 +26,24 @@ def local_session(cores: str = "*", app: str = "cuemill", shuffle: int = 8) -> S
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a temporary one only where none is set."""
+_local_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    local = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+        return named.rstrip("/")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folder
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a derived table to the shared folder and read it back: the plan above starts from the files, so a table
     used several times is computed once, and a lost executor costs only a re-read."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuemill.functions import rules
-from cuemill.session import ensure_checkpoint_dir
+from cuemill.session import shared_folder
 
 
 def latest_stage(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -79,7 +79,7 @@ def speech_regions_stream(frames: DataFrame, enter: float = rules.ENTER_THRESHOL
 def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     """Run an append-mode stream over all input at hand into files of the shared folder, and read them as a table."""
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
          .trigger(availableNow=True).start(f"{base}/rows"))
     q.awaitTermination()
