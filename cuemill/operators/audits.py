@@ -226,7 +226,7 @@ def audit_reveals(events: DataFrame, units: DataFrame, words: DataFrame) -> Data
     known = known.join(at, ["media_id", "event_no"]).join(want, ["media_id", "event_no"], "left")
     ranged = known.filter((F.col("__unmapped") == 0) & (F.col("p0") <= F.col("p1"))).select("media_id", "event_no", "p0", "p1")
     spoken = joins.bucketed_range_join(
-        words.select("media_id", "pos", "text"), ranged, "media_id", F.col("pos"), F.col("p0"), F.col("p1"), (F.col("pos") >= F.col("p0")) & (F.col("pos") <= F.col("p1")), 4096)
+        words.select("media_id", "pos", "text"), ranged, "media_id", F.col("pos"), F.col("p0"), F.col("p1"), (F.col("pos") >= F.col("p0")) & (F.col("pos") <= F.col("p1")), 64)
     spoken = spoken.groupBy("media_id", "event_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("evidence"))
     known = known.join(spoken, ["media_id", "event_no"], "left")
     mapped = F.col("__unmapped") == 0

@@ -108,7 +108,7 @@ def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, u
     by = scans.by_span("at_us", PIECE_BUCKET_US)
     parts = scans.scan(points, "media_id", "at_us", by, to_us=scans.lead("at_us")).filter(F.col("to_us") - F.col("at_us") > eps)
     mid2 = F.col("at_us") + F.col("to_us")
-    bucket = 60_000_000
+    bucket = 10_000_000
     cut = joins.bucketed_range_join(
         parts, removals, "media_id", mid2 / 2, F.col("x_start") - eps, F.col("x_end") + eps,
         (mid2 >= 2 * (F.col("x_start") - eps)) & (mid2 <= 2 * (F.col("x_end") + eps)), bucket)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cuemill.functions import rules, text
 from cuemill.operators import scans
 from cuemill.operators.joins import bucketed_range_join
+from cuemill.operators.words import POS_BUCKET
 from cuemill.session import stage
 
-TIME_BUCKET_MS = 60_000
+TIME_BUCKET_MS = 10_000
 
 
 def retained_segments(words: DataFrame, prefix: str = "keep") -> DataFrame:
@@ -125,7 +126,7 @@ def compact_retained(words: DataFrame) -> DataFrame:
     kept = words.filter(~F.col("deleted"))
     inside = (F.col("pos") >= F.col("first_pos")) & (F.col("pos") <= F.col("last_pos"))
     placed = bucketed_range_join(kept, segs.select("media_id", "seg_no", "first_pos", "last_pos", "source_start_ms", "output_start_ms"), "media_id",
-                                 F.col("pos"), F.col("first_pos"), F.col("last_pos"), inside, 4096)
+                                 F.col("pos"), F.col("first_pos"), F.col("last_pos"), inside, POS_BUCKET)
     shift = F.col("output_start_ms") - F.col("source_start_ms")
     m = floor_durations(placed, ["media_id", "seg_no"], "pos", F.col("start_ms") + shift, F.col("end_ms") + shift, F.col("output_start_ms"))
     return m.withColumnRenamed("output_word_start", "planned_start_ms").withColumnRenamed("output_word_end", "planned_end_ms").drop("first_pos", "last_pos")
@@ -157,7 +158,7 @@ def entry_context(segments: DataFrame, words: DataFrame, filler: str = text.char
     w = w.select("media_id", "pos", "word_id", "start_ms", "__filler", "prev_end_ms", "prev_filler", "prev_word_id")
     s = segments.select("media_id", "seg_no", "segment_id", "first_pos", "last_pos", "first_word_id", "last_word_id")
     inside = (F.col("pos") >= F.col("first_pos")) & (F.col("pos") <= F.col("last_pos"))
-    j = bucketed_range_join(w, s, "media_id", F.col("pos"), F.col("first_pos"), F.col("last_pos"), inside, 4096)
+    j = bucketed_range_join(w, s, "media_id", F.col("pos"), F.col("first_pos"), F.col("last_pos"), inside, POS_BUCKET)
     rank = F.when(~F.col("__filler") | (F.col("pos") == F.col("last_pos")), F.col("pos"))
     row = F.struct("word_id", "pos", "start_ms", "prev_end_ms", "prev_filler", "prev_word_id", "first_pos", "first_word_id", "last_word_id")
     e = j.groupBy("media_id", "seg_no", "segment_id").agg(F.min_by(row, rank).alias("f")).select("media_id", "seg_no", "segment_id", "f.*")

@@ -13,7 +13,7 @@ from cuemill.operators import scans
 from cuemill.operators.findings import findings
 from cuemill.operators.joins import bucketed_range_join
 
-POS_BUCKET = 4096
+POS_BUCKET = 64
 
 
 def explode_words(utts: DataFrame) -> DataFrame:
