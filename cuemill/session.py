@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,15 @@ _local_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. A session on this machine only, as in tests, gets a
+    temporary one; on a cluster without that setting there is no folder all executors see, which is an error."""
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _local_folder
