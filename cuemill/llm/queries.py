@@ -65,3 +65,41 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
+
+
+@query("op6_quality_rules")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.quality import STATS, quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.select("doc_id", *STATS, "base_failed", "kept", "log_ppl", "low", "high")
+
+
+VECTORS_SQL = """
+WITH v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  WITH RECURSIVE r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN links l ON r.y = l.x) SELECT * FROM r
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, min(r.y) AS component_id, e.vec_id = min(r.y) AS kept
+FROM embeddings e JOIN reach r ON r.x = e.vec_id GROUP BY e.vec_id
+"""
+
+
+@query("op2_embedding_near_dedup", VECTORS_SQL)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
