@@ -103,3 +103,11 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op10_run_length_index")
+def run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.rindex import drop_repeated_passages
+
+    found = drop_repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
