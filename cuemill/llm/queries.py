@@ -111,3 +111,31 @@ def run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = drop_repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_language_id")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 low quality, 2 good."""
+    from cuemill.llm.classifier import classify
+
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    return classify(table(spark, sf_dir, "documents", "doc_id", "text"), ratings).select("doc_id", "expected_grade", F.get("p_at_least", F.lit(0)).alias("p_not_toxic"), F.col("p_top").alias("p_good"), "kept")
+
+
+@query("op4_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id."""
+    from cuemill.llm.licenses import scan_licenses
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    none = F.lit("none")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.coalesce(F.col("doc_id").cast("string"), none)).alias("path"), "text")
+    return scan_licenses(files, "doc_id")
