@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import rules
 from cuemill.operators import joins, scans
+from cuemill.session import stage
 
 FRAME_BUCKET = 4096
 
@@ -52,12 +53,13 @@ def activity(frames: DataFrame, thresholds: DataFrame, level: str = "level_db")
 
 def smooth(frames: DataFrame, flag: str = "active", out: str = "smoothed") -> DataFrame:
     """Close single-frame holes, then drop single-frame spikes; first and last frame stay as they are."""
-    f, w = scans.neighbourhood(frames, "media_id", "frame", back=2, ahead=2)
-    prev, nxt = F.lag(flag).over(w), F.lead(flag).over(w)
-    f = f.withColumn("__closed", F.col(flag) | F.coalesce(prev & nxt, F.lit(False)))
-    lone = ~F.lag("__closed").over(w) & ~F.lead("__closed").over(w)
-    f = f.withColumn(out, F.col("__closed") & ~F.coalesce(lone, F.lit(False)))
-    return scans.own_rows(f).drop("__closed")
+    f = scans.neighbours(frames, "media_id", "frame", [flag], back=2, ahead=2)
+    prev, prev2 = scans.at_end("__before")[flag], scans.at_end("__before", 2)[flag]
+    nxt, nxt2 = F.get("__after", F.lit(0))[flag], F.get("__after", F.lit(1))[flag]
+    closed = lambda own, before, after: own | F.coalesce(before & after, F.lit(False))
+    lone = ~closed(prev, prev2, F.col(flag)) & ~closed(nxt, F.col(flag), nxt2)
+    smoothed = closed(F.col(flag), prev, nxt) & ~F.coalesce(lone, F.lit(False))
+    return f.withColumn(out, smoothed).drop("__before", "__after")
 
 
 def speech_regions(frames: DataFrame, value: str = "p_speech", enter: float = rules.ENTER_THRESHOLD, leave: float = rules.EXIT_THRESHOLD,
@@ -67,10 +69,11 @@ def speech_regions(frames: DataFrame, value: str = "p_speech", enter: float = ru
 
     A frame is an opening event, a closing event, or neither; the last event decides the state, and all frames of one
     region share the same last closing frame."""
-    f, w = scans.neighbourhood(frames.select("media_id", "frame", value), "media_id", "frame", back=run - 1)
-    low = F.count_if(F.col(value) < leave).over(w.rowsBetween(-(run - 1), 0)) == run
-    event = F.when(F.col(value) >= enter, 1).when(low, 0)
-    f = scans.own_rows(f.withColumn("__event", event))
+    f, low = frames.select("media_id", "frame", value), F.col(value) < leave
+    if run > 1:
+        f = scans.neighbours(f, "media_id", "frame", [value], back=run - 1)
+        low = low & (F.size("__before") == run - 1) & F.forall("__before", lambda x: x[value] < leave)
+    f = f.withColumn("__event", F.when(F.col(value) >= enter, 1).when(low, 0)).drop("__before")
     f = scans.scan(f, "media_id", "frame", None, __on=scans.last_upto(F.when(F.col("__event") == 1, F.col("frame"))),
                    __off=scans.last_upto(F.when(F.col("__event") == 0, F.col("frame"))))
     live = f.filter(F.col("__on") > F.coalesce("__off", F.lit(-1)))
@@ -119,18 +122,18 @@ def nearest_in_window(asked: DataFrame, facts: DataFrame, fact_at: str, width: i
 
 def nearest_quiet(asked: DataFrame, frames: DataFrame, flag: str = "smoothed", frame_us: int = rules.FRAME_US) -> DataFrame:
     """Grid point nearest to the target in [lo, hi] (microseconds) whose frame and the one before are quiet."""
-    f, w = scans.neighbourhood(frames.select("media_id", "frame", flag), "media_id", "frame", back=1)
-    quiet = scans.own_rows(f.withColumn("__q", ~F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False)))).filter("__q")
+    f = scans.previous(frames.select("media_id", "frame", flag), "media_id", "frame", __prev=flag)
+    quiet = f.filter(~F.col(flag) & ~F.coalesce("__prev", F.lit(False)))
     facts = quiet.select("media_id", (F.col("frame") * frame_us).alias("grid_us"))
     grid = lambda c: F.floor(F.col(c) / frame_us) * frame_us
     return nearest_in_window(asked.filter("hi >= lo").withColumn("lo", grid("lo")).withColumn("hi", grid("hi")), facts, "grid_us", FRAME_BUCKET * frame_us)
 
 
 def zero_crossings(samples: DataFrame) -> DataFrame:
-    f, w = scans.neighbourhood(samples.select("media_id", "i", "v"), "media_id", "i", back=1)
-    prev = F.lag("v").over(w)
+    f = scans.previous(samples.select("media_id", "i", "v"), "media_id", "i", __prev="v")
+    prev = F.col("__prev")
     hit = (F.col("v") == 0) | (prev == 0) | ((prev < 0) & (F.col("v") > 0)) | ((prev > 0) & (F.col("v") < 0))
-    return scans.own_rows(f.withColumn("__hit", hit & prev.isNotNull())).filter("__hit").select("media_id", "i")
+    return f.filter(hit & prev.isNotNull()).select("media_id", "i")
 
 
 def nearest_zero_cross(asked: DataFrame, samples: DataFrame, width: int = 1 << 20) -> DataFrame:
@@ -185,17 +188,18 @@ def refine_boundaries(segments: DataFrame, context: DataFrame, frames: DataFrame
     next_word_start_us; ``window``: media_id, window_start_us, window_end_us; audio offset 0.
 
     A start depends on the end before it, but no end depends on a start. So all ends are found first, handed on with a
-    lag, and then all starts: three look-ups, no row-after-row loop.
+    lag, and then all starts: three look-ups, no row-after-row loop. The rows per segment, a small table beside frames and
+    samples, are written between these steps, so that each look-up reads its own inputs once.
     """
     r = rules
     zero = F.lit(0).cast("long")
     s = segments.join(context, ["media_id", "seg_no"]).join(words_after, ["media_id", "seg_no"], "left").join(window, "media_id")
-    s = scans.scan(s, "media_id", "seg_no", None, next_start_us=scans.lead("source_start_us"))
+    s = scans.scan(stage(s, "entries"), "media_id", "seg_no", None, next_start_us=scans.lead("source_start_us"))
     tail = F.least(F.col("window_end_us"), F.col("source_end_us") + r.MAX_TAIL_US, F.coalesce("next_start_us", "window_end_us") - 10_000)
     nw = F.col("next_word_start_us")
     s = s.withColumn("upper_tail_us", F.when(nw.isNotNull() & (nw >= F.col("last_end_us")), F.least(tail, nw)).otherwise(tail))
     count = frames.groupBy("media_id").agg((F.max("frame")).alias("__max_frame"))
-    s = s.join(count, "media_id")
+    s = stage(s.join(count, "media_id"), "tails")
     index = lambda c: F.least(F.col("__max_frame"), F.greatest(zero, F.floor(c / r.FRAME_US)))
     asked = s.select("media_id", F.col("seg_no").alias("query_id"), index(F.greatest(zero, F.col("last_end_us") - 20_000)).alias("from_frame"), index(F.col("upper_tail_us")).alias("to_frame"))
     quiet = first_quiet_run(asked, frames, flag).select("media_id", F.col("query_id").alias("seg_no"), (F.col("quiet_frame") * r.FRAME_US).alias("quiet_us"))
@@ -206,7 +210,7 @@ def refine_boundaries(segments: DataFrame, context: DataFrame, frames: DataFrame
         F.least(F.col("upper_tail_us"), F.greatest(F.col("source_end_us"), F.col("last_end_us") + r.MIN_TAIL_US)))
     s = s.withColumn("tail_clear", F.col("quiet_us").isNotNull() & (end - F.col("speech_offset_us") >= r.MIN_TAIL_US - r.EPS_US))
     s = s.withColumn("refined_end_us", F.greatest(end, F.col("last_end_us") + F.least(F.lit(r.MIN_TAIL_US).cast("long"), F.greatest(zero, F.col("upper_tail_us") - F.col("last_end_us")))))
-    s = scans.scan(s, "media_id", "seg_no", None, __prev_end=scans.lag("refined_end_us"))
+    s = scans.scan(stage(s, "ends"), "media_id", "seg_no", None, __prev_end=scans.lag("refined_end_us"))
 
     pred, first, cont = F.col("predecessor_end_us"), F.col("first_start_us"), F.col("continuous")
     base = F.greatest(F.col("window_start_us"), F.when(F.col("seg_no") == 1, F.col("window_start_us")).otherwise(F.col("__prev_end") + 10_000))
@@ -215,10 +219,13 @@ def refine_boundaries(segments: DataFrame, context: DataFrame, frames: DataFrame
     s = s.withColumn("min_start_us", least)
     by_context = lambda d: F.when(F.col("entry_context") == "opening", d["opening"]).when(F.col("entry_context") == "after-filler", d["after-filler"]).otherwise(d["normal"])
 
-    # Continuous speech: the zero crossing nearest to the first word.
     lo = F.greatest(F.col("__base"), pred - r.SPLICE_PREROLL_US)
     hi = F.least(F.col("source_end_us") - 250_000, first + r.SPLICE_POSTROLL_US)
     s = s.withColumn("__zlo", F.when(hi < lo, first).otherwise(lo)).withColumn("__zhi", F.when(hi < lo, first).otherwise(hi))
+    qlo = F.greatest(F.col("min_start_us"), first - by_context(r.HEADROOM_LIMIT_US))
+    qhi = F.least(first - r.MIN_HEADROOM_US, F.col("source_end_us") - 250_000)
+    s = stage(s.withColumn("__qlo", qlo).withColumn("__qhi", qhi), "starts")
+    # Continuous speech: the zero crossing nearest to the first word.
     total = samples.groupBy("media_id").agg(F.max("i").alias("__max_i"))
     z = s.filter(cont).join(total, "media_id").select(
         "media_id", F.col("seg_no").alias("query_id"),
@@ -230,9 +237,6 @@ def refine_boundaries(segments: DataFrame, context: DataFrame, frames: DataFrame
     # A speech onset near the entry, else a quiet point before the first word.
     onset = match_onset(s.filter(~cont).select("media_id", F.col("seg_no").alias("entry_id"), "entry_context", "first_start_us", "predecessor_end_us"), regions)
     onset = onset.select("media_id", F.col("entry_id").alias("seg_no"), "onset_us", "onset_peak")
-    qlo = F.greatest(F.col("min_start_us"), first - by_context(r.HEADROOM_LIMIT_US))
-    qhi = F.least(first - r.MIN_HEADROOM_US, F.col("source_end_us") - 250_000)
-    s = s.withColumn("__qlo", qlo).withColumn("__qhi", qhi)
     q = s.filter(~cont).select("media_id", F.col("seg_no").alias("query_id"), F.col("__qlo").alias("lo"), F.col("__qhi").alias("hi"),
                                F.greatest(F.col("__qlo"), first - by_context(r.HEADROOM_US)).alias("target"))
     q = nearest_quiet(q, frames, flag).select("media_id", F.col("query_id").alias("seg_no"), F.col("nearest").alias("__quiet"))

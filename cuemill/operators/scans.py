@@ -208,7 +208,7 @@ def change_runs(df: DataFrame, keys, order, block: Column | None, facts, same, n
 
 
 def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0, rows: int | None = None):
-    """For a table whose ``pos`` has no gaps: copy the few rows at each block border to the block next door, so that
+    """For a table whose ``pos`` this library numbered, so without gaps: copy the few rows at each block border to the block next door, so that
     lag and lead up to ``back`` and ``ahead`` see them. One shuffle, and the input is read once. Returns the rows
     and their window; finish with ``own_rows``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -223,16 +223,48 @@ def neighbourhood(df: DataFrame, keys, pos: str, back: int = 0, ahead: int = 0,
     return spread, Window.partitionBy(*keys, BLK).orderBy(pos)
 
 
+def neighbours(df: DataFrame, keys, pos: str, columns, back: int = 0, ahead: int = 0, rows: int | None = None) -> DataFrame:
+    """Add ``__before`` and ``__after``: the up to ``back`` rows before (nearest last) and ``ahead`` rows after (nearest first), as structs
+    of ``columns``. Positions may have gaps of any size and may start anywhere; the answer does not depend on the blocks.
+
+    Inside a block these are window frames. The few rows at the borders of each block are carried over the blocks that
+    exist: since each has a row at least, the last ``back`` blocks hold the last ``back`` rows."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    fact = F.struct(*columns)
+    block = by_rows(pos, rows)
+    inside, whole = Window.partitionBy(*keys, BLK).orderBy(pos), Window.partitionBy(*keys, BLK)
+    narrow = df.select(*keys, F.col(pos).alias("__p"), fact.alias("__f"), block.alias(BLK))
+    near = narrow.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, BLK).orderBy("__p"))).withColumn("__n", F.count(F.lit(1)).over(whole))
+    near = near.filter((F.col("__r") <= ahead) | (F.col("__r") > F.col("__n") - back))
+    row = F.struct("__p", "__f")
+    edges = near.groupBy(*keys, BLK).agg(
+        F.array_sort(F.collect_list(F.when(F.col("__r") <= ahead, row))).alias("__heads"),
+        F.array_sort(F.collect_list(F.when(F.col("__r") > F.col("__n") - back, row))).alias("__tails"))
+    over = Window.partitionBy(*keys).orderBy(BLK)
+    carried = edges.select(
+        *keys, BLK, F.flatten(F.collect_list("__tails").over(over.rowsBetween(-back, -1) if back else over.rowsBetween(0, 0))).alias("__tails"),
+        F.flatten(F.collect_list("__heads").over(over.rowsBetween(1, ahead) if ahead else over.rowsBetween(0, 0))).alias("__heads"))
+    out = df.withColumn(BLK, block)
+    made = {}
+    if back:
+        out = out.withColumn("__b", F.collect_list(fact).over(inside.rowsBetween(-back, -1)))
+        both = F.concat(F.col("__tails.__f"), F.col("__b"))
+        made["__before"] = F.slice(both, F.greatest(F.size(both) - back + 1, F.lit(1)), F.lit(back))
+    if ahead:
+        out = out.withColumn("__a", F.collect_list(fact).over(inside.rowsBetween(1, ahead)))
+        made["__after"] = F.slice(F.concat(F.col("__a"), F.col("__heads.__f")), F.lit(1), F.lit(ahead))
+    return out.join(carried, keys + [BLK]).withColumns(made).select(*df.columns, *made)
+
+
+def at_end(array: str, n: int = 1) -> Column:
+    """The ``n``-th element from the end, null where there are fewer."""
+    return F.get(array, F.size(array) - n)
+
+
 def previous(df: DataFrame, keys, pos: str, **columns) -> DataFrame:
-    """Add values of the row before, for a table whose ``pos`` counts 0, 1, 2, ... without gaps. One shuffle, one read.
-    A gap at a block border would hide the row before, so it raises an error rather than give a wrong answer."""
-    spread, w = neighbourhood(df, keys, pos, back=1)
-    spread = spread.withColumn("__prev", F.lag(F.struct(*[F.col(c).alias(n) for n, c in columns.items()])).over(w))
-    out = own_rows(spread)
-    lost = F.col("__prev").isNull() & (F.col(pos) >= BLOCK_ROWS)
-    checked = F.when(lost, F.raise_error(F.lit(f"{pos} has gaps: number the rows with ordinals() first")).cast(out.schema["__prev"].dataType)).otherwise(F.col("__prev"))
-    out = out.withColumn("__prev", checked)
-    return out.select("*", *[F.col("__prev")[n].alias(n) for n in columns]).drop("__prev")
+    """Add values of the row before, whatever the distance of its position."""
+    out = neighbours(df, keys, pos, list(dict.fromkeys(columns.values())), back=1)
+    return out.select(*df.columns, *[at_end("__before")[c].alias(n) for n, c in columns.items()])
 
 
 def own_rows(df: DataFrame) -> DataFrame:

@@ -12,6 +12,6 @@ from cuemill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("8", "tests", shuffle=4)
+    s = local_session(os.environ.get("TEST_CPUS", "8"), "tests", shuffle=4)
     yield s
     s.stop()

@@ -3,10 +3,9 @@
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cuemill.operators import joins, scans
+from cuemill.operators import frames, joins, scans
 from cuemill.operators.frames import speech_regions
 from cuemill.operators.segments import floor_durations
 
@@ -90,12 +89,37 @@ def test_floor_durations_recurrence(spark, seed):
         prev = e
 
 
-def test_previous_needs_dense_positions(spark):
-    dense = spark.range(20).select(F.lit(1).alias("k"), F.col("id").alias("pos"))
-    got = {r.pos: r.p for r in scans.previous(dense, "k", "pos", p="pos").collect()}
-    assert got == {i: i - 1 if i else None for i in range(20)}
-    with pytest.raises(PySparkException, match="gaps"):
-        scans.previous(dense.filter("pos <> 7"), "k", "pos", p="pos").collect()
+def test_previous_at_any_positions(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 8)
+    for at in (list(range(20)), [3, 7, 8, 9, 40, 41, 64, 200], [1000]):
+        df = spark.createDataFrame([(1, p) for p in at], "k int, pos long")
+        got = {r.pos: r.p for r in scans.previous(df, "k", "pos", p="pos").collect()}
+        assert got == dict(zip(at, [None, *at]))
+
+
+def test_neighbours_cross_empty_and_short_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 8)
+    at = [0, 7, 8, 23, 24, 25, 90, 100, 101, 102, 103, 104, 105, 106, 300]
+    df = spark.createDataFrame([(k, p) for k in (1, 2) for p in at], "k int, pos long")
+    for r in scans.neighbours(df, "k", "pos", ["pos"], back=3, ahead=2).collect():
+        i = at.index(r.pos)
+        assert [x.pos for x in r["__before"]] == at[max(0, i - 3) : i] and [x.pos for x in r["__after"]] == at[i + 1 : i + 3]
+
+
+def test_frame_rules_do_not_depend_on_the_offset(spark, monkeypatch):
+    """The same gapped series gives the same answer wherever it lies against the blocks."""
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 8)
+    gaps = [0, 1, 2, 4, 5, 6, 7, 11, 12, 13, 14, 15, 16, 30, 31, 32]
+    v = [-5, 5, 6, -1, 0, 3, 4, -4, -2, 2, 2, -1, -1, 9, -9, 1]
+    flag = [x > 0 for x in v]
+    seen = {"cross": set(), "smooth": set()}
+    for off in range(9):
+        samples = spark.createDataFrame([("m", off + i, x, f) for i, x, f in zip(gaps, v, flag)], "media_id string, i long, v int, active boolean")
+        seen["cross"].add(tuple(sorted(r.i - off for r in frames.zero_crossings(samples).collect())))
+        smoothed = frames.smooth(samples.withColumnRenamed("i", "frame")).collect()
+        seen["smooth"].add(tuple(r.smoothed for r in sorted(smoothed, key=lambda r: r.frame)))
+    assert len(seen["cross"]) == len(seen["smooth"]) == 1
+    assert 1 in next(iter(seen["cross"]))
 
 
 @pytest.mark.parametrize("seed", range(3))
