@@ -31,12 +31,6 @@ def bucketed_range_join(
     return joined.drop("__bucket", *[f"__r_{k.strip('_')}" for k in keys + ["__bucket"]])
 
 
-def _side(df: DataFrame, keys, at: str, tie: str, payload: Column, side: int) -> DataFrame:
-    return df.select(
-        *keys, F.col(at).alias("__at"), F.lit(side).alias("__side"), F.col(tie).cast("long").alias("__tie"), payload
-    )
-
-
 def asof(points: DataFrame, facts: DataFrame, keys, at: str, fact_at: str, fact_tie: str, width: int,
          point_id: str, next_too: bool = False) -> DataFrame:
     """For every point the last fact at or before it (``prev``) and, on request, the first at or after (``next``).
@@ -50,29 +44,19 @@ def asof(points: DataFrame, facts: DataFrame, keys, at: str, fact_at: str, fact_
     none_fact = F.lit(None).cast(facts.select(fact).schema[0].dataType).alias("__fact")
     none_point = F.lit(None).cast(points.select(point).schema[0].dataType).alias("__point")
 
-    # Order at one instant: facts from last listed to first listed, then points. So the last fact seen is the first listed.
-    f = facts.select(*keys, F.col(fact_at).alias("__at"), F.lit(0).alias("__side"),
-                     (-F.col(fact_tie).cast("long")).alias("__tie"), fact, none_point)
+    # Order at one instant: facts from last to first listed, points, facts from first to last listed. So the last fact
+    # before a point and the next one after it are both the first listed, and one scan finds both.
+    tie = F.col(fact_tie).cast("long")
+    turns = [F.struct(F.lit(0).alias("side"), (-tie).alias("tie"))] + ([F.struct(F.lit(2).alias("side"), tie.alias("tie"))] if next_too else [])
+    f = facts.select(*keys, F.col(fact_at).alias("__at"), F.explode(F.array(*turns)).alias("__t"), fact, none_point)
+    f = f.select(*keys, "__at", F.col("__t.side").alias("__side"), F.col("__t.tie").alias("__tie"), "__fact", "__point")
     p = points.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"),
                       F.col(point_id).cast("long").alias("__tie"), none_fact, point)
-    stacked = f.unionByName(p)
-    specs = {"prev": scans.last_upto("__fact")}
-    order = ["__at", "__side", "__tie"]
-    out = scans.scan(stacked, keys, order, scans.by_span("__at", width), **specs).filter("__side = 1")
-    cols = [F.col("__point")[c].alias(c) for c in points.columns if c not in keys]
-    out = out.select(*keys, *cols, "prev")
-    if not next_too:
-        return out
-    # Second pass with points before facts of the same instant, facts in listed order.
-    f2 = facts.select(*keys, F.col(fact_at).alias("__at"), F.lit(1).alias("__side"),
-                      F.col(fact_tie).cast("long").alias("__tie"), fact, F.lit(None).cast("long").alias("__pid"))
-    p2 = points.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__side"),
-                       F.col(point_id).cast("long").alias("__tie"), none_fact, F.col(point_id).cast("long").alias("__pid"))
-    nxt = scans.scan(f2.unionByName(p2), keys, order, scans.by_span("__at", width), next=scans.next_from("__fact"))
-    nxt = nxt.filter("__side = 0").select(*keys, F.col("__pid"), "next")
-    return out.join(nxt, [*(out[k].eqNullSafe(nxt[k]) for k in keys), out[point_id] == nxt["__pid"]], "left").select(
-        *[out[c] for c in out.columns], nxt["next"]
-    )
+    specs = {"prev": scans.last_upto(F.when(F.col("__side") == 0, F.col("__fact")))}
+    if next_too:
+        specs["next"] = scans.next_from(F.when(F.col("__side") == 2, F.col("__fact")))
+    out = scans.scan(f.unionByName(p), keys, ["__at", "__side", "__tie"], scans.by_span("__at", width), **specs).filter("__side = 1")
+    return out.select(*keys, *[F.col("__point")[c].alias(c) for c in points.columns if c not in keys], *specs)
 
 
 def nearest(points: DataFrame, facts: DataFrame, keys, at: str, fact_at: str, fact_tie: str, width: int,
