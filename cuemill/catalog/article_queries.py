@@ -201,11 +201,11 @@ def _(spark, sf):
 
 
 @query("forbidden_keys", "P49", """
-SELECT event_id, unnest(['a.k', 'l[1].k', 'l[1].d[0].k']) AS path, false AS too_deep FROM events""")
+SELECT event_id, unnest(['a.k', 'l[1].k', 'l[1].d[0].k']) AS path FROM events""")
 def _(spark, sf):
     p = F.col("props")
     j = F.concat(F.lit('{"a":'), p, F.lit(',"l":[1,{"k":2,"d":['), p, F.lit("]}]}"))
-    return articles.forbidden_keys(table(spark, sf, "events").select("event_id", j.alias("props")), "props", ("k",), 6)
+    return articles.forbidden_keys(table(spark, sf, "events").select("event_id", j.alias("props")), "props", ("k",))
 
 
 @query("link_safety", "P53", r"""

@@ -155,13 +155,16 @@ cq AS (SELECT *, entry_strategy = 'continuous-speech-zero-cross-splice' AS spl,
 """
 
 
-@query("audit_cut_plan", "W18", WS + CUT + """
+CUT_FINDINGS = """
 SELECT media_id, segment_id AS subject_id, unnest(list_filter([CASE WHEN source_start_ms < ws OR source_end_ms > we THEN 'outside_source_window' END,
  CASE WHEN source_end_ms - source_start_ms < 250 THEN 'segment_too_short' END, CASE WHEN source_start_ms < coalesce(pe, ws) THEN 'overlap_or_unsorted' END,
  CASE WHEN lead_in < CASE WHEN spl THEN -2 ELSE 20 END OR lead_in > CASE WHEN spl THEN 4 ELSE 90 END THEN 'start_margin_out_of_range' END, CASE WHEN out_tail < 20 OR out_tail > 350 THEN 'end_margin_out_of_range' END,
  CASE WHEN NOT clean THEN 'unclean_segment_entry' END, CASE WHEN NOT tail_clear THEN 'unprotected_segment_tail' END, CASE WHEN cx IS NULL THEN 'entry_context_missing' END,
  CASE WHEN fi < 0 OR fi > CASE WHEN spl THEN 6 ELSE least(12, head) END THEN 'unsafe_fade_in' END, CASE WHEN fo < 0 OR fo > least(12, tail) THEN 'unsafe_fade_out' END,
- CASE WHEN head < CASE WHEN spl THEN 0 ELSE 20 END OR head > hmax THEN 'dynamic_headroom_out_of_range' END], lambda x: x IS NOT NULL)) AS rule FROM cq""")
+ CASE WHEN head < CASE WHEN spl THEN 0 ELSE 20 END OR head > hmax THEN 'dynamic_headroom_out_of_range' END], lambda x: x IS NOT NULL)) AS rule FROM cq"""
+
+
+@query("audit_cut_plan", "W18", WS + CUT + CUT_FINDINGS)
 def _(spark, sf):
     return cut_findings(spark, sf).select("media_id", "subject_id", "rule")
 
@@ -178,12 +181,10 @@ def cut_findings(spark, sf):
 
 
 @query("audit_verdict", "A16", WS + CUT + """,
-f AS (SELECT media_id, source_end_ms - source_start_ms < 250 AS a, NOT clean AS b, NOT tail_clear AS c FROM cq)
-SELECT d.doc_id AS media_id, count(*) FILTER (a) + count(*) FILTER (b) + count(*) FILTER (c) AS errors, 0::BIGINT AS warnings, count(*) FILTER (a OR b OR c) = 0 AS ok
-FROM documents d LEFT JOIN f ON d.doc_id = f.media_id GROUP BY 1""")
+f AS (""" + CUT_FINDINGS + """)
+SELECT d.doc_id AS media_id, count(f.media_id) AS errors, 0::BIGINT AS warnings, count(f.media_id) = 0 AS ok FROM documents d LEFT JOIN f ON d.doc_id = f.media_id GROUP BY 1""")
 def _(spark, sf):
-    f = cut_findings(spark, sf).filter(F.col("rule").isin("segment_too_short", "unclean_segment_entry", "unprotected_segment_tail"))
-    return findings.verdict(f, table(spark, sf, "documents"), "doc_id")
+    return findings.verdict(cut_findings(spark, sf), table(spark, sf, "documents"), "doc_id")
 
 
 @query("retained_fillers", "A25", WS + """

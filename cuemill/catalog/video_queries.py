@@ -189,28 +189,28 @@ def _(spark, sf):
 
 
 @query("attach_previous", "J11", "WITH " + views.LINES + """,
-v AS (SELECT doc_id, line_no, line, CASE WHEN length(line) >= 60 THEN substring(line, 1, 60) END AS t, nullif(regexp_extract(line, '^([A-Z][a-z]+) ', 1), '') AS a, CASE WHEN regexp_matches(line, '[0-9]') THEN regexp_extract(line, '([0-9]+)', 1) END AS n FROM lines)
+v AS (SELECT doc_id, line_no, line, CASE WHEN length(line) >= 60 THEN line END AS t, nullif(regexp_extract(line, '^([A-Z][a-z]+) ', 1), '') AS a, CASE WHEN regexp_matches(line, '[0-9]') THEN regexp_extract(line, '([0-9]+)', 1) END AS n FROM lines)
 SELECT doc_id, line_no, pt AS text, pa AS author, pn AS count_text FROM (SELECT *, last_value(t IGNORE NULLS) OVER b AS pt, last_value(a IGNORE NULLS) OVER b AS pa, first_value(n IGNORE NULLS) OVER f AS pn FROM v
   WINDOW b AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE suffix(line, '.')""")
 def _(spark, sf):
     line = F.col("line")
     a, n = F.regexp_extract(line, "^([A-Z][a-z]+) ", 1), F.regexp_extract(line, "([0-9]+)", 1)
     r = videos.attach_previous(
-        views.doc_lines(spark, sf), "doc_id", "line_no", line.endswith("."), F.when(F.length(line) >= 60, F.substring(line, 1, 60)), F.when(a != "", a), F.when(n != "", n))
+        views.doc_lines(spark, sf), "doc_id", "line_no", line.endswith("."), F.when(F.length(line) >= 60, line), F.when(a != "", a), F.when(n != "", n))
     return r.select("doc_id", "line_no", "text", "author", "count_text")
 
 
 def detail_pages(spark, sf):
     """A detail page per conversation: header, counts, publish line and one comment per turn."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", r"\s+", " ").alias("t"))
-    block = F.concat(F.lit("[u"), F.col("turn").cast("string"), F.lit("](//www.douyin.com/user/x)\n"), F.substring("t", 1, 60), F.lit("\n...\n"), F.col("turn").cast("string"), F.lit("天前·home\n分享\n"), (F.length("t") % 9).cast("string"), F.lit("\n回复"))
+    block = F.concat(F.lit("[u"), F.col("turn").cast("string"), F.lit("](//www.douyin.com/user/x)\n"), F.col("t"), F.lit("\n...\n"), F.col("turn").cast("string"), F.lit("天前·home\n分享\n"), (F.length("t") % 9).cast("string"), F.lit("\n回复"))
     g = c.groupBy("conv_id").agg(words.joined_text("turn", block, "\n").alias("body"), F.max("turn").alias("n"))
     head = F.concat(F.lit("# Video "), F.col("conv_id").cast("string"), F.lit("\n\n1.5万\n\n"), F.col("n").cast("string"), F.lit("\n\n7\n\n9\n\n举报\n\n发布时间：2024-01-0"), (F.col("n") % 9 + 1).cast("string"), F.lit(" 10:30\n\n@someone here\n全部评论\n"))
     return g.select(F.col("conv_id").alias("page_id"), F.concat(head, "body").alias("text"))
 
 
 @query("parse_comments", "J11,S7", r"""
-WITH c AS (SELECT conv_id AS page_id, turn, trim(substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 60)) AS s, length(regexp_replace(text, '\s+', ' ', 'g')) % 9 AS likes FROM conversations)
+WITH c AS (SELECT conv_id AS page_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s, length(regexp_replace(text, '\s+', ' ', 'g')) % 9 AS likes FROM conversations)
 SELECT page_id, 'u' || turn AS author, CASE WHEN regexp_matches(s, '^[^:：]{1,32}[:：](.+)$') THEN trim(regexp_extract(s, '^[^:：]{1,32}[:：](.+)$', 1)) ELSE s END AS text, turn || '天前·home' AS time, likes::BIGINT AS likes FROM c WHERE length(s) >= 2""")
 def _(spark, sf):
     return videos.parse_comments(detail_pages(spark, sf)).drop("pos")
@@ -408,7 +408,7 @@ def _(spark, sf):
     return videos.sentence_buckets(table(spark, sf, "documents").select("doc_id", "text"), "text", ".!?")
 
 
-@query("retention_flags", "A8", UTT + " SELECT media_id, count(*) >= 5 AS dense, bool_or(regexp_matches(text, '\\?|que')) AS suspense, bool_or(regexp_matches(text, 'pas|not')) AS emotion, count(*) AS n_utterances FROM u GROUP BY 1")
+@query("retention_flags", "A8", UTT + " SELECT media_id, count(*) >= 5 AS dense, bool_or(regexp_matches(text, '\\?|que')) AS suspense, bool_or(regexp_matches(text, 'pas|not')) AS emotion, count(*) AS n_utterances FROM u WHERE regexp_matches(text, '\\S') GROUP BY 1")
 def _(spark, sf):
     return videos.retention_flags(utterances(spark, sf), suspense=r"\?|que", emotion="pas|not", least=5)
 
@@ -416,7 +416,7 @@ def _(spark, sf):
 @query("anchor_timeline", "W24", UTT + f""",
 h AS (SELECT *, regexp_matches(text, 'pas|not|der') AS hit, {CLEAN} AS t FROM u), p AS (SELECT *, sum(hit::INT) OVER (PARTITION BY media_id ORDER BY pos) AS part FROM h),
 g AS (SELECT media_id, part, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_utterances, string_agg(t, '' ORDER BY pos) AS ft FROM p GROUP BY 1, 2), z AS (SELECT media_id, sum(hit::INT) > 3 AS too_coarse FROM h GROUP BY 1)
-SELECT g.media_id, part::BIGINT AS part, first_pos, last_pos, n_utterances, CASE WHEN length(ft) <= 120 THEN ft ELSE rtrim(substring(ft, 1, 120)) || '...' END AS speech, too_coarse FROM g JOIN z ON g.media_id = z.media_id""")
+SELECT g.media_id, part::BIGINT AS part, first_pos, last_pos, n_utterances, ft AS speech, too_coarse FROM g JOIN z ON g.media_id = z.media_id""")
 def _(spark, sf):
     return videos.anchor_timeline(utterances(spark, sf), "pas|not|der", rows_used=3)
 

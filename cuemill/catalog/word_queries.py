@@ -356,12 +356,12 @@ def _(spark, sf):
 
 
 @query("entry_context", "W19", WS + """,
-wl AS (SELECT *, regexp_matches(lower(text), '^[^a-z]*(the|of|and|de|la|der|die|und|le|les|que|el)[^a-z]*$') AS fil FROM words),
-pv AS (SELECT *, lag(end_ms) OVER x AS pe, lag(lower(regexp_replace(text, '^[ \\t\\r\\n，。！？；：、,.!?;:…“”‘’"'']+|[ \\t\\r\\n，。！？；：、,.!?;:…“”‘’"'']+$', '', 'g'))) OVER x AS pt,
-  lag(word_id) OVER x AS pid, lower(regexp_replace(text, '^[ \\t\\r\\n，。！？；：、,.!?;:…“”‘’"'']+|[ \\t\\r\\n，。！？；：、,.!?;:…“”‘’"'']+$', '', 'g')) AS k FROM wl WINDOW x AS (PARTITION BY media_id ORDER BY pos)),
+wl AS (SELECT *, lower(regexp_replace(text, '^[ \\t\\r\\n，。！？；：、,.!?;:…“”‘’"'']+|[ \\t\\r\\n，。！？；：、,.!?;:…“”‘’"'']+$', '', 'g')) AS k FROM words),
+pv AS (SELECT *, lag(end_ms) OVER x AS pe, lag(k) OVER x AS pt,
+  lag(word_id) OVER x AS pid FROM wl WINDOW x AS (PARTITION BY media_id ORDER BY pos)),
 fl AS (SELECT *, regexp_matches(k, '^(the|of|th|er|and|de|la)+$') AS hf, coalesce(regexp_matches(pt, '^(the|of|th|er|and|de|la)+$'), false) AS phf FROM pv),
 fp AS (SELECT s.media_id, s.seg_no, min(CASE WHEN NOT hf OR pos = last_pos THEN pos END) AS fpos, min(first_pos) AS first_pos
-  FROM segments s JOIN fl ON s.media_id = fl.media_id AND pos BETWEEN first_pos AND last_pos GROUP BY 1, 2),
+  FROM (SELECT media_id, seg_no, first_pos, last_pos, unnest(range(first_pos, last_pos + 1)) AS at FROM segments) s JOIN fl ON s.media_id = fl.media_id AND fl.pos = s.at GROUP BY 1, 2),
 r AS (SELECT fp.media_id, fp.seg_no, w.word_id, w.start_ms, w.pe, fpos - fp.first_pos AS lead_n, coalesce(w.phf AND w.start_ms - w.pe <= 900 AND w.pid <> sg.first_word_id AND w.pid <> sg.last_word_id, false) AS disc, w.pid FROM fp JOIN fl w ON fp.media_id = w.media_id AND fp.fpos = w.pos JOIN segments sg ON sg.media_id = fp.media_id AND sg.seg_no = fp.seg_no)
 SELECT media_id, seg_no, word_id AS first_meaningful_word_id, lead_n AS leading_fillers, start_ms AS first_start_ms, CASE WHEN disc THEN pid END AS discarded_filler_word_id,
   CASE WHEN seg_no = 1 THEN 'opening' WHEN disc THEN 'after-filler' ELSE 'normal' END AS entry_context, coalesce(disc AND start_ms - pe BETWEEN -20 AND 12, false) AS continuous FROM r""")
@@ -458,9 +458,10 @@ def _(spark, sf):
 
 MAPPED = """,
 q AS (SELECT media_id, pos, start_ms * 1000 AS v, 0 AS k FROM words UNION ALL SELECT media_id, pos, end_ms * 1000, 1 FROM words),
+hb AS (SELECT media_id, piece_no, source_start_us, source_end_us, speed_pct, output_start_us, unnest(range((source_start_us - 500) // 60000000, (source_end_us + 500) // 60000000 + 1)) AS b FROM pieces),
 hit AS (SELECT q.media_id, q.pos, q.k, min_by(output_start_us + ((least(source_end_us, greatest(source_start_us, v)) - source_start_us) * 200 + speed_pct) // (2 * speed_pct), piece_no) AS m
-  FROM q JOIN pieces p ON q.media_id = p.media_id AND v BETWEEN source_start_us - 500 AND source_end_us + 500 GROUP BY 1, 2, 3),
-gap AS (SELECT q.media_id, q.pos, q.k, max(output_end_us) AS m FROM q JOIN pieces p ON q.media_id = p.media_id AND p.source_end_us < v GROUP BY 1, 2, 3),
+  FROM q JOIN hb p ON q.media_id = p.media_id AND v // 60000000 = p.b AND v BETWEEN source_start_us - 500 AND source_end_us + 500 GROUP BY 1, 2, 3),
+gap AS (SELECT q.media_id, q.pos, q.k, p.output_end_us AS m FROM q ASOF JOIN pieces p ON q.media_id = p.media_id AND v > p.source_end_us),
 mt AS (SELECT q.media_id, q.pos, q.k, coalesce(hit.m, gap.m, 0)::BIGINT AS m FROM q LEFT JOIN hit ON q.media_id = hit.media_id AND q.pos = hit.pos AND q.k = hit.k LEFT JOIN gap ON q.media_id = gap.media_id AND q.pos = gap.pos AND q.k = gap.k)
 """
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -296,26 +297,37 @@ def markdown_image_refs(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(*rest, F.posexplode(F.concat(md, ob)).alias("ref_no", "r")).select(*rest, "ref_no", "r.ref", "r.width")
 
 
-def forbidden_keys(df: DataFrame, column: str, keys=tuple(rules.FORBIDDEN_SKIN_KEYS), depth: int = 8) -> DataFrame:
-    """Paths of forbidden keys anywhere in a JSON column, like ``a.b[0].c``. The document is opened level by level,
-    to ``depth`` levels, with built-in variant functions; deeper nesting is returned with the path and ``too_deep``."""
+def forbidden_keys(df: DataFrame, column: str, keys=tuple(rules.FORBIDDEN_SKIN_KEYS)) -> DataFrame:
+    """Paths of forbidden keys anywhere in a JSON column, like ``a.b[0].c``, at any depth; text that is no JSON has none.
+    One pass: a document is parsed once and walked with a stack of its own."""
     rest = [c for c in df.columns if c != column]
-    level = df.select(*rest, F.expr(f"try_parse_json({column})").alias("__v"), F.lit("").alias("__path"))
-    found = None
-    for i in range(depth + 1):
-        level = level.filter(F.expr("schema_of_variant(__v) like 'OBJECT<%' or schema_of_variant(__v) like 'ARRAY<%'"))
-        nxt = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("__v").outer()).select(
-            F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.col("value").alias("__value")))
-        path = F.when(F.col("__key").isNull(), F.concat("__path", F.lit("["), F.col("__pos").cast("string"), F.lit("]"))).when(
-            F.col("__path") == "", F.col("__key")).otherwise(F.concat("__path", F.lit("."), "__key"))
-        nxt = nxt.select(*rest, F.col("__value").alias("__v"), path.alias("__path"), "__key")
-        if i == depth:
-            hit = nxt.filter(F.expr("schema_of_variant(__v) like 'OBJECT<%' or schema_of_variant(__v) like 'ARRAY<%'")).select(*rest, F.col("__path").alias("path"), F.lit(True).alias("too_deep"))
-        else:
-            hit = nxt.filter(F.col("__key").isin(*keys)).select(*rest, F.col("__path").alias("path"), F.lit(False).alias("too_deep"))
-        found = hit if found is None else found.unionByName(hit)
-        level = nxt.drop("__key")
-    return found
+    wanted = frozenset(keys)
+
+    def paths(document: str | None) -> list[str]:
+        import json
+
+        try:
+            open_ = [("", json.loads(document or "null"))]
+        except (ValueError, RecursionError):
+            return []
+        found = []
+        while open_:
+            path, value = open_.pop()
+            if isinstance(value, dict):
+                for key, inner in value.items():
+                    at = f"{path}.{key}" if path else key
+                    if key in wanted:
+                        found.append(at)
+                    open_.append((at, inner))
+            elif isinstance(value, list):
+                open_ += [(f"{path}[{i}]", inner) for i, inner in enumerate(value)]
+        return found
+
+    @F.pandas_udf("array<string>")
+    def found(documents: pd.Series) -> pd.Series:
+        return documents.map(paths)
+
+    return df.select(*rest, F.explode(found(F.col(column))).alias("path"))
 
 
 def link_report(pages: DataFrame, page_id: str = "page_id", column: str = "html") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import numbers, rules, text, urls
 from cuemill.operators import joins, scans
+from cuemill.operators.words import joined_text
 
 # --- lines and comments -------------------------------------------------------------------------
 
@@ -372,20 +373,26 @@ def sentence_buckets(df: DataFrame, column: str = "text", ends: str = rules.SENT
 
 def retention_flags(utts: DataFrame, key: str = "media_id", suspense: str = r"为什么|怎么|如何|吗|？|\?",
                     emotion: str = "错|难|亏|焦虑|别|不是|真正|问题", least: int = 30) -> DataFrame:
-    """Signals that keep people watching: many utterances, a question, charged words. One partial aggregate."""
-    return utts.groupBy(key).agg(
+    """Signals that keep people watching: many utterances, a question, charged words. Blank utterances do not count. One
+    partial aggregate."""
+    return utts.filter(text.clean_text("text") != "").groupBy(key).agg(
         (F.count(F.lit(1)) >= least).alias("dense"), F.bool_or(F.col("text").rlike(suspense)).alias("suspense"),
         F.bool_or(F.col("text").rlike(emotion)).alias("emotion"), F.count(F.lit(1)).alias("n_utterances"))
 
 
-def anchor_timeline(utts: DataFrame, anchors: str, key: str = "media_id", pos: str = "pos", rows_used: int | None = None) -> DataFrame:
+def anchor_timeline(utts: DataFrame, anchors: str, key: str = "media_id", pos: str = "pos", rows_used: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Timeline cut where the transcript itself announces a new part (pattern ``anchors``), with a flag when a
-    timeline of ``rows_used`` rows would be coarser than the announced parts."""
+    timeline of ``rows_used`` rows would be coarser than the announced parts. ``speech`` is the part's whole text, or its
+    first ``max_chars`` characters where that is asked for."""
     hit = F.col("text").rlike(anchors).cast("int")
     u = scans.scan(utts.withColumn("__hit", hit), key, pos, part=scans.sum_upto("__hit"))
     spans = u.groupBy(key, "part").agg(
         F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count(F.lit(1)).alias("n_utterances"))
-    out = spans.join(joined_prefix(u, [key, "part"], pos, "text", 120), [key, "part"], "left")
+    if max_chars is None:
+        said = u.groupBy(key, "part").agg(joined_text(pos, text.clean_text("text"), "").alias("speech"))
+    else:
+        said = joined_prefix(u, [key, "part"], pos, "text", max_chars)
+    out = spans.join(said, [key, "part"], "left")
     if rows_used is not None:
         total = u.groupBy(key).agg((F.sum("__hit") > rows_used).alias("too_coarse"))
         out = out.join(total, key)
@@ -393,14 +400,17 @@ def anchor_timeline(utts: DataFrame, anchors: str, key: str = "media_id", pos: s
 
 
 def video_breakdown(videos: DataFrame, utts: DataFrame, comments: DataFrame, frames: DataFrame) -> DataFrame:
-    """One breakdown row per video: hook and its class, skeleton, retention flags, comment demand, frame count."""
+    """One breakdown row per video: hook and its class, skeleton, retention flags, comment demand, frame count. Blank
+    utterances are left out; a question in the speech or in the comments makes suspense."""
+    utts = utts.filter(text.clean_text("text") != "")
     head = scans.top_k(utts, "media_id", ["pos"], 2).groupBy("media_id").agg(
         text.clip_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: text.clean_text(x["text"])), ""), 64).alias("opening"))
     flags = retention_flags(utts)
-    demand = comment_summary(comments).select("media_id", "demand", F.size("first").alias("n_comments"))
+    demand = comment_summary(comments).select("media_id", "demand", (F.size("questions") > 0).alias("asked"), F.size("first").alias("n_comments"))
     n_frames = frames.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_frames"))
     v = videos.join(head, "media_id", "left").join(flags, "media_id", "left").join(demand, "media_id", "left").join(n_frames, "media_id", "left")
     v = v.withColumn("n_comments", F.coalesce("n_comments", F.lit(0))).withColumn("n_frames", F.coalesce("n_frames", F.lit(0).cast("long")))
+    v = v.withColumn("suspense", F.coalesce("suspense", F.lit(False)) | F.coalesce("asked", F.lit(False))).drop("asked")
     source = F.when(F.coalesce("text", F.lit("")) == "", F.coalesce("title", F.lit(""))).otherwise(F.col("text"))
     v = content_skeleton(v).withColumn("hook", F.coalesce("opening", text.first_sentence(source)))
     return v.withColumn("hook_type", text.hook_type("hook")).drop("opening")

@@ -130,3 +130,17 @@ def test_time_map_in_a_removed_gap(spark):
         (0, 1_120_000, 0), (1_880_000, 3_000_000, 1_120_000), (3_000_000, 3_500_000, 2_240_000)]
     pts = spark.createDataFrame([("m", 0, 500_000), ("m", 1, 1_500_000), ("m", 2, 2_000_000), ("m", 3, 9_000_000)], "media_id string, point_id long, at_us long")
     assert {r.point_id: r.mapped_us for r in rhythm.map_time(pts, p).collect()} == {0: 500_000, 1: 1_120_000, 2: 1_240_000, 3: 2_740_000}
+
+
+def test_forbidden_keys_at_any_depth(spark):
+    import json
+
+    from cuemill.operators import articles
+
+    deep = {"color": 1}
+    for i in range(12):
+        deep = {f"l{i}": [0, deep]}
+    rows = [(1, json.dumps(deep)), (2, '{"color": {"color": 2}}'), (3, "no json"), (4, None), (5, '[{"a": [{"color": 0}]}]')]
+    got = {(r.id, r.path) for r in articles.forbidden_keys(spark.createDataFrame(rows, "id int, j string"), "j", ("color",)).collect()}
+    path = "".join(f".l{i}[1]" for i in range(11, -1, -1))[1:] + ".color"
+    assert got == {(1, path), (2, "color"), (2, "color.color"), (5, "[0].a[0].color")}
