@@ -46,7 +46,8 @@ def fill_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: i
         return counts.copy()
     took[:] = [int(c) * budget // whole for c in counts]
     left = budget - int((took * sizes).sum())
-    for i in np.argsort(-sizes, kind="stable"):
+    some = np.flatnonzero(sizes > 0)
+    for i in some[np.argsort(-sizes[some], kind="stable")]:
         if left <= dp_budget:
             break
         more = min(int(counts[i] - took[i]), (left - dp_budget) // int(sizes[i]) + 1, left // int(sizes[i]))
@@ -55,7 +56,7 @@ def fill_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: i
     if not 0 < left <= dp_budget:
         return took
     mask, bits, steps = (1 << (left + 1)) - 1, 1, []
-    for i in np.argsort(sizes, kind="stable"):
+    for i in some[np.argsort(sizes[some], kind="stable")]:
         size, free, lot = int(sizes[i]), int(min(counts[i] - took[i], left // sizes[i])), 1
         while free > 0:
             lot = min(lot, free)
