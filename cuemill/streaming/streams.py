@@ -37,18 +37,26 @@ REGION = "media_id long, start_frame long, end_frame long, peak double"
 STATE = "next_frame long, active boolean, start_frame long, below_frame long, peak double, held_frames array<long>, held_values array<double>"
 
 
-def _region_step(enter: float, leave: float, run: int):
+def _region_step(enter: float, leave: float, run: int, first: int | None, hold: int, idle_ms: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        nxt, active, start, below, peak, waiting, out = first, False, -1, -1, 0.0, {}, []
         if state.exists:
             nxt, active, start, below, peak, held_f, held_v = state.get
             waiting = dict(zip(held_f or [], held_v or []))
-        else:
-            nxt, active, start, below, peak, waiting = 0, False, -1, -1, 0.0, {}
-        out = []
         for b in batches:
             waiting.update(zip(b["frame"].tolist(), b["p_speech"].tolist()))
-        # Frames may come late inside the watermark: go on only as far as they follow one another.
-        while nxt in waiting:
+        over = state.hasTimedOut
+        # Frames may come late: go on as far as they follow one another. A gap is passed when ``hold`` later frames wait, or
+        # when the item is over; a frame that comes after that is left out.
+        while waiting:
+            if nxt not in waiting:
+                if nxt is not None and len(waiting) <= hold and not over:
+                    break
+                for late in [f for f in waiting if nxt is not None and f < nxt]:
+                    del waiting[late]
+                if not waiting:
+                    break
+                nxt = min(waiting)
             p = waiting.pop(nxt)
             if not active:
                 if p >= enter:
@@ -63,17 +71,29 @@ def _region_step(enter: float, leave: float, run: int):
                 else:
                     below = -1
             nxt += 1
-        state.update((nxt, active, start, below, peak, list(waiting), list(waiting.values())))
+        if over:
+            if active:
+                out.append((key[0], start, nxt, peak))
+            state.remove()
+        else:
+            state.update((nxt, active, start, below, peak, list(waiting), list(waiting.values())))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["media_id", "start_frame", "end_frame", "peak"])
 
     return step
 
 
-def speech_regions_stream(frames: DataFrame, enter: float = rules.ENTER_THRESHOLD, leave: float = rules.EXIT_THRESHOLD, run: int = rules.EXIT_RUN) -> DataFrame:
-    """Closed speech regions as frames (media_id, frame, p_speech) arrive. State per item is a few numbers and the frames that
-    came ahead of a missing one. The open region of a stream that still runs has no row yet."""
-    return frames.groupBy("media_id").applyInPandasWithState(
-        _region_step(enter, leave, run), REGION, STATE, "append", GroupStateTimeout.NoTimeout)
+def speech_regions_stream(
+    frames: DataFrame, enter: float = rules.ENTER_THRESHOLD, leave: float = rules.EXIT_THRESHOLD, run: int = rules.EXIT_RUN,
+    first: int | None = 0, hold: int = 100_000, idle_ms: int | None = None,
+) -> DataFrame:
+    """Closed speech regions as frames (media_id, frame, p_speech) arrive. State per item is a few numbers and at most ``hold``
+    frames that came ahead of a missing one. ``first`` is the number of an item's first frame; None begins with the smallest
+    frame of its first batch. With ``idle_ms`` an item that is quiet so long is over: its open region is closed after its
+    last frame and its state goes. Without, the open region has no row yet."""
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return frames.groupBy("media_id").applyInPandasWithState(_region_step(enter, leave, run, first, hold, idle_ms), REGION, STATE, "append", timeout)
 
 
 def drain(stream: DataFrame, name: str = "stream") -> DataFrame:

@@ -73,6 +73,17 @@ def test_region_stream_equals_batch_when_frames_come_out_of_order(spark, tmp_pat
     assert got == want and len(want) == 2
 
 
+def test_region_stream_starts_anywhere_and_passes_a_gap(spark, tmp_path):
+    vs = [0.1, 0.6, 0.7, 0.3, 0.6, 0.2, 0.1, 0.9, 0.8, 0.9, 0.3, 0.2, 0.1, 0.8]
+    rows = [(1, i + 7, v) for i, v in enumerate(vs)] + [(2, i, v) for i, v in enumerate(vs) if i != 8]
+    f = spark.createDataFrame(rows, "media_id long, frame long, p_speech double")
+    f.coalesce(1).write.parquet(str(tmp_path / "f"))
+    live = spark.readStream.schema(f.schema).parquet(str(tmp_path / "f"))
+    got = sorted(map(tuple, streams.drain(streams.speech_regions_stream(live, first=None, hold=0)).collect()))
+    want = sorted((r.media_id, r.start_frame, r.end_frame, r.peak) for r in speech_regions(f).filter("closed").collect())
+    assert got == want and {r[0] for r in want} == {1, 2}
+
+
 def test_text_files_round_trip(spark, tmp_path):
     cues = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 500, t) for i, t in enumerate(["a {b}", "c\nd", "e"])], "media_id long, cue_no long, start_ms long, end_ms long, text string")
     writers.write_ass_events(cues, str(tmp_path / "ass"))
