@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.minhash import mixed
+from cuemill.llm.minhash import GOLDEN, mixed
 
 GRAM = 20
 PIECE = 1 << 23
@@ -37,10 +37,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def passages(texts: list[bytes], length: int):
-    """Cut all windows of ``length`` bytes into runs that share their anchor: (text number, start, bytes, anchor, content).
+    """Cut all windows of ``length`` bytes into runs that share their anchor: (text number, start, bytes, anchor, content,
+    left, right).
 
     The anchor of a window is its ``GRAM``-byte string of least hash, so equal windows have equal anchors, wherever they lie.
-    A run of windows with one anchor is one stretch of at most 2 x length - GRAM bytes; ``content`` is the hash of it."""
+    A run of windows with one anchor is one stretch of at most 2 x length - GRAM bytes; ``content`` is the hash of it. A window
+    reaches half of its other bytes or more to one side of the anchor, so two stretches with a window in common agree in
+    ``left`` or in ``right``, the 16-bit hashes of so many bytes before and after the anchor (0: the stretch has fewer)."""
     parts, group, held = [], [], 0
     for i, t in enumerate(texts):
         for a in range(0, max(len(t) - length + 1, 0), PIECE):
@@ -51,8 +54,8 @@ def passages(texts: list[bytes], length: int):
                 group, held = [], 0
     if group:
         parts.append(_passages(group, length))
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k in range(5)]
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint16, np.uint16)
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k in range(7)]
 
 
 def _passages(group, length: int):
@@ -75,9 +78,17 @@ def _passages(group, length: int):
     count = np.diff(np.append(first, len(owner)))
     begin, bytes_ = window[first], count + length - 1
     content = mixed((total[begin + bytes_] - total[begin]) * down[begin] + bytes_.astype(np.uint64))
+    half, place = -(-(length - GRAM) // 2), at[first]
+
+    def side(a: np.ndarray, there: np.ndarray) -> np.ndarray:
+        a = np.where(there, a, 0)
+        h = mixed((total[a + half] - total[a]) * down[a])
+        return np.where(there, h % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
+
+    left, right = side(place - half, place - half >= begin), side(place + GRAM, place + GRAM + half <= begin + bytes_)
     item = owner[first]
     number, shift = np.array([i for i, _, _ in group]), np.array([a for _, a, _ in group])
-    return number[item], shift[item] + begin - (ends - sizes)[item], bytes_, grams[at[first]], content
+    return number[item], shift[item] + begin - (ends - sizes)[item], bytes_, grams[place], content, left, right
 
 
 class RunLengthIndex:
@@ -190,7 +201,7 @@ class Lot:
 
     def __init__(self, table: pa.Table, length: int, buckets: int):
         self.ids, self.texts = _sorted_docs(table)
-        self.number, self.start, self.size, self.anchor, self.content = passages(self.texts, length)
+        self.number, self.start, self.size, self.anchor, self.content, self.left, self.right = passages(self.texts, length)
         self.id = self.ids[self.number] if len(self.number) else np.zeros(0, np.int64)
         # Texts are in order of id, so the first of a kind is in the smallest document.
         _, first, self.kind = np.unique(mixed(self.anchor + self.content * np.uint64(3)), return_index=True, return_inverse=True)
@@ -199,11 +210,24 @@ class Lot:
         self.asked, self.bucket, self.first = first[self.by], bucket[self.by], first
 
 
-def answers(blobs: list[tuple[bytes, bytes, bytes]], crowd: int) -> list[np.ndarray]:
-    """For each stretch asked about in one bucket: 0 nothing like it elsewhere, 1 the same stretch is in a smaller document,
-    2 other stretches have its anchor, 3 so do more than ``crowd`` different ones."""
-    anchor, content = (np.concatenate([np.frombuffer(b[k], np.uint64) for b in blobs]) for k in (0, 1))
-    ids = np.concatenate([np.cumsum(np.frombuffer(b[2], np.int64)) for b in blobs])
+def pack_anchors(anchor: np.ndarray) -> bytes:
+    """The low six bytes of each; what is left out only makes more anchors seem equal, which is looked into later."""
+    return np.ascontiguousarray(anchor).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_anchors(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def answers(blobs: list[list[bytes]], crowd: int) -> list[np.ndarray]:
+    """For each stretch asked about in one bucket (anchors, contents, lefts, rights, ids): 0 nothing like it elsewhere, 1 the same
+    stretch is in a smaller document, 2 other stretches have its anchor and agree to one side of it, 3 so do more than
+    ``crowd`` different ones."""
+    anchor = np.concatenate([unpack_anchors(b[0]) for b in blobs])
+    content, left, right = (np.concatenate([np.frombuffer(b[k], t) for b in blobs]) for k, t in ((1, np.uint64), (2, np.uint16), (3, np.uint16)))
+    ids = np.concatenate([np.cumsum(np.frombuffer(b[4], np.int64)) for b in blobs])
     by = np.argsort(anchor, kind="stable")
     same = anchor[by][1:] == anchor[by][:-1]
     pick = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
@@ -213,14 +237,20 @@ def answers(blobs: list[tuple[bytes, bytes, bytes]], crowd: int) -> list[np.ndar
         a, c = anchor[pick], content[pick]
         new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
         new = new_anchor | np.concatenate([[True], c[1:] != c[:-1]])
-        least = ids[pick][np.maximum.accumulate(np.where(new, np.arange(len(pick)), 0))]
-        first = np.flatnonzero(new_anchor)
-        several = np.repeat(np.add.reduceat(new.astype(np.int64), first), np.diff(np.append(first, len(pick))))
-        code[pick] = np.where(ids[pick] > least, 1, np.where(several > crowd, 3, np.where(several > 1, 2, 0)))
+        first, kind = np.flatnonzero(new), np.cumsum(new) - 1
+        least = ids[pick][first][kind]
+        agrees = np.zeros(len(first), bool)
+        for side in (left, right):
+            own = side[pick][first].astype(np.uint64)
+            _, which, count = np.unique(mixed(a[first] + own * GOLDEN), return_inverse=True, return_counts=True)
+            agrees |= (own > 0) & (count[which] > 1)
+        start = np.flatnonzero(new_anchor[first])
+        several = np.repeat(np.add.reduceat(agrees.astype(np.int64), start), np.diff(np.append(start, len(first))))
+        code[pick] = np.where(ids[pick] > least, 1, np.where(~agrees[kind], 0, np.where(several[kind] > crowd, 3, 2)))
     return np.split(code, np.cumsum([len(b[1]) // 8 for b in blobs])[:-1])
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, lot_bytes: int = 4_000_000, bucket_rows: int = 400_000, crowd: int = 20_000) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, lot_bytes: int = 4_000_000, bucket_rows: int = 100_000, crowd: int = 20_000) -> DataFrame:
     """Remove each byte of a text that a ``length``-byte string covers which also starts in a document with a smaller id.
 
     Returns id, n_bytes, n_removed, n_spans, ``spans`` (start, end: the maximal removed runs) and ``kept`` (bytes) per row; other columns
@@ -231,14 +261,14 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
       stay whole. Repeated rows give repeated results; an empty table gives no rows.
 
     1. Documents are dealt by id into lots of about ``lot_bytes``; Spark reuses this one shuffle of the texts in all three passes.
-    2. Each lot cuts its windows into stretches by anchor and asks the anchor's bucket: (anchor, hash of the stretch, smallest
-       id in the lot). A stretch that lies in many documents is asked about once a lot.
+    2. Each lot cuts its windows into stretches by anchor and asks the anchor's bucket: (anchor, hashes of the stretch and of the
+       bytes to both sides of the anchor, smallest id in the lot). A stretch in many documents is asked about once a lot.
     3. A bucket answers as ``answers`` says. What has answer 1 is removed whole.
     4. Stretches with answer 2 are sent with their bytes and meet in one ``RunLengthIndex`` a bucket. Those with answer 3 are
        sent as single windows, dealt by their own bytes, so a frequent anchor never makes one large index.
     5. The spans go back to the lots, which cut the texts.
 
-    A task holds one lot or one bucket. Hashes have 64 bits for anchors and 64 for contents."""
+    A task holds one lot or one bucket. Equal stretches are told by 112 bits of hashes, all others by their bytes."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -249,13 +279,13 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def ask(key, table):
         lot = Lot(table, length, buckets)
-        out = [[], [], [], [], []]
+        out = [[] for _ in range(7)]
         for part in np.split(np.arange(len(lot.asked)), np.flatnonzero(np.diff(lot.bucket)) + 1) if len(lot.asked) else []:
             at = lot.asked[part]
-            for column, v in zip(out, (key[0].as_py(), int(lot.bucket[part[0]]), lot.anchor[at].tobytes(), lot.content[at].tobytes(), np.diff(lot.id[at], prepend=0).tobytes())):
+            for column, v in zip(out, (key[0].as_py(), int(lot.bucket[part[0]]), pack_anchors(lot.anchor[at]), lot.content[at].tobytes(), lot.left[at].tobytes(), lot.right[at].tobytes(), np.diff(lot.id[at], prepend=0).tobytes())):
                 column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], ["lot", "bucket", "anchors", "contents", "ids"])
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], ["lot", "bucket", "anchors", "contents", "lefts", "rights", "ids"])
 
     def answer(batches):
         now, held, where = None, [], []
@@ -265,7 +295,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([now] * len(where), pa.int64()), pa.array([c.tobytes() for c in got], pa.binary())], ["lot", "bucket", "codes"])
 
         for batch in batches:
-            for lot, bucket, *blob in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+            for lot, bucket, *blob in zip(*[batch.column(c).to_pylist() for c in range(7)]):
                 if bucket != now:
                     yield out()
                     now, held, where = bucket, [], []
@@ -343,7 +373,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pair, pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    asked = lotted.groupBy("lot").applyInArrow(ask, "lot long, bucket long, anchors binary, contents binary, ids binary")
+    asked = lotted.groupBy("lot").applyInArrow(ask, "lot long, bucket long, anchors binary, contents binary, lefts binary, rights binary, ids binary")
     answered = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "lot long, bucket long, codes binary")
     stretches = lotted.groupBy("lot").cogroup(answered.repartition(parts, "lot").groupBy("lot")).applyInArrow(cut, "bucket long, lot long, row long, id long, start long, size long, data binary")
     marked = stretches.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(mark, "lot long, row long, start long, end long")
