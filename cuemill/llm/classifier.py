@@ -64,6 +64,7 @@ def fit_ordinal(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np
     in order. Grades weigh in inverse proportion to the root of their frequency."""
     n = len(grade)
     known, index = np.unique(index, return_inverse=True)
+    index = index.astype(np.int32)
     frequency = np.bincount(grade, minlength=grades) / max(n, 1)
     weight = 1 / np.sqrt(np.maximum(frequency, 1e-6))[grade]
     weight = weight / weight.sum() if n else weight
@@ -106,7 +107,7 @@ def learn(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
         for batch in batches:
             rows = [(*known.of(t or ""), g, i) for t, g, i in zip(*[batch.column(c).to_pylist() for c in ("text", "grade", "id")])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[3] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
+                [pa.array([r[3] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
                 ["id", "grade", "index", "value"],
             )
 
@@ -115,14 +116,14 @@ def learn(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
         rows.sort(key=lambda r: r[:2])  # the same sums whichever task was first
         index = [r[2].values.to_numpy() for r in rows]
         value = [r[3].values.to_numpy() for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(i) for i in index])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in index])
         flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        index, value = flat(index, np.int64), flat(value, np.float64)
+        index, value = flat(index, np.int32), flat(value, np.float32)
         often = np.bincount(index, minlength=size)[index] >= least
         model = fit_ordinal(index[often], value[often], row[often], np.array([r[1] for r in rows], np.int64), grades, size, ridge, steps, rate)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.thresholds.tolist()])], ["weights", "thresholds"])
 
-    made = texts.select("id", "text", "grade").mapInArrow(features, "id long, grade int, index array<long>, value array<double>")
+    made = texts.select("id", "text", "grade").mapInArrow(features, "id long, grade int, index array<int>, value array<float>")
     got = made.repartition(1).mapInArrow(fit, "weights binary, thresholds array<double>").first()
     return OrdinalModel(np.frombuffer(got["weights"], "<f4").astype(np.float64), np.array(got["thresholds"]))
 
