@@ -12,10 +12,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cuemill.catalog import load  # noqa: E402
 from cuemill.session import local_session  # noqa: E402
 
-HEADLINE = (
-    "rhythm pauses retained_segments remap_words words_in_segments cuts_inside_words audit_cut_plan speech_regions smooth_activity "
-    "structure_timeline nearest_frame html_gate extract_images extract_links keep_first top_comments qa_cards unanswered rhythm_pieces verify_quotes"
-).split()
+HEADLINE = [
+    "rhythm", "pauses", "retained_segments", "remap_words", "words_in_segments", "cuts_inside_words", "audit_cut_plan", "speech_regions", "smooth_activity",
+    "structure_timeline", "nearest_frame", "html_gate", "extract_images", "extract_links", "keep_first", "top_comments", "qa_cards", "unanswered", "rhythm_pieces",
+    "verify_quotes", "refine_boundaries", "map_time", "audit_reveals", "review_text",
+]
 
 
 def main() -> None:
