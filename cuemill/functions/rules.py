@@ -130,10 +130,11 @@ EVIDENCE_WEIGHTS = [
 
 # --- HTML ---------------------------------------------------------------------------------------
 FORBIDDEN_TAGS = ["style", "script", "iframe", "object", "form"]
-ALLOWED_TAGS = (
-    "section div p h2 h3 h4 h5 h6 blockquote strong mark em s del span code pre a img figure figcaption hr "
-    "table thead tbody tr th td sup sub"
-).split()
+ALLOWED_TAGS = [
+    "section", "div", "p", "h2", "h3", "h4", "h5", "h6", "blockquote", "strong", "mark", "em", "s", "del", "span",
+    "code", "pre", "a", "img", "figure", "figcaption", "hr", "table", "thead", "tbody", "tr", "th", "td", "sup",
+    "sub",
+]
 SAFE_SCHEMES = ["http", "https", "mailto", "tel"]
 UNSAFE_SCHEMES = ["javascript", "vbscript", "data", "file"]
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "gif", "webp"]
@@ -151,11 +152,11 @@ ROW_DISTRIBUTIONS = {
 }
 
 # --- stages -------------------------------------------------------------------------------------
-STAGES = (
-    "doctor preflight normalize asr_integrity editorial_review human_lock asr_correction semantic_review "
-    "boundary_refine audit_gate caption_structure cut remap rhythm style_lock captions visual_direction "
-    "semantic_timing animations compose validate agent_review"
-).split()
+STAGES = [
+    "doctor", "preflight", "normalize", "asr_integrity", "editorial_review", "human_lock", "asr_correction",
+    "semantic_review", "boundary_refine", "audit_gate", "caption_structure", "cut", "remap", "rhythm", "style_lock",
+    "captions", "visual_direction", "semantic_timing", "animations", "compose", "validate", "agent_review",
+]
 STAGE_STATUSES = ["pending", "running", "succeeded", "failed", "blocked", "skipped"]
 STAGE_ACTIONS = {
     "asr_correction": "ai_review_asr_words_then_resume",
