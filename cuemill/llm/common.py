@@ -32,6 +32,19 @@ def unpack(df: DataFrame, order: Sequence[str], made: Sequence[str] = ()) -> Dat
     return df.select(*back, *[F.col(c) for c in made if c not in order])
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in pieces of at most ``rows``, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def beside(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of keys, to be joined with texts: broadcast if it has at most ``rows`` rows, so the texts stay where they
+    are; beyond that the build side of a shuffled hash join."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
+
+
 def ranks(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], buckets: int = 4096) -> DataFrame:
     """Column ``rank``: place of each row from 0 among the rows of its key, by ``order``, an evenly spread 64-bit hash.
 
@@ -52,32 +65,29 @@ def ranks(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], b
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of ``edges`` (src, dst: long): one row (node, component) per node, its smallest reachable node.
 
-    Alternates the large-star and the small-star step until the edges stay the same. Each step writes the smallest
-    neighbour of every node, then joins it back, so the join of a node with very many edges can be split. Loops are
-    left out; no edges give no rows."""
-    spark = edges.sparkSession
+    Alternates the large-star and the small-star step until the edges are stars: each node has one edge, to a node that has
+    none. Each step writes the smallest neighbour of every node, then joins it back, so the join of a node with very many
+    edges can be split. Loops are left out; no edges give no rows."""
 
     def toward_least(links: DataFrame) -> DataFrame:
         least = stage(links.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "node")
         return links.join(least, links["a"] == least["node"]).select("a", "b", F.least("a", "m").alias("m"))
 
-    def tally(df: DataFrame):
-        return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+    def stars(df: DataFrame) -> bool:
+        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("top")).union(df.select("v", F.lit(0), F.lit(1)))
+        mixed = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("top").alias("top")).where(F.col("down") + F.col("top") > 1)
+        return mixed.count() == 0  # one job; looking for a first row would be several where there is none
 
     now = stage(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges"
     )
-    seen = tally(now)
     for _ in range(limit):
-        if not seen[0]:
-            return spark.createDataFrame([], "node long, component long")
+        if stars(now):
+            leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         large = stage(toward_least(both).where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
         small = toward_least(large.select(F.col("u").alias("a"), F.col("v").alias("b")))
         pairs = F.explode(F.array(F.struct(F.col("b").alias("u"), F.col("m").alias("v")), F.struct(F.col("a").alias("u"), F.col("m").alias("v"))))
         now = stage(small.select(pairs.alias("p")).select("p.*").where("u <> v").distinct(), "small-star")
-        was, seen = seen, tally(now)
-        if was == seen:
-            leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {limit} rounds")
