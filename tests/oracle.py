@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -86,7 +87,7 @@ def main(argv):
             sf = a
         else:
             names.append(a)
-    spark = local_session("8")
+    spark = local_session(os.environ.get("TEST_CPUS", "8"))
     con = connect(sf)
     bad = 0
     for name, q in load().items():
