@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -16,25 +17,41 @@ from cuemill.session import stage
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+# Fixed value: the pattern by which this family of byte-level BPE files cuts a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that such a file writes for each byte: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class TokenCache(dict):
-    """Bytes of the little-endian 32-bit ids per stretch of text between blanks; each stretch is tokenized once."""
+    """Bytes of the little-endian 32-bit ids per stretch of text between blanks; each stretch is tokenized once while it is
+    remembered.
+
+    The vocabulary and its order are those of the tokenizer file; the merging is done by tiktoken, which gives the same ids as
+    the tokenizers library for such files (tests compare both) in a fraction of its time for short strings."""
 
-    def __init__(self, path: str, entries: int = 400_000):
-        import os
+    def __init__(self, path: str, entries: int = 500_000):
+        import json
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        special = {t["content"] for t in file.get("added_tokens", [])}
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+        self.encode, self.entries = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, entries
 
-    def learn(self, stretches: set[str]) -> None:
+    def __missing__(self, stretch: str) -> bytes:
         if len(self) > self.entries:
             self.clear()
-        new = [s for s in stretches if s not in self]
-        for i in range(0, len(new), 4096):
-            for s, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False)):
-                self[s] = np.array(e.ids, dtype="<u4").tobytes()
+        self[stretch] = ids = array("I", self.encode(stretch)).tobytes()
+        return ids
 
 
 def stretches(text: str) -> list[str]:
@@ -63,10 +80,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for at in range(0, len(rows), 256):
                 out = [[] for _ in range(5)]
-                cut = [(i, stretches(t or "")) for i, t in rows[at : at + 256]]
-                cache.learn({s for _, x in cut for s in x})
-                for i, x in cut:
-                    ids = b"".join(map(cache.__getitem__, x)) + tail
+                for i, t in rows[at : at + 256]:
+                    ids = b"".join(map(cache.__getitem__, stretches(t or ""))) + tail
                     n = len(ids) // 4
                     starts = [0, *range(n % capacity or capacity, n, capacity)] if n > capacity else [0]
                     for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
