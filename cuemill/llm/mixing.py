@@ -33,11 +33,37 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
     return d.select("source", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
+def best_sum(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each size, at most ``free``, sum to ``budget`` or as near below it as any choice does: a bounded-knapsack DP,
+    all sums in a bit set, multiplicities in powers of two."""
+    took = np.zeros(len(sizes), dtype=np.int64)
+    if budget <= 0:
+        return took
+    mask, bits, steps = (1 << (budget + 1)) - 1, 1, []
+    for i in np.argsort(sizes, kind="stable"):
+        size = int(sizes[i])
+        if size <= 0:
+            continue
+        open_, lot = int(min(free[i], budget // size)), 1
+        while open_ > 0:
+            lot = min(lot, open_)
+            steps.append((i, lot, size, bits))
+            bits |= (bits << (lot * size)) & mask
+            open_ -= lot
+            lot *= 2
+    at = bits.bit_length() - 1
+    for i, lot, size, was in reversed(steps):
+        if not (was >> at) & 1:
+            took[i] += lot
+            at -= lot * size
+    return took
+
+
 def fill_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = 32768) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum to ``budget`` or just below it.
 
     Every size gives its proportional share, rounded down; the longest that fit follow until at most ``dp_budget`` is
-    open; a bounded-knapsack DP over the counts left closes the gap (all sums in a bit set, multiplicities in powers of two)."""
+    open; ``best_sum`` over the counts left closes the gap."""
     took = np.zeros(len(sizes), dtype=np.int64)
     whole = int((sizes * counts).sum())
     if budget <= 0 or whole == 0:
@@ -47,31 +73,41 @@ def fill_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: i
     took[:] = [int(c) * budget // whole for c in counts]
     left = budget - int((took * sizes).sum())
     some = np.flatnonzero(sizes > 0)
-    for i in some[np.argsort(-sizes[some], kind="stable")]:
+    longest = some[np.argsort(-sizes[some], kind="stable")]
+    for i in longest:
         if left <= dp_budget:
             break
         more = min(int(counts[i] - took[i]), (left - dp_budget) // int(sizes[i]) + 1, left // int(sizes[i]))
         took[i] += more
         left -= more * int(sizes[i])
-    if not 0 < left <= dp_budget:
-        return took
-    mask, bits, steps = (1 << (left + 1)) - 1, 1, []
-    for i in some[np.argsort(sizes[some], kind="stable")]:
-        size, free, lot = int(sizes[i]), int(min(counts[i] - took[i], left // sizes[i])), 1
-        while free > 0:
-            lot = min(lot, free)
-            steps.append((i, lot, size, bits))
-            bits |= (bits << (lot * size)) & mask
-            free -= lot
-            lot *= 2
-    at = bits.bit_length() - 1
-    for i, lot, size, was in reversed(steps):
-        if not (was >> at) & 1:
-            took[i] += lot
-            at -= lot * size
+    if left <= dp_budget:
+        took += best_sum(sizes, counts - took, left)
     return took
 
 
+def fill_exactly(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = 32768, dp_bits: int = 1 << 30) -> np.ndarray:
+    """``fill_budget``, and where that misses the budget, documents are given back, more each time, and ``best_sum`` fills the
+    larger gap, up to the whole budget without any share, until the budget is met or the bit sets of the next try would
+    pass ``dp_bits`` bits together."""
+    took = keep = fill_budget(sizes, counts, budget, dp_budget)
+    whole = int((sizes * counts).sum())
+    left = goal = min(budget, whole) - int((took * sizes).sum()) if budget > 0 else 0
+    some = np.flatnonzero(sizes > 0)
+    while left > 0 and took.any() and budget < whole:
+        # Give back of every size, so that the gap about doubles, and fill it anew.
+        goal = max(2 * goal, 2 * dp_budget)
+        took = took * max(0, budget - goal) // budget
+        gap = budget - int((took * sizes).sum())
+        lots = sum(min(int(c), gap // int(k)).bit_length() for k, c in zip(sizes[some], (counts - took)[some]))
+        if lots * gap > dp_bits:
+            break
+        again = took + best_sum(sizes, counts - took, gap)
+        left = budget - int((again * sizes).sum())
+        if left < budget - int((keep * sizes).sum()):
+            keep = again
+    return keep
+
+
 def keys_of(id_, text, source, seed: int) -> dict:
     """The seeded draw of a row, and a second hash; together they stand for its id, text and source."""
     return {"draw": F.xxhash64(F.lit(seed), id_, text, source), "draw2": F.xxhash64(source, text, id_)}
@@ -84,8 +120,8 @@ def mix(
     """How often the mix takes each document: columns id, size (words), source_size, target, repeats, taken (words).
 
     A source whose target is ``t`` takes every document floor(t / size) times; the rest of the budget is filled by
-    ``fill_budget`` from the source's counts of documents by size, and the documents of a size are drawn by a seeded hash
-    of id and text. Reruns agree. No document is taken more than ``most`` times.
+    ``fill_exactly`` from the source's counts of documents by size, first with one more of each; where that misses the budget,
+    with as many more as ``most`` allows. The documents of a size are drawn by a seeded hash of id and text. Reruns agree. No document is taken more than ``most`` times.
 
     * Null text: size 0; such documents are taken 0 words, 0 repeats. Null source: a source of its own, last in order.
     * Rows with one id are drawn apart unless their texts agree too; then either may be drawn, and the results are equal.
@@ -107,15 +143,19 @@ def mix(
         base = min(int(most), int(target // whole)) if whole else 0
         h = h.sort_values("size")
         open_ = round(target) - base * whole
-        extra = fill_budget(h["size"].to_numpy(np.int64), h["rows"].to_numpy(np.int64) * (h["size"].to_numpy() > 0), open_ if base < int(most) else 0)
-        return pd.DataFrame({"source": h["source"], "size": h["size"], "base": base, "extra": extra, "source_size": whole, "target": target})
+        sizes, rows = h["size"].to_numpy(np.int64), h["rows"].to_numpy(np.int64) * (h["size"].to_numpy() > 0)
+        extra = fill_exactly(sizes, rows, open_ if base < int(most) else 0)
+        if base + 1 < int(most) and (extra * sizes).sum() < open_:
+            more = fill_exactly(sizes, rows * (int(most) - base), open_)
+            extra = more if (more * sizes).sum() > (extra * sizes).sum() else extra
+        return pd.DataFrame({"source": h["source"], "size": h["size"], "rows": h["rows"], "base": base, "extra": extra, "source_size": whole, "target": target})
 
     with_target = histogram.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, histogram["source"].eqNullSafe(targets["source"])).select(histogram["source"], "size", "rows", "source_size", "target")
-    plans = stage(with_target.groupBy("source").applyInPandas(plan, "source string, size long, base long, extra long, source_size long, target double"), "mix-plan")
+    plans = stage(with_target.groupBy("source").applyInPandas(plan, "source string, size long, rows long, base long, extra long, source_size long, target double"), "mix-plan")
     ranked = ranks(sized, ["source", "size"], "draw", ["doc_id"])
-    p = plans.select(F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "base", "extra", "source_size", "target")
+    p = plans.select(F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "rows", "base", "extra", "source_size", "target")
     met = ranked.join(p, ranked["source"].eqNullSafe(p["plan_source"]) & (ranked["size"] == p["plan_size"]))
-    repeats = F.when(F.col("size") > 0, F.col("base") + (F.col("rank") < F.col("extra")).cast("long")).otherwise(F.lit(0)).cast("long")
+    repeats = F.when(F.col("size") > 0, F.col("base") + F.floor(F.col("extra") / F.col("rows")) + (F.col("rank") < F.col("extra") % F.col("rows")).cast("long")).otherwise(F.lit(0)).cast("long")
     return met.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), "draw", "draw2")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from fixtures import DOC, extended, odd_documents
 
-from cuemill.llm.mixing import fill_budget, mix, take_mix
+from cuemill.llm.mixing import fill_budget, fill_exactly, mix, take_mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,3 +74,38 @@ def test_budget_is_the_best_sum(seed):
     start = np.array([int(c) * budget // max(whole, 1) for c in counts]) if budget < whole else counts
     best = max(s for s in (sum(a * b for a, b in zip(x, sizes)) for x in itertools.product(*[range(int(a), int(b) + 1) for a, b in zip(start, counts)])) if s <= budget or s == (start * sizes).sum())
     assert (got * sizes).sum() == best
+
+
+def most_words(sizes, counts, budget):
+    return max(s for s in (sum(a * b for a, b in zip(x, sizes)) for x in itertools.product(*[range(int(c) + 1) for c in counts])) if s <= budget)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_long_documents_fill_the_budget(seed):
+    """Sizes beyond the last gap: first the reviewer's case, then drawn ones, against all choices."""
+    rng = np.random.default_rng(seed)
+    sizes = np.unique(rng.integers(33_000, 90_000, 4)).astype(np.int64) if seed else np.array([45_000, 50_000, 60_000])
+    counts = rng.integers(1, 4, len(sizes)).astype(np.int64) if seed else np.array([1, 1, 1])
+    budget = int(rng.integers(1, int((sizes * counts).sum()))) if seed else 95_000
+    got = fill_exactly(sizes, counts, budget)
+    assert (got >= 0).all() and (got <= counts).all()
+    assert (got * sizes).sum() == most_words(sizes, counts, budget)
+
+
+def test_sources_with_a_document_longer_than_their_target(spark):
+    """Every source meets the best sum of floor(target / size) to two of each document, and document 204 stays in."""
+    rows = odd_documents() + [(900 + i, "w " * n, lang, "huge", 1) for i, (n, lang) in enumerate([(60_000, "en"), (50_000, "en"), (45_000, "en")])]
+    found = mix(extended(spark, rows)).collect()
+    taken, target, sizes = Counter(), {}, defaultdict(list)
+    for r in found:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = round(r["target"])
+        sizes[r["source"]].append(r["size"])
+    for s, own in sizes.items():
+        base = min(2, target[s] // sum(own))
+        sums = 1 << base * sum(own)
+        for n in own * (2 - base):
+            sums |= sums << n
+        best = (sums & ((1 << (target[s] + 1)) - 1)).bit_length() - 1
+        assert taken[s] == best
