@@ -54,6 +54,14 @@ class TokenCache(dict):
         return ids
 
 
+def added_tokens(path: str) -> list[str]:
+    """Contents of the added tokens of a tokenizer file."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", []) if t["content"]]
+
+
 def stretches(text: str) -> list[str]:
     """Cut a text before blanks where no token of a byte-level BPE can reach across: between two characters that are not
     white space. A text with two white-space characters in a row stays whole there."""
@@ -67,21 +75,32 @@ def stretches(text: str) -> list[str]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, added: bool = False) -> DataFrame:
     """Tokenize whole texts and cut what is longer than ``capacity``: one row (doc_id, piece, start, length, ids) a piece.
 
     ``tokenizer`` is the path of a byte-level BPE file that every worker can read. Each document's ids are followed by ``end``.
+    A text that holds one of the file's added tokens (``<|endoftext|>``) has it split into ordinary tokens; with ``added``, it is
+    encoded by the tokenizers library at its default settings, which gives the added token's own id.
     Pieces have ``capacity`` tokens, but for the first. Null or empty text: one piece that holds ``end``. Ids are
     little-endian 32-bit. Other columns are not read; rows without id or with one id are pieces like all others."""
 
     def run(batches):
         cache, tail = TokenCache(tokenizer), np.array([end], dtype="<u4").tobytes()
+        names, whole = added_tokens(tokenizer) if added else [], None
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for at in range(0, len(rows), 256):
                 out = [[] for _ in range(5)]
                 for i, t in rows[at : at + 256]:
-                    ids = b"".join(map(cache.__getitem__, stretches(t or ""))) + tail
+                    if t and any(name in t for name in names):
+                        if whole is None:
+                            from tokenizers import Tokenizer
+
+                            whole = Tokenizer.from_file(tokenizer)
+                            whole.no_truncation(), whole.no_padding()
+                        ids = np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + tail
+                    else:
+                        ids = b"".join(map(cache.__getitem__, stretches(t or ""))) + tail
                     n = len(ids) // 4
                     starts = [0, *range(n % capacity or capacity, n, capacity)] if n > capacity else [0]
                     for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
@@ -272,9 +291,9 @@ def assemble(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(spans.alias("spans")).select("sequence_id", joined.alias("ids"), F.transform("spans", lambda s: s.dropFields("ids")).alias("spans"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, added: bool = False) -> DataFrame:
     """Pieces of all documents with their checksum and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The ids of each piece are summed up in the task that tokenized it (``pieces`` and ``assemble`` give them in full)."""
-    parts = stage(pieces(docs, tokenizer, id_col, text_col, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    parts = stage(pieces(docs, tokenizer, id_col, text_col, capacity, added=added).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(parts, capacity)

@@ -57,7 +57,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), added=True)
 
 
 @query("op9_mixing")

@@ -104,3 +104,18 @@ def test_completion_beats_best_fit_on_counts():
         for k in f:
             total[k] += n
     assert total == Counter(counts)
+
+
+def test_query_ids_are_those_of_the_tokenizer_at_its_defaults(spark, tmp_path):
+    """A text with an added token, as the query reads it."""
+    from tokenizers import Tokenizer
+
+    from cuemill.llm.queries import QUERIES
+
+    rows = [(1, "a <|endoftext|> b", "en", "a", 1), (2, "<|endoftext|><|endoftext|>", "en", "a", 1), (3, "two  blanks \n <|endoftext|>\n x ", "en", "a", 1), (4, "plain text", "en", "a", 1), (5, None, "en", "a", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op3_best_fit_packing"](spark, str(tmp_path)).collect()
+    t = Tokenizer.from_file(tokenizer_path())
+    assert t.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, text, *_ in rows for ids in [t.encode(text or "", add_special_tokens=False).ids + [0]]}
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in found} == want
