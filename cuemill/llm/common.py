@@ -39,6 +39,22 @@ def slices(batches, rows: int = 1024):
             yield batch.slice(at, rows)
 
 
+def slices_by_bytes(batches, column: int = 1, most: int = 4 << 20):
+    """Arrow batches in pieces whose strings (or binaries) in ``column`` have at most ``most`` bytes together; one longer value
+    is a piece by itself. Rows without such bytes are cut at 8,192."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        at = 0
+        while at < len(batch):
+            done = ends[at - 1] if at else 0
+            upto = min(max(int(np.searchsorted(ends, done + most, side="right")), at + 1), at + 8192, len(batch))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def beside(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table of keys, to be joined with texts: broadcast if it has at most ``rows`` rows, so the texts stay where they
     are; beyond that the build side of a shuffled hash join."""

@@ -224,3 +224,11 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("none")
     files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.coalesce(F.col("doc_id").cast("string"), none)).alias("path"), "text")
     return scan_licenses(files, "doc_id")
+
+
+@query("op12_bpe_encoding")
+def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.bpe import decode_documents, encode_documents
+
+    found = decode_documents(encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path()), tokenizer_path())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
