@@ -232,3 +232,12 @@ def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = decode_documents(encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path()), tokenizer_path())
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cuemill.llm.align import align_corpus
+
+    return align_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
