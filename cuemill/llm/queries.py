@@ -241,3 +241,33 @@ def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.align import align_corpus
 
     return align_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), q AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark
+), size AS (
+  SELECT doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM size
+), m AS (
+  SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM size, corpus
+), tf AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY doc_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, docs
+), scored AS (
+  SELECT item_id, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m)))::BIGINT AS score
+  FROM (SELECT item_id, unnest(ts) AS term FROM q) i JOIN tf ON tf.term = i.term JOIN w ON w.term = i.term JOIN m ON m.doc_id = tf.doc_id GROUP BY item_id, tf.doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op13_ranked_lexical_search", SEARCH_SQL)
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), k=10)
