@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,27 @@ def needed_tokens(terms: list, least: float) -> list[str]:
     return sorted(found)
 
 
+def able(units: DataFrame, terms: list, templates: int, least: float) -> DataFrame:
+    """Units that may reach the cosine ``least`` with a template: of the others, the words that templates have, weighed, are too
+    small a part of the whole length, to which each other word adds the largest idf at least. Worked out in the row; the words
+    are generated columns, so that they are cut once."""
+    idf = {t["token"]: t["idf"] for t in terms}
+    known = F.array(*[F.lit(t) for t in sorted(idf)])
+    weight = F.create_map(*[F.lit(x) for t in sorted(idf) for x in (t, idf[t])])
+    said = units.withColumn("said", F.explode(F.array(tokens(F.col("text")))))
+    said = said.withColumn("known", F.explode(F.array(F.filter("said", lambda t: F.array_contains(known, t)))))
+
+    def square(t: Column) -> Column:
+        times = F.size(F.filter("known", lambda x: x == t)) * F.element_at(weight, t)
+        return times * times
+
+    inside = F.aggregate(F.array_distinct("known"), F.lit(0.0), lambda total, t: total + square(t))
+    unseen = (F.size("said") - F.size("known")) * (math.log(1.0 + templates) + 1) ** 2
+    most = F.size("known") * F.size("known") * max(idf.values()) ** 2 * (1 - least**2)
+    bar = unseen * (least**2 * (1 - 1e-9))
+    return said.where(F.when(most < bar, F.lit(False)).otherwise(inside * (1 - least**2) >= bar)).select(*units.columns)
+
+
 def best_matches(units: DataFrame, terms: DataFrame, templates: int, least: float) -> DataFrame:
     """Best template per unit (id, th, place, text): license and cosine. Words that no template has count with the largest idf."""
     said = units.select("id", "th", "place", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "th", "place", "token").agg(F.count("*").alias("tf"))
@@ -90,18 +112,20 @@ def scan_licenses(files: DataFrame, id_col: str = "id", path_col: str = "path",
     * Rows that agree in id, path and text get equal results each; rows with one id are files of their own. An empty table
       gives no rows. Other columns are not read.
 
-    Only lines that hold one of a few needed words (``needed_tokens``) are weighed, which leaves out no match. Templates are a
+    Only lines that hold one of a few needed words (``needed_tokens``) and enough words of templates (``able``) are
+    weighed, which leaves out no match. Templates are a
     parameter, so their terms are a small table. A file asks each of its directories once; a directory that a third of
     all files share is a join that Spark can split, against one row per directory."""
     spark = files.sparkSession
     terms = stage(template_terms(spark, notices), "license-terms")
-    needed = needed_tokens(terms.collect(), least)
+    rows = terms.collect()
+    needed = needed_tokens(rows, least)
     pattern = "(?i)(^|[^a-z0-9])(" + "|".join(t.replace(".", r"\.") for t in needed) + ")([^a-z0-9]|$)"
     d = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("path", "text"))
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     lines = d.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("place", "text")).where(F.col("text").rlike(pattern))
     wholes = d.where(named & F.col("text").rlike(pattern)).select("id", "th", F.lit(-1).alias("place"), "text")
-    matches = best_matches(lines.union(wholes), terms, len(notices), least)
+    matches = best_matches(able(lines, rows, len(notices), least).union(wholes), terms, len(notices), least)
     own = stage(
         matches.groupBy("id", "th").agg(F.min(F.struct(-F.col("score"), F.col("license"), F.col("place"), F.col("words"))).alias("b"))
         .select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"), F.col("b.place").alias("line"), F.col("b.words").alias("notice_words")),
