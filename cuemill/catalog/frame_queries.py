@@ -177,7 +177,4 @@ def _(spark, sf):
     w, act, smp, reg = boundary_inputs(spark, sf)
     s = boundary_segments(w)
     win = w.groupBy("media_id").agg(F.lit(0).cast("long").alias("window_start_us"), (F.max("pos") * 200_000 + 200_000).alias("window_end_us"))
-    return fr.refine_boundaries(
-        s.select("media_id", "seg_no", "source_start_us", "source_end_us", "last_end_us"),
-        s.select("media_id", "seg_no", "entry_context", "first_start_us", "predecessor_end_us", "discarded", "continuous"),
-        act, reg, smp, s.select("media_id", "seg_no", "next_word_start_us"), win, sample_rate=500)
+    return fr.refine_boundaries(s.join(win, "media_id"), act, reg, smp, sample_rate=500)

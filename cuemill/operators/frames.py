@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import rules
 from cuemill.operators import joins, scans
-from cuemill.session import stage
 
 FRAME_BUCKET = 4096
 
@@ -179,68 +178,84 @@ def activity_ratio(silences: DataFrame, media: DataFrame) -> DataFrame:
     return j.withColumn("active_ratio", F.coalesce(F.try_divide("active_us", "duration_us"), F.lit(0.0))).drop("__s")
 
 
-def refine_boundaries(segments: DataFrame, context: DataFrame, frames: DataFrame, regions: DataFrame, samples: DataFrame, words_after: DataFrame,
-                      window: DataFrame, sample_rate: int = 16_000, flag: str = "smoothed") -> DataFrame:
+def quiet_facts(frames: DataFrame, flag: str, run: int) -> DataFrame:
+    """Per frame: ``opens``, whether ``run`` quiet frames begin here, and ``settled``, whether this frame and the one before are quiet."""
+    f, w = scans.neighbourhood(frames.select("media_id", "frame", flag), "media_id", "frame", back=1, ahead=max(run - 1, 1))
+    opens = ~F.col(flag)
+    for k in range(1, run):
+        opens = opens & ~F.coalesce(F.lead(flag, k).over(w), F.lit(True))
+    return scans.own_rows(f.withColumns({"opens": opens, "settled": ~F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))}))
+
+
+def crossing_facts(samples: DataFrame) -> DataFrame:
+    """Samples (media_id, at) at which the sign changes, or that are or follow a zero; ``i`` has no gaps."""
+    f, w = scans.neighbourhood(samples.select("media_id", "i", "v"), "media_id", "i", back=1)
+    prev, v = F.col("prev"), F.col("v")
+    f = scans.own_rows(f.withColumn("prev", F.lag("v").over(w)))
+    return f.filter(prev.isNotNull() & ((v == 0) | (prev == 0) | ((prev < 0) & (v > 0)) | ((prev > 0) & (v < 0)))).select("media_id", F.col("i").alias("at"))
+
+
+def refine_boundaries(segments: DataFrame, frames: DataFrame, regions: DataFrame, samples: DataFrame, sample_rate: int = 16_000, flag: str = "smoothed") -> DataFrame:
     """Refined start and end of every segment, with strategy, headroom, tail room and fades.
 
-    ``segments``: media_id, seg_no, source_start_us, source_end_us, last_end_us; ``context``: media_id, seg_no,
-    entry_context, first_start_us, predecessor_end_us, discarded, continuous; ``words_after``: media_id, seg_no,
-    next_word_start_us; ``window``: media_id, window_start_us, window_end_us; audio offset 0.
+    ``segments``: media_id, seg_no (1, 2, ...), source_start_us, source_end_us, last_end_us, next_word_start_us, entry_context, first_start_us,
+    predecessor_end_us, discarded, continuous, window_start_us, window_end_us; audio offset 0. ``regions`` are in order: one that starts
+    later does not end earlier.
 
-    A start depends on the end before it, but no end depends on a start. So all ends are found first, handed on with a
-    lag, and then all starts: three look-ups, no row-after-row loop. The rows per segment, a small table beside frames and
-    samples, are written between these steps, so that each look-up reads its own inputs once.
+    A start depends on the end before it, but no end depends on a start. So a first sweep over frames and segments finds all
+    ends, each is handed to the next segment, and a second sweep over frames, samples, regions and segments finds all starts.
+    Nothing is written in between, and no source is read again for another look-up of the same sweep.
     """
     r = rules
     zero = F.lit(0).cast("long")
-    s = segments.join(context, ["media_id", "seg_no"]).join(words_after, ["media_id", "seg_no"], "left").join(window, "media_id")
-    s = scans.scan(stage(s, "entries"), "media_id", "seg_no", None, next_start_us=scans.lead("source_start_us"))
+    quiet = quiet_facts(frames, flag, r.QUIET_RUN_FRAMES)
+    s = joins.beside_rows(segments, "media_id", "seg_no", next_start_us=("source_start_us", 1))
     tail = F.least(F.col("window_end_us"), F.col("source_end_us") + r.MAX_TAIL_US, F.coalesce("next_start_us", "window_end_us") - 10_000)
     nw = F.col("next_word_start_us")
     s = s.withColumn("upper_tail_us", F.when(nw.isNotNull() & (nw >= F.col("last_end_us")), F.least(tail, nw)).otherwise(tail))
-    count = frames.groupBy("media_id").agg((F.max("frame")).alias("__max_frame"))
-    s = stage(s.join(count, "media_id"), "tails")
-    index = lambda c: F.least(F.col("__max_frame"), F.greatest(zero, F.floor(c / r.FRAME_US)))
-    asked = s.select("media_id", F.col("seg_no").alias("query_id"), index(F.greatest(zero, F.col("last_end_us") - 20_000)).alias("from_frame"), index(F.col("upper_tail_us")).alias("to_frame"))
-    quiet = first_quiet_run(asked, frames, flag).select("media_id", F.col("query_id").alias("seg_no"), (F.col("quiet_frame") * r.FRAME_US).alias("quiet_us"))
-    s = s.join(quiet, ["media_id", "seg_no"], "left")
-    offset = F.when(F.col("quiet_us").isNotNull(), F.greatest("last_end_us", "quiet_us")).otherwise(F.col("last_end_us"))
-    s = s.withColumn("speech_offset_us", offset)
-    end = F.when(F.col("quiet_us").isNotNull(), F.least(F.col("upper_tail_us"), F.col("speech_offset_us") + r.TARGET_TAIL_US)).otherwise(
+    index = lambda c: F.greatest(zero, F.floor(c / r.FRAME_US))
+    opens = quiet.filter("opens").select("media_id", F.col("frame").alias("at"))
+    begin = index(F.greatest(zero, F.col("last_end_us") - 20_000))
+    s = joins.sweep(s, "media_id", "seg_no", {"tail": (F.lit(True), begin, begin, index(F.col("upper_tail_us")) - r.QUIET_RUN_FRAMES + 1)}, {"tail": (opens, FRAME_BUCKET)})
+    quiet_us = F.col("tail_after.at") * r.FRAME_US
+    found = quiet_us.isNotNull()
+    s = s.withColumn("speech_offset_us", F.when(found, F.greatest(F.col("last_end_us"), quiet_us)).otherwise(F.col("last_end_us")))
+    end = F.when(found, F.least(F.col("upper_tail_us"), F.col("speech_offset_us") + r.TARGET_TAIL_US)).otherwise(
         F.least(F.col("upper_tail_us"), F.greatest(F.col("source_end_us"), F.col("last_end_us") + r.MIN_TAIL_US)))
-    s = s.withColumn("tail_clear", F.col("quiet_us").isNotNull() & (end - F.col("speech_offset_us") >= r.MIN_TAIL_US - r.EPS_US))
+    s = s.withColumn("tail_clear", found & (end - F.col("speech_offset_us") >= r.MIN_TAIL_US - r.EPS_US))
     s = s.withColumn("refined_end_us", F.greatest(end, F.col("last_end_us") + F.least(F.lit(r.MIN_TAIL_US).cast("long"), F.greatest(zero, F.col("upper_tail_us") - F.col("last_end_us")))))
-    s = scans.scan(stage(s, "ends"), "media_id", "seg_no", None, __prev_end=scans.lag("refined_end_us"))
+    s = s.drop("tail_before", "tail_after", "upper_tail_us", "next_start_us", "next_word_start_us", "window_end_us")
+    s = joins.beside_rows(s, "media_id", "seg_no", prev_end_us=("refined_end_us", -1))
 
-    pred, first, cont = F.col("predecessor_end_us"), F.col("first_start_us"), F.col("continuous")
-    base = F.greatest(F.col("window_start_us"), F.when(F.col("seg_no") == 1, F.col("window_start_us")).otherwise(F.col("__prev_end") + 10_000))
-    s = s.withColumn("__base", base)
-    least = F.greatest(F.col("__base"), F.when(~cont, pred + F.when(F.col("discarded"), 15_000).otherwise(5_000)))
-    s = s.withColumn("min_start_us", least)
+    pred, first, cont, base = F.col("predecessor_end_us"), F.col("first_start_us"), F.col("continuous"), F.col("base_us")
     by_context = lambda d: F.when(F.col("entry_context") == "opening", d["opening"]).when(F.col("entry_context") == "after-filler", d["after-filler"]).otherwise(d["normal"])
-
-    lo = F.greatest(F.col("__base"), pred - r.SPLICE_PREROLL_US)
-    hi = F.least(F.col("source_end_us") - 250_000, first + r.SPLICE_POSTROLL_US)
-    s = s.withColumn("__zlo", F.when(hi < lo, first).otherwise(lo)).withColumn("__zhi", F.when(hi < lo, first).otherwise(hi))
-    qlo = F.greatest(F.col("min_start_us"), first - by_context(r.HEADROOM_LIMIT_US))
-    qhi = F.least(first - r.MIN_HEADROOM_US, F.col("source_end_us") - 250_000)
-    s = stage(s.withColumn("__qlo", qlo).withColumn("__qhi", qhi), "starts")
-    # Continuous speech: the zero crossing nearest to the first word.
-    total = samples.groupBy("media_id").agg(F.max("i").alias("__max_i"))
-    z = s.filter(cont).join(total, "media_id").select(
-        "media_id", F.col("seg_no").alias("query_id"),
-        F.greatest(F.lit(1).cast("long"), F.floor(F.col("__zlo") * sample_rate / 1_000_000)).alias("lo"),
-        F.least("__max_i", F.ceil(F.col("__zhi") * sample_rate / 1_000_000)).alias("hi"),
-        F.least(F.col("__max_i"), F.greatest(F.lit(1).cast("long"), F.bround(first * sample_rate / 1_000_000, 0).cast("long"))).alias("target"))
-    z = nearest_zero_cross(z, samples).select("media_id", F.col("query_id").alias("seg_no"), F.bround(F.col("nearest") * 1_000_000 / sample_rate, 0).cast("long").alias("__splice"))
-
-    # A speech onset near the entry, else a quiet point before the first word.
-    onset = match_onset(s.filter(~cont).select("media_id", F.col("seg_no").alias("entry_id"), "entry_context", "first_start_us", "predecessor_end_us"), regions)
-    onset = onset.select("media_id", F.col("entry_id").alias("seg_no"), "onset_us", "onset_peak")
-    q = s.filter(~cont).select("media_id", F.col("seg_no").alias("query_id"), F.col("__qlo").alias("lo"), F.col("__qhi").alias("hi"),
-                               F.greatest(F.col("__qlo"), first - by_context(r.HEADROOM_US)).alias("target"))
-    q = nearest_quiet(q, frames, flag).select("media_id", F.col("query_id").alias("seg_no"), F.col("nearest").alias("__quiet"))
-    s = s.join(z, ["media_id", "seg_no"], "left").join(onset, ["media_id", "seg_no"], "left").join(q, ["media_id", "seg_no"], "left")
+    s = s.withColumn("base_us", F.greatest(F.col("window_start_us"), F.when(F.col("seg_no") == 1, F.col("window_start_us")).otherwise(F.col("prev_end_us") + 10_000)))
+    s = s.withColumn("min_start_us", F.greatest(base, F.when(~cont, pred + F.when(F.col("discarded"), 15_000).otherwise(5_000))))
+    s = s.join(samples.groupBy("media_id").agg(F.max("i").alias("max_i")), "media_id", "left")
+    lo, hi = F.greatest(base, pred - r.SPLICE_PREROLL_US), F.least(F.col("source_end_us") - 250_000, first + r.SPLICE_POSTROLL_US)
+    sample = lambda c: c * sample_rate / 1_000_000
+    s = s.withColumns({
+        "z_lo": F.greatest(F.lit(1).cast("long"), F.floor(sample(F.when(hi < lo, first).otherwise(lo)))), "z_hi": F.least("max_i", F.ceil(sample(F.when(hi < lo, first).otherwise(hi)))),
+        "z_at": F.least(F.col("max_i"), F.greatest(F.lit(1).cast("long"), F.bround(sample(first), 0).cast("long"))),
+        "q_lo": F.greatest(F.col("min_start_us"), first - by_context(r.HEADROOM_LIMIT_US)), "q_hi": F.least(first - r.MIN_HEADROOM_US, F.col("source_end_us") - 250_000)})
+    s = s.withColumn("q_at", F.greatest(F.col("q_lo"), first - by_context(r.HEADROOM_US)))
+    o_lo, o_hi = onset_window(F.col("entry_context"), first, pred)
+    within = lambda at, a, b: F.least(b, F.greatest(a, at))
+    grid = lambda c: F.floor(F.col(c) / r.FRAME_US) * r.FRAME_US
+    settled = quiet.filter("settled").select("media_id", (F.col("frame") * r.FRAME_US).alias("at"))
+    speech = regions.select("media_id", F.col("region_start_us").alias("at"), F.col("region_end_us").alias("end_us"), F.col("peak").cast("double").alias("peak"))
+    s = joins.sweep(
+        s, "media_id", "seg_no",
+        {"splice": (cont, within(F.col("z_at"), F.col("z_lo"), F.col("z_hi")), F.col("z_lo"), F.col("z_hi")),
+         "onset": (~cont & o_lo.isNotNull(), within(first, o_lo, o_hi), o_lo, o_hi),
+         "quiet": (~cont & (F.col("q_hi") >= F.col("q_lo")), within(F.col("q_at"), grid("q_lo"), grid("q_hi")), grid("q_lo"), grid("q_hi"))},
+        {"splice": (crossing_facts(samples), 1 << 14), "onset": (speech, 1 << 21), "quiet": (settled, FRAME_BUCKET * r.FRAME_US)})
+    reaches = F.col("onset_before.end_us") >= first - r.ONSET_REACH_US
+    s = s.withColumn("onset_before", F.when(reaches, F.col("onset_before"))).withColumn("onset", joins.nearer("onset", first))
+    crossing = F.coalesce(joins.nearer("splice", F.col("z_at"))["at"], within(F.col("z_at"), F.col("z_lo"), F.col("z_hi")))
+    s = s.withColumns({
+        "onset_us": F.col("onset.at"), "onset_peak": F.col("onset.peak"), "__quiet": joins.nearer("quiet", F.col("q_at"))["at"],
+        "__splice": F.when(cont, F.bround(crossing * 1_000_000 / sample_rate, 0).cast("long")), "__qlo": F.col("q_lo"), "__qhi": F.col("q_hi")})
 
     has_onset = F.col("onset_us").isNotNull()
     start = (

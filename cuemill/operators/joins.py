@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.operators import scans
@@ -14,6 +14,68 @@ def with_buckets(df: DataFrame, lower, upper, width: int, name: str = "__bucket"
     return df.withColumn(name, F.explode(F.sequence(lo, F.greatest(lo, hi))))
 
 
+def beside_rows(df: DataFrame, key: str, pos: str, **columns) -> DataFrame:
+    """Add columns of the row ``offset`` places on: ``name=(column, offset)``. ``pos`` is dense inside ``key``. Each row sends its
+    value to the position that asks for it, so rows meet by (key, pos): no window, and no key gathers."""
+    own = F.struct(*[c for c in df.columns if c not in (key, pos)])
+    kind = df.select(own.alias("r")).schema["r"].dataType
+    none = {n: F.lit(None).cast(df.schema[c].dataType) for n, (c, _) in columns.items()}
+    sent = [F.struct(F.col(pos).cast("long").alias("p"), own.alias("r"), *[v.alias(n) for n, v in none.items()])]
+    for name, (c, offset) in columns.items():
+        sent.append(F.struct((F.col(pos) - offset).cast("long").alias("p"), F.lit(None).cast(kind).alias("r"), *[(F.col(c) if n == name else v).alias(n) for n, v in none.items()]))
+    rows = df.select(key, F.explode(F.array(*sent)).alias("s")).select(key, "s.*")
+    met = rows.groupBy(key, "p").agg(F.first("r", True).alias("r"), *[F.first(n, True).alias(n) for n in columns])
+    return met.filter("r IS NOT NULL").select(key, F.col("p").alias(pos), "r.*", *columns)
+
+
+def sweep(rows: DataFrame, key: str, pos: str, asks: dict, facts: dict) -> DataFrame:
+    """Look up several kinds of facts in one ordered pass: the nearest at or before, and at or after, a point of each row.
+
+    ``asks``: kind -> (condition, at, lo, hi), integer columns of ``rows``; ``facts``: kind -> (DataFrame of key, at and payload columns,
+    bucket width). Adds ``<kind>_before`` and ``<kind>_after``, structs of ``at`` and payload, null where none lies in [lo, hi].
+
+    All sources are stacked and dealt by (key, kind, time bucket); a row asks in each bucket that its window touches, so the
+    windows should be short against the width. Running values inside a bucket find the facts, and one aggregate per row
+    puts the buckets together. Facts and rows are read once; rows take no part in a join."""
+    payload = {}
+    for df, _ in facts.values():
+        payload |= {f.name: f.dataType for f in df.schema if f.name not in (key, "at")}
+    own = F.struct(*[c for c in rows.columns if c not in (key, pos)])
+    own_type = rows.select(own.alias("r")).schema["r"].dataType
+    nothing = F.lit(None).cast(own_type)
+    long = lambda c: c.cast("long")
+    parts = [F.struct(F.lit("").alias("kind"), long(F.lit(None)).alias("at"), long(F.lit(None)).alias("lo"), long(F.lit(None)).alias("hi"), F.array(F.col(pos).cast("long")).alias("buckets"), own.alias("row"))]
+    for kind, (when, at, lo, hi) in asks.items():
+        width = facts[kind][1]
+        buckets = F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width))
+        ask = F.struct(F.lit(kind).alias("kind"), long(at).alias("at"), long(lo).alias("lo"), long(hi).alias("hi"), buckets.alias("buckets"), nothing.alias("row"))
+        parts.append(F.when(when & (hi >= lo), ask))
+    asked = rows.select(key, F.col(pos).cast("long").alias("__pos"), F.explode(F.array_compact(F.array(*parts))).alias("a"))
+    asked = asked.select(key, "__pos", "a.kind", "a.at", "a.lo", "a.hi", "a.row", F.explode("a.buckets").alias("bucket"), *[F.lit(None).cast(t).alias(f"f_{n}") for n, t in payload.items()])
+    stacked = asked
+    for kind, (df, width) in facts.items():
+        have = [(F.col(n) if n in df.columns else F.lit(None).cast(t)).alias(f"f_{n}") for n, t in payload.items()]
+        fact = df.select(key, F.lit(None).cast("long").alias("__pos"), F.lit(kind).alias("kind"), long(F.col("at")).alias("at"), long(F.lit(None)).alias("lo"), long(F.lit(None)).alias("hi"),
+                         nothing.alias("row"), F.floor(F.col("at") / width).alias("bucket"), *have)
+        stacked = stacked.unionByName(fact)
+    fact = F.when(F.col("__pos").isNull(), F.struct("at", *[F.col(f"f_{n}").alias(n) for n in payload]))
+    cell = Window.partitionBy(key, "kind", "bucket")
+    span = (Window.unboundedPreceding, Window.currentRow)
+    seen = stacked.withColumn("before", F.max(fact).over(cell.orderBy("at").rangeBetween(*span)))
+    seen = seen.withColumn("after", F.min(fact).over(cell.orderBy(F.desc("at")).rangeBetween(*span))).filter("__pos IS NOT NULL")
+    inside = lambda side, kind: F.when((F.col("kind") == kind) & F.col(side)["at"].between(F.col("lo"), F.col("hi")), F.col(side))
+    found = [x for kind in asks for x in (F.max(inside("before", kind)).alias(f"{kind}_before"), F.min(inside("after", kind)).alias(f"{kind}_after"))]
+    met = seen.groupBy(key, "__pos").agg(F.first("row", True).alias("row"), *found)
+    return met.select(key, F.col("__pos").alias(pos), "row.*", *[f"{k}_{s}" for k in asks for s in ("before", "after")])
+
+
+def nearer(kind: str, target: Column) -> Column:
+    """Of the facts that ``sweep`` found, the one nearer to ``target``; the earlier at equal distances."""
+    before, after = F.col(f"{kind}_before"), F.col(f"{kind}_after")
+    closer = F.coalesce(F.abs(after["at"] - target) < F.abs(before["at"] - target), F.lit(False))
+    return F.when(before["at"].isNull() | closer, after).otherwise(before)
+
+
 def bucketed_range_join(
     points: DataFrame, ranges: DataFrame, keys, at, lower, upper, condition: Column, width: int, how: str = "inner"
 ) -> DataFrame:

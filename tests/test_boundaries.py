@@ -99,7 +99,8 @@ def test_against_a_walk(spark):
         regions="media_id long, region_start_us long, region_end_us long, peak double", samples="media_id long, i long, v int", next="media_id long, seg_no long, next_word_start_us long",
         win="media_id long, window_start_us long, window_end_us long")
     d = {k: spark.createDataFrame(v, schemas[k]) for k, v in all_in.items()}
-    got = fr.refine_boundaries(d["segs"], d["ctx"], d["frames"], d["regions"], d["samples"], d["next"], d["win"], sample_rate=rate).collect()
+    segments = d["segs"].join(d["ctx"], ["media_id", "seg_no"]).join(d["next"], ["media_id", "seg_no"]).join(d["win"], "media_id")
+    got = fr.refine_boundaries(segments, d["frames"], d["regions"], d["samples"], sample_rate=rate).collect()
     for media in want:
         mine = sorted((r.seg_no, r.refined_start_us, r.refined_end_us, names[r.entry_strategy], r.entry_clean, r.tail_clear) for r in got if r.media_id == media)
         assert mine == want[media], media
