@@ -172,7 +172,51 @@ def boundary_segments(w):
     return stage(s, "segments")
 
 
-@query("refine_boundaries", "W20")
+REFINED = FR + """,
+w AS (SELECT media_id, frame AS pos, event_id, value, floor(value * 100)::BIGINT AS c, frame * 200000 AS a, frame * 200000 + floor(value * 100)::BIGINT % 150000 + 40000 AS b, value < 12 AS filler FROM frames),
+x AS (SELECT *, {'pe': lag(b) OVER o, 'pf': lag(filler) OVER o} AS before, {'a': lead(a) OVER o} AS following, sum(filler::INT) OVER o AS island FROM w WINDOW o AS (PARTITION BY media_id ORDER BY pos)),
+s0 AS (SELECT media_id, island, min(a) AS a, max(b) AS b, min_by(before, pos) AS before, max_by(following, pos) AS following FROM x WHERE NOT filler GROUP BY 1, 2),
+s1 AS (SELECT media_id, row_number() OVER o AS seg_no, a, b, before.pe AS pe, coalesce(before.pf AND a - before.pe <= 900000, false) AS disc, following.a AS nw, lead(a) OVER o AS nxt FROM s0 WINDOW o AS (PARTITION BY media_id ORDER BY a)),
+win AS (SELECT media_id, max(pos) * 200000 + 200000 AS w1 FROM w GROUP BY 1),
+s2 AS (SELECT s1.*, w1, CASE WHEN seg_no = 1 THEN 'opening' WHEN disc THEN 'after-filler' ELSE 'normal' END AS cx, coalesce(disc AND a - pe BETWEEN -20000 AND 12000, false) AS cont,
+  CASE WHEN nw >= b THEN least(w1, b + 350000, coalesce(nxt, w1) - 10000, nw) ELSE least(w1, b + 350000, coalesce(nxt, w1) - 10000) END AS tail FROM s1 JOIN win USING (media_id)),
+act AS (SELECT media_id, pos * 20 + k AS f, NOT (k * 10000 < c % 150000 + 40000 AND value >= 12) AS q FROM w, range(20) t(k)),
+qf AS (SELECT media_id, f, q AND coalesce(lead(q) OVER o, false) AS opens, q AND coalesce(lag(q) OVER o, true) AS settled FROM act WINDOW o AS (PARTITION BY media_id ORDER BY f)),
+t AS (SELECT s2.media_id, seg_no, min(f) * 10000 AS quiet FROM s2 JOIN qf ON qf.media_id = s2.media_id AND opens AND f >= greatest(0, b - 20000) // 10000 AND f + 1 <= tail // 10000 GROUP BY 1, 2),
+e0 AS (SELECT s2.*, quiet, CASE WHEN quiet IS NULL THEN b ELSE greatest(b, quiet) END AS off FROM s2 LEFT JOIN t USING (media_id, seg_no)),
+e1 AS (SELECT *, CASE WHEN quiet IS NULL THEN least(tail, greatest(b, b + 20000)) ELSE least(tail, off + 100000) END AS en FROM e0),
+e2 AS (SELECT *, quiet IS NOT NULL AND en - off >= 19500 AS tail_clear, greatest(en, b + least(20000, greatest(0, tail - b))) AS r1 FROM e1),
+e3 AS (SELECT *, greatest(0, CASE WHEN seg_no = 1 THEN 0 ELSE lag(r1) OVER (PARTITION BY media_id ORDER BY seg_no) + 10000 END) AS base FROM e2),
+e4 AS (SELECT *, CASE WHEN NOT cont AND pe IS NOT NULL THEN greatest(base, pe + CASE WHEN disc THEN 15000 ELSE 5000 END) ELSE base END AS low,
+  CASE cx WHEN 'opening' THEN 32000 WHEN 'after-filler' THEN 30000 ELSE 55000 END AS room, CASE cx WHEN 'opening' THEN 60000 WHEN 'after-filler' THEN 60000 ELSE 90000 END AS most,
+  CASE cx WHEN 'opening' THEN greatest(0, a - 300000) WHEN 'after-filler' THEN greatest(pe + 40000, a - 120000) ELSE a - 80000 END AS o0, a + CASE cx WHEN 'normal' THEN 450000 ELSE 600000 END AS o1,
+  CASE WHEN least(b - 250000, a + 2000) < greatest(base, pe - 4000) THEN a ELSE greatest(base, pe - 4000) END AS z0,
+  CASE WHEN least(b - 250000, a + 2000) < greatest(base, pe - 4000) THEN a ELSE least(b - 250000, a + 2000) END AS z1 FROM e3),
+smp AS (SELECT media_id, pos * 100 + k AS i, (c * (k + 1)) % 401 - 200 AS v FROM w, range(100) t(k)),
+cr AS (SELECT media_id, i FROM (SELECT *, lag(v) OVER (PARTITION BY media_id ORDER BY i) AS p FROM smp) WHERE p IS NOT NULL AND (v = 0 OR p = 0 OR (p < 0) <> (v < 0))),
+mx AS (SELECT media_id, max(i) AS mi FROM smp GROUP BY 1),
+e5 AS (SELECT e4.*, greatest(1, floor(z0 * 500 / 1000000)::BIGINT) AS i0, least(mi, ceil(z1 * 500 / 1000000)::BIGINT) AS i1, least(mi, greatest(1, round_even(a * 500 / 1000000, 0)::BIGINT)) AS it,
+  greatest(low, a - most) AS q0, least(a - 20000, b - 250000) AS q1 FROM e4 JOIN mx USING (media_id)),
+zz AS (SELECT e.media_id, seg_no, min_by(i, [abs(i - it), i]) AS z FROM e5 e JOIN cr ON cr.media_id = e.media_id AND cont AND i BETWEEN i0 AND i1 GROUP BY 1, 2),
+oo AS (SELECT e.media_id, seg_no, min_by({'s': rs, 'p': peak}, [abs(rs - a), rs]) AS o FROM e5 e JOIN (SELECT media_id, pos * 200000 + event_id % 60000 AS rs, pos * 200000 + 180000 AS re, value / 500 AS peak FROM w WHERE value > 50) r
+  ON r.media_id = e.media_id AND NOT cont AND rs BETWEEN o0 AND o1 AND re >= a - 40000 GROUP BY 1, 2),
+qq AS (SELECT e.media_id, seg_no, min_by(f * 10000, [abs(f * 10000 - greatest(q0, a - room)), f]) AS q FROM e5 e JOIN qf ON qf.media_id = e.media_id AND settled AND NOT cont AND q1 >= q0 AND f BETWEEN q0 // 10000 AND q1 // 10000 GROUP BY 1, 2),
+f0 AS (SELECT e5.*, o.s AS ons, o.p AS peak, qq.q AS q,
+  CASE WHEN cont THEN coalesce(z, least(i1, greatest(i0, it))) * 2000 WHEN o.s IS NOT NULL THEN greatest(low, o.s - room) ELSE coalesce(qq.q, greatest(q0, least(q1, a - 20000))) END AS r0
+  FROM e5 LEFT JOIN zz USING (media_id, seg_no) LEFT JOIN oo USING (media_id, seg_no) LEFT JOIN qq USING (media_id, seg_no)),
+f1 AS (SELECT *, CASE WHEN cont OR ons IS NULL THEN a ELSE ons END AS onset FROM f0),
+f2 AS (SELECT *, greatest(0, onset - r0) AS head, greatest(0, r1 - off) AS tailroom, coalesce(disc AND NOT cont AND r0 <= pe + 500, false) AS leak FROM f1),
+f3 AS (SELECT *, CASE WHEN cont THEN r0 >= pe - 4500 AND r0 <= a + 2500 WHEN ons IS NOT NULL THEN head >= 19500 ELSE q IS NOT NULL END AS clean FROM f2)
+SELECT media_id, seg_no, r0 AS refined_start_us, r1 AS refined_end_us, cx AS entry_context,
+  CASE WHEN cont THEN 'continuous-speech-zero-cross-splice' WHEN ons IS NOT NULL THEN 'silero-speech-onset' ELSE 'energy-trough-near-asr' END AS entry_strategy, clean AND NOT leak AS entry_clean, tail_clear,
+  onset AS speech_onset_us, CASE WHEN NOT cont THEN peak END AS onset_peak, head AS headroom_us, off AS speech_offset_us, tailroom AS tailroom_us,
+  CASE WHEN clean AND NOT leak AND cont THEN 4 WHEN clean AND NOT leak AND head >= 40000 THEN 8 ELSE 0 END AS fade_in_ms, CASE WHEN tail_clear AND tailroom >= 20000 THEN 8 ELSE 0 END AS fade_out_ms,
+  list_filter([CASE WHEN NOT clean THEN CASE WHEN cont THEN 'unsafe_continuous_splice_boundary' ELSE 'no_quiet_entry_boundary' END END, CASE WHEN leak THEN 'discarded_filler_tail_may_leak' END,
+    CASE WHEN NOT tail_clear THEN 'no_confirmed_quiet_tail' END, CASE WHEN r1 <= r0 THEN 'invalid_refined_bounds' END], lambda v: v IS NOT NULL) AS errors FROM f3
+"""
+
+
+@query("refine_boundaries", "W20", REFINED)
 def _(spark, sf):
     w, act, smp, reg = boundary_inputs(spark, sf)
     s = boundary_segments(w)
