@@ -240,19 +240,18 @@ def refine_boundaries(segments: DataFrame, frames: DataFrame, regions: DataFrame
         "q_lo": F.greatest(F.col("min_start_us"), first - by_context(r.HEADROOM_LIMIT_US)), "q_hi": F.least(first - r.MIN_HEADROOM_US, F.col("source_end_us") - 250_000)})
     s = s.withColumn("q_at", F.greatest(F.col("q_lo"), first - by_context(r.HEADROOM_US)))
     o_lo, o_hi = onset_window(F.col("entry_context"), first, pred)
-    within = lambda at, a, b: F.least(b, F.greatest(a, at))
     grid = lambda c: F.floor(F.col(c) / r.FRAME_US) * r.FRAME_US
     settled = quiet.filter("settled").select("media_id", (F.col("frame") * r.FRAME_US).alias("at"))
     speech = regions.select("media_id", F.col("region_start_us").alias("at"), F.col("region_end_us").alias("end_us"), F.col("peak").cast("double").alias("peak"))
     s = joins.sweep(
         s, "media_id", "seg_no",
-        {"splice": (cont, within(F.col("z_at"), F.col("z_lo"), F.col("z_hi")), F.col("z_lo"), F.col("z_hi")),
-         "onset": (~cont & o_lo.isNotNull(), within(first, o_lo, o_hi), o_lo, o_hi),
-         "quiet": (~cont & (F.col("q_hi") >= F.col("q_lo")), within(F.col("q_at"), grid("q_lo"), grid("q_hi")), grid("q_lo"), grid("q_hi"))},
+        {"splice": (cont, F.col("z_at"), F.col("z_lo"), F.col("z_hi")),
+         "onset": (~cont & o_lo.isNotNull(), first, o_lo, o_hi),
+         "quiet": (~cont & (F.col("q_hi") >= F.col("q_lo")), F.col("q_at"), grid("q_lo"), grid("q_hi"))},
         {"splice": (crossing_facts(samples), 1 << 14), "onset": (speech, 1 << 21), "quiet": (settled, FRAME_BUCKET * r.FRAME_US)})
     reaches = F.col("onset_before.end_us") >= first - r.ONSET_REACH_US
     s = s.withColumn("onset_before", F.when(reaches, F.col("onset_before"))).withColumn("onset", joins.nearer("onset", first))
-    crossing = F.coalesce(joins.nearer("splice", F.col("z_at"))["at"], within(F.col("z_at"), F.col("z_lo"), F.col("z_hi")))
+    crossing = F.coalesce(joins.nearer("splice", F.col("z_at"))["at"], F.least("z_hi", F.greatest("z_lo", "z_at")))
     s = s.withColumns({
         "onset_us": F.col("onset.at"), "onset_peak": F.col("onset.peak"), "__quiet": joins.nearer("quiet", F.col("q_at"))["at"],
         "__splice": F.when(cont, F.bround(crossing * 1_000_000 / sample_rate, 0).cast("long")), "__qlo": F.col("q_lo"), "__qhi": F.col("q_hi")})

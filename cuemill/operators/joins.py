@@ -29,7 +29,8 @@ def beside_rows(df: DataFrame, key: str, pos: str, **columns) -> DataFrame:
 
 
 def sweep(rows: DataFrame, key: str, pos: str, asks: dict, facts: dict) -> DataFrame:
-    """Look up several kinds of facts in one ordered pass: the nearest at or before, and at or after, a point of each row.
+    """Look up several kinds of facts in one ordered pass: the nearest at or before, and at or after, a point of each row, moved
+    into its window.
 
     ``asks``: kind -> (condition, at, lo, hi), integer columns of ``rows``; ``facts``: kind -> (DataFrame of key, at and payload columns,
     bucket width). Adds ``<kind>_before`` and ``<kind>_after``, structs of ``at`` and payload, null where none lies in [lo, hi].
@@ -48,7 +49,7 @@ def sweep(rows: DataFrame, key: str, pos: str, asks: dict, facts: dict) -> DataF
     for kind, (when, at, lo, hi) in asks.items():
         width = facts[kind][1]
         buckets = F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width))
-        ask = F.struct(F.lit(kind).alias("kind"), long(at).alias("at"), long(lo).alias("lo"), long(hi).alias("hi"), buckets.alias("buckets"), nothing.alias("row"))
+        ask = F.struct(F.lit(kind).alias("kind"), long(F.least(hi, F.greatest(lo, at))).alias("at"), long(lo).alias("lo"), long(hi).alias("hi"), buckets.alias("buckets"), nothing.alias("row"))
         parts.append(F.when(when & (hi >= lo), ask))
     asked = rows.select(key, F.col(pos).cast("long").alias("__pos"), F.explode(F.array_compact(F.array(*parts))).alias("a"))
     asked = asked.select(key, "__pos", "a.kind", "a.at", "a.lo", "a.hi", "a.row", F.explode("a.buckets").alias("bucket"), *[F.lit(None).cast(t).alias(f"f_{n}") for n, t in payload.items()])
@@ -76,21 +77,50 @@ def nearer(kind: str, target: Column) -> Column:
     return F.when(before["at"].isNull() | closer, after).otherwise(before)
 
 
+LEVELS = 32
+
+
+def range_cells(lower: Column, upper: Column, width: int) -> Column:
+    """Cells (level, place) of doubling width that make up the range [lower, upper] of buckets of ``width``: at most two a level,
+    so a range over a whole item has fewer than 64, and none covers a bucket outside. Level k has cells of 2^k buckets."""
+    a, b = F.floor(lower / width).cast("long"), F.greatest(F.floor(lower / width), F.floor(upper / width)).cast("long") + 1
+    cells = []
+    for k in range(LEVELS):
+        # Ends of the range in cells of this level, what the finer levels have taken left out.
+        lo, hi = F.shiftright(a + ((1 << k) - 1), k), F.shiftright(b, k)
+        odd = lambda c: c.bitwiseAND(1) == 1
+        cells.append(F.when((lo < hi) & odd(lo), F.struct(F.lit(k).alias("level"), lo.alias("place"))))
+        cells.append(F.when((lo < hi) & odd(hi), F.struct(F.lit(k).alias("level"), (hi - 1).alias("place"))))
+    return F.array_compact(F.array(*cells))
+
+
 def bucketed_range_join(
     points: DataFrame, ranges: DataFrame, keys, at, lower, upper, condition: Column, width: int, how: str = "inner"
 ) -> DataFrame:
-    """Join each point to the ranges holding it: equi join on (keys, time bucket), ``condition`` as residual.
-    A point lies in exactly one bucket, so no pair comes out twice. The bucket keeps one long item spread."""
+    """Join each point to the ranges holding it: equi join on (keys, level, cell), ``condition`` as residual.
+
+    A range is cut into cells of doubling width, a point is looked up once in each level that some range uses (one row per
+    level, at most ``LEVELS``). The cells of a range don't overlap, so no pair comes out twice. Short ranges stay in the finest level;
+    a long one costs a few rows and not one per bucket, and one long item stays spread. An outer join goes by buckets of
+    ``width``: there a point has to come out once, matched or not."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    left = points.withColumn("__bucket", F.floor(at / width))
-    right = with_buckets(ranges, lower, upper, width)
-    for k in keys + ["__bucket"]:
-        right = right.withColumnRenamed(k, f"__r_{k.strip('_')}")
+    if how != "inner":
+        left, right = points.withColumn("__cell", F.floor(at / width)), with_buckets(ranges, lower, upper, width, "__cell")
+        return joined_on_cells(left, right, keys, condition, how)
+    right = ranges.withColumn("__cell", F.explode(range_cells(lower, upper, width)))
+    used = right.select(F.array_sort(F.collect_set("__cell.level")).alias("levels"))
+    levels = used.scalar()
+    place = F.floor(at / width).cast("long")
+    left = points.withColumn("__level", F.explode(levels)).withColumn("__cell", F.struct(F.col("__level").alias("level"), F.call_function("shiftright", place, F.col("__level")).alias("place"))).drop("__level")
+    return joined_on_cells(left, right, keys, condition, how)
+
+
+def joined_on_cells(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, how: str) -> DataFrame:
     match = condition
-    for k in keys + ["__bucket"]:
+    for k in keys + ["__cell"]:
+        right = right.withColumnRenamed(k, f"__r_{k.strip('_')}")
         match = (F.col(k) == F.col(f"__r_{k.strip('_')}")) & match
-    joined = left.join(right, match, how)
-    return joined.drop("__bucket", *[f"__r_{k.strip('_')}" for k in keys + ["__bucket"]])
+    return left.join(right, match, how).drop("__cell", *[f"__r_{k.strip('_')}" for k in keys + ["__cell"]])
 
 
 def asof(points: DataFrame, facts: DataFrame, keys, at: str, fact_at: str, fact_tie: str, width: int,

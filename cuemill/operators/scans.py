@@ -30,11 +30,11 @@ class Scan:
     kind: str
     expr: Column
 
-    def local(self, w):
+    def local(self, w, back):
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        after = w.rowsBetween(1, Window.unboundedFollowing)
-        onward = w.rowsBetween(0, Window.unboundedFollowing)
+        # Looking ahead is looking back in the opposite order: a frame that runs to the end is read anew for every row.
+        after, onward = back.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, 0)
         e = self.expr
         return {
             "sum_before": lambda: F.sum(e).over(before),
@@ -45,8 +45,8 @@ class Scan:
             "lead": lambda: F.lead(F.struct(e.alias("v"))).over(w),
             "last_before": lambda: F.last(e, True).over(before),
             "last_upto": lambda: F.last(e, True).over(upto),
-            "next_after": lambda: F.first(e, True).over(after),
-            "next_from": lambda: F.first(e, True).over(onward),
+            "next_after": lambda: F.last(e, True).over(after),
+            "next_from": lambda: F.last(e, True).over(onward),
         }[self.kind]()
 
     def total(self, order):
@@ -63,9 +63,8 @@ class Scan:
             return F.max_by(e, F.when(e.isNotNull(), order))
         return F.min_by(e, F.when(e.isNotNull(), order))
 
-    def carry(self, t, w):
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        after = w.rowsBetween(1, Window.unboundedFollowing)
+    def carry(self, t, w, back):
+        before, after = w.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
         if self.kind in ("sum_before", "sum_upto"):
             return F.sum(t).over(before)
         if self.kind in ("max_before", "max_upto"):
@@ -76,7 +75,7 @@ class Scan:
             return F.lead(t).over(w)
         if self.kind in ("last_before", "last_upto"):
             return F.last(t, True).over(before)
-        return F.first(t, True).over(after)
+        return F.last(t, True).over(after)
 
     def merge(self, here, carried):
         if self.kind in ("sum_before", "sum_upto"):
@@ -127,13 +126,13 @@ def scan(df: DataFrame, keys, order, block: Column | None = None, **specs: Scan)
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     per_block = blocked.groupBy(*keys, BLK).agg(*[s.total(at).alias(f"__t_{n}") for n, s in specs.items()])
-    over_blocks = Window.partitionBy(*keys).orderBy(BLK)
+    over_blocks, blocks_back = Window.partitionBy(*keys).orderBy(BLK), Window.partitionBy(*keys).orderBy(F.desc(BLK))
     carried = per_block.select(
-        *keys, BLK, *[s.carry(F.col(f"__t_{n}"), over_blocks).alias(f"__c_{n}") for n, s in specs.items()]
+        *keys, BLK, *[s.carry(F.col(f"__t_{n}"), over_blocks, blocks_back).alias(f"__c_{n}") for n, s in specs.items()]
     )
 
-    inside = Window.partitionBy(*keys, BLK).orderBy(*order)
-    rows = blocked.select("*", *[s.local(inside).alias(f"__l_{n}") for n, s in specs.items()])
+    inside, back = Window.partitionBy(*keys, BLK).orderBy(*order), Window.partitionBy(*keys, BLK).orderBy(*map(F.desc, order))
+    rows = blocked.select("*", *[s.local(inside, back).alias(f"__l_{n}") for n, s in specs.items()])
     kept = [c for c in df.columns if c not in specs]
     return rows.join(carried, keys + [BLK], "left").select(
         *kept, *[s.merge(F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, s in specs.items()]
