@@ -49,16 +49,7 @@ def _(spark, sf):
 WITH k AS (SELECT item_id, trim(text) AS quote FROM benchmark)
 SELECT k.item_id, d.doc_id, instr(d.text, quote)::INT AS "offset" FROM k JOIN documents d ON instr(d.text, quote) > 0""")
 def _(spark, sf):
-    # Documents meet an item only where they share the item's longest word, so the literal test runs on few pairs.
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    k = table(spark, sf, "benchmark").select("item_id", F.btrim("text").alias("quote"))
-    parts = F.split("quote", "[ \n]+")
-    inner = F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 2))
-    key = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    tokens = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("w"))
-    pairs = tokens.join(k.select("item_id", key.alias("w")), "w").select("doc_id", "item_id")
-    near = pairs.join(k, "item_id").join(d, "doc_id")
-    return near.withColumn("offset", F.instr("text", F.col("quote"))).filter("offset > 0").select("item_id", "doc_id", "offset")
+    return dialogue.find_quotes(table(spark, sf, "benchmark").select("item_id", F.btrim("text").alias("text")), table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("range_coverage", "C3", "WITH " + views.LINES + """,

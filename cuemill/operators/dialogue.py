@@ -45,6 +45,30 @@ def verify_quotes(evidence: DataFrame, sources: DataFrame, source_id: str = "sou
     return j.withColumn("found", F.col("offset") > 0).withColumn("line", F.when(F.col("offset") > 0, line)).drop("__t")
 
 
+def find_quotes(quotes: DataFrame, sources: DataFrame, quote_id: str = "item_id", source_id: str = "doc_id", window: int = 8, block_chars: int = 4096) -> DataFrame:
+    """Where quotes of any length stand word for word in any source: quote_id, source_id, offset (from 1, the first place).
+
+    Every quote of at least ``window`` characters is posted under one of its grams, the one that fewest other quotes hold; shorter
+    quotes under themselves, by length. A text is cut once into blocks that overlap by a gram, each block's distinct grams meet the
+    postings, and only pairs of a quote and a source that share the posted gram are compared, on whole texts. A text is read
+    once however many quotes there are; the texts of a frequent gram are split by source. Empty and null quotes are nowhere."""
+    q = quotes.select(F.col(quote_id).alias("__q"), F.col("text").alias("__quote")).filter(F.length("__quote") > 0)
+    n = F.least(F.length("__quote"), F.lit(window))
+    grams = q.select("__q", "__quote", n.alias("__n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__quote") - n + 1), lambda i: F.substring(F.col("__quote"), i, n)))).alias("__g"))
+    held = grams.groupBy(F.col("__g").alias("__held")).agg(F.count(F.lit(1)).alias("__in"))
+    rarest = grams.join(held, F.col("__g") == F.col("__held")).groupBy("__q", "__quote", "__n").agg(F.min(F.struct("__in", "__g")).alias("__p"))
+    posted = rarest.select("__q", "__quote", F.col("__n").alias("__size"), F.col("__p.__g").alias("__key"))
+    sizes = posted.select(F.collect_set("__size").alias("s")).scalar()
+    t = sources.select(F.col(source_id).alias("__s"), F.col("text").alias("__t")).filter(F.length("__t") > 0)
+    blocks = t.select("__s", F.explode(F.sequence(F.lit(1), F.length("__t"), F.lit(block_chars))).alias("__from"), "__t")
+    blocks = blocks.select("__s", F.substring(F.col("__t"), F.col("__from"), F.lit(block_chars + window - 1)).alias("__b"))
+    cut = blocks.select("__s", "__b", F.explode(sizes).alias("__size")).filter(F.length("__b") >= F.col("__size"))
+    seen = cut.select("__s", F.col("__size").alias("__z"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__b") - F.col("__size") + 1), lambda i: F.substring(F.col("__b"), i, F.col("__size"))))).alias("__w"))
+    pairs = seen.join(posted.select("__q", "__size", "__key"), (F.col("__w") == F.col("__key")) & (F.col("__z") == F.col("__size"))).select("__s", "__q").distinct()
+    met = pairs.join(posted.select("__q", "__quote"), "__q").join(t, "__s").withColumn("offset", F.instr("__t", F.col("__quote")))
+    return met.filter("offset > 0").select(F.col("__q").alias(quote_id), F.col("__s").alias(source_id), "offset")
+
+
 def range_coverage(evidence: DataFrame, sources: DataFrame, source_id: str = "source_id") -> DataFrame:
     """Lines cited at least once against the lines of each source. ``evidence``: line_start, line_end (from 1, inclusive)."""
     e = evidence.withColumn("__id", F.lit(0)) if "evidence_id" not in evidence.columns else evidence.withColumnRenamed("evidence_id", "__id")

@@ -84,27 +84,32 @@ def range_cells(lower: Column, upper: Column, width: int) -> Column:
     """Cells (level, place) of doubling width that make up the range [lower, upper] of buckets of ``width``: at most two a level,
     so a range over a whole item has fewer than 64, and none covers a bucket outside. Level k has cells of 2^k buckets."""
     a, b = F.floor(lower / width).cast("long"), F.greatest(F.floor(lower / width), F.floor(upper / width)).cast("long") + 1
-    cells = []
-    for k in range(LEVELS):
+    cell = lambda k, at: F.struct(k.cast("int").alias("level"), at.cast("long").alias("place"))
+    shift = lambda c, k: F.call_function("shiftright", c, k)
+    odd = lambda c: c.bitwiseAND(1) == 1
+
+    def of_level(k: Column) -> Column:
         # Ends of the range in cells of this level, what the finer levels have taken left out.
-        lo, hi = F.shiftright(a + ((1 << k) - 1), k), F.shiftright(b, k)
-        odd = lambda c: c.bitwiseAND(1) == 1
-        cells.append(F.when((lo < hi) & odd(lo), F.struct(F.lit(k).alias("level"), lo.alias("place"))))
-        cells.append(F.when((lo < hi) & odd(hi), F.struct(F.lit(k).alias("level"), (hi - 1).alias("place"))))
-    return F.array_compact(F.array(*cells))
+        lo, hi = shift(a + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), shift(b, k)
+        return F.array_compact(F.array(F.when((lo < hi) & odd(lo), cell(k, lo)), F.when((lo < hi) & odd(hi), cell(k, hi - 1))))
+
+    levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(F.log2(b - a)).cast("int") + 1))
+    return F.when(b - a == 1, F.array(cell(F.lit(0), a))).otherwise(F.flatten(F.transform(levels, of_level)))
 
 
 def bucketed_range_join(
-    points: DataFrame, ranges: DataFrame, keys, at, lower, upper, condition: Column, width: int, how: str = "inner"
+    points: DataFrame, ranges: DataFrame, keys, at, lower, upper, condition: Column, width: int, how: str = "inner", long_ranges: bool = False
 ) -> DataFrame:
-    """Join each point to the ranges holding it: equi join on (keys, level, cell), ``condition`` as residual.
+    """Join each point to the ranges holding it: equi join on (keys, time bucket), ``condition`` as residual.
+    A point lies in exactly one bucket, so no pair comes out twice. The bucket keeps one long item spread.
 
-    A range is cut into cells of doubling width, a point is looked up once in each level that some range uses (one row per
-    level, at most ``LEVELS``). The cells of a range don't overlap, so no pair comes out twice. Short ranges stay in the finest level;
-    a long one costs a few rows and not one per bucket, and one long item stays spread. An outer join goes by buckets of
-    ``width``: there a point has to come out once, matched or not."""
+    With ``long_ranges``, for a small table of ranges that may reach over whole items, a range is cut into cells of doubling
+    width instead (``range_cells``), a few rows and not one per bucket. A point is looked up once in each level that some range
+    uses, which a subquery over the ranges finds first; cells of a range don't overlap. Inner joins only."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if how != "inner":
+    if long_ranges and how != "inner":
+        raise ValueError("an outer join needs ranges by buckets")
+    if not long_ranges:
         left, right = points.withColumn("__cell", F.floor(at / width)), with_buckets(ranges, lower, upper, width, "__cell")
         return joined_on_cells(left, right, keys, condition, how)
     right = ranges.withColumn("__cell", F.explode(range_cells(lower, upper, width)))

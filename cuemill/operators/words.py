@@ -88,7 +88,7 @@ def expand_id_range(ranges: DataFrame, words: DataFrame, range_id: str = "range_
     """Ordered words of each valid range, matched by position buckets."""
     r = range_positions(ranges, words).filter(F.col("problem").isNull()).select("media_id", range_id, "start_pos", "end_pos")
     inside = (F.col("pos") >= F.col("start_pos")) & (F.col("pos") <= F.col("end_pos"))
-    hit = bucketed_range_join(words, r, "media_id", F.col("pos"), F.col("start_pos"), F.col("end_pos"), inside, POS_BUCKET)
+    hit = bucketed_range_join(words, r, "media_id", F.col("pos"), F.col("start_pos"), F.col("end_pos"), inside, POS_BUCKET, long_ranges=True)
     return hit.drop("start_pos", "end_pos")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from cuemill.operators import joins
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_range_join_equals_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed,long_ranges", [(0, False), (1, True), (2, True)])
+def test_range_join_equals_all_pairs(spark, seed, long_ranges):
     rng = random.Random(seed)
     # One item holds nine of ten points; ranges are from empty to the whole item.
     points = [(0 if rng.random() < 0.9 else rng.randint(1, 4), i, rng.randint(-50, 100_000)) for i in range(1500)]
@@ -20,7 +20,7 @@ def test_range_join_equals_all_pairs(spark, seed):
         ranges.append((rng.randint(0, 4), i, lo, lo + rng.choice([-1, 0, 3, 900, 20_000, 150_000])))
     p, r = spark.createDataFrame(points, "media_id long, point long, at long"), spark.createDataFrame(ranges, "media_id long, range long, lo long, hi long")
     inside = (F.col("at") >= F.col("lo")) & (F.col("at") <= F.col("hi"))
-    got = joins.bucketed_range_join(p, r, "media_id", F.col("at"), F.col("lo"), F.col("hi"), inside, 100)
+    got = joins.bucketed_range_join(p, r, "media_id", F.col("at"), F.col("lo"), F.col("hi"), inside, 100, long_ranges=long_ranges)
     assert got.columns == ["media_id", "point", "at", "range", "lo", "hi"]
     assert Counter((x.point, x.range) for x in got.collect()) == Counter((i, j) for m, i, at in points for n, j, lo, hi in ranges if m == n and lo <= at <= hi)
 
@@ -28,7 +28,7 @@ def test_range_join_equals_all_pairs(spark, seed):
 def test_no_ranges_and_no_points(spark):
     p, r = spark.createDataFrame([(1, 5)], "media_id long, at long"), spark.createDataFrame([(1, 0, 9)], "media_id long, lo long, hi long")
     for a, b in ((p, r.where("false")), (p.where("false"), r)):
-        assert joins.bucketed_range_join(a, b, "media_id", F.col("at"), F.col("lo"), F.col("hi"), F.col("at") >= F.col("lo"), 10).count() == 0
+        assert joins.bucketed_range_join(a, b, "media_id", F.col("at"), F.col("lo"), F.col("hi"), F.col("at") >= F.col("lo"), 10, long_ranges=True).count() == 0
 
 
 def test_a_range_has_few_cells_and_covers_its_buckets_once(spark):
