@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import ranks
+from cuemill.llm.common import ranks, slices_by_bytes
 from cuemill.session import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -35,7 +35,7 @@ class TokenCache(dict):
     The vocabulary and its order are those of the tokenizer file; the merging is done by tiktoken, which gives the same ids as
     the tokenizers library for such files (tests compare both) in a fraction of its time for short strings."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 100_000):
         import json
 
         import tiktoken
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         cache, tail = TokenCache(tokenizer), np.array([end], dtype="<u4").tobytes()
         names, whole = added_tokens(tokenizer) if added else [], None
-        for batch in batches:
+        for batch in slices_by_bytes(batches, most=1 << 20):
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for at in range(0, len(rows), 256):
                 out = [[] for _ in range(5)]
