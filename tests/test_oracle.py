@@ -12,7 +12,7 @@ QUICK = (
     "clean_text slugify extract_entities length_report display_width split_sentences hook_type content_skeleton parse_counts format_counts age_days explode_words "
     "retained_segments remap_words rhythm pause_edits rhythm_pieces speech_regions smooth_activity match_onset nearest_quiet audit_cut_plan audit_reveals card_layout "
     "top_comments liked_or_fallback parse_comments parse_search match_runs structure_timeline html_gate extract_images emphasis_blocks forbidden_keys qa_cards verify_quotes "
-    "range_coverage latest_stage pause_sessions speech_regions_stream sniff_images"
+    "range_coverage latest_stage pause_sessions speech_regions_stream sniff_images refine_boundaries benchmark_quotes"
 ).split()
 NAMES = [n for n, q in load().items() if q.sql is not None] if os.environ.get("CUEMILL_ALL") else QUICK
 
