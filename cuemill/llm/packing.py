@@ -166,7 +166,9 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int,
 
     Lengths go in from the longest. A filling is dominated if one more length would fit, or a length could be replaced by a
     longer one that is left: what is packed then is harder to place than what would be freed. The search gives up branches
-    whose open room the shorter lengths left can't bring under ``waste``."""
+    whose open room the shorter lengths left can't bring under ``waste``. If it runs out of ``effort`` before it has found any,
+    the greedy filling stands in, the longest that fits first, so that an unfinished search is not taken for a proof that
+    there is none."""
     found: list[tuple[int, tuple[int, ...]]] = []
     least, tries = lengths[0], effort
 
@@ -195,6 +197,13 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int,
                     return
 
     search(room, len(lengths) - 1, [])
+    if not found and tries < 0:
+        taken, gap = [], room
+        for k in reversed(lengths):
+            n = min(counts[k], gap // k)
+            taken += [k] * n
+            gap -= n * k
+        return [tuple(taken)] if gap <= waste else []
     return [f for _, f in sorted(found, key=lambda x: (x[0], len(x[1]), [-k for k in x[1]]))[:width]]
 
 

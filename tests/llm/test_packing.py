@@ -119,3 +119,10 @@ def test_query_ids_are_those_of_the_tokenizer_at_its_defaults(spark, tmp_path):
     assert t.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
     want = {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, text, *_ in rows for ids in [t.encode(text or "", add_special_tokens=False).ids + [0]]}
     assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in found} == want
+
+
+def test_unfinished_search_goes_on_with_the_greedy_filling():
+    counts = {3: 2, 7: 1, 20: 3, 41: 1}
+    assert packing.fillings(sorted(counts), counts, 100, 100, 3, effort=0) == [(41, 20, 20, 7, 3, 3)]
+    assert packing.fillings(sorted(counts), counts, 100, 0, 3, effort=0) == []
+    assert packing.fillings([3], {3: 5}, 10, 10, 3, effort=0) == [(3, 3, 3)]
