@@ -367,15 +367,15 @@ def _(spark, sf):
 
 
 def card_states(spark, sf):
+    """Every turn as a card: its first line is the title, the others the body, all lines the items, the last one the note."""
     c = table(spark, sf, "conversations")
-    n = F.length("text")
+    n, ls = F.length("text"), F.split("text", "\n", -1)
     kinds = ["thesis", "quote", "comparison", "formula", "relation", "progressive-list", "path", "chat", "other"]
     t = F.get(F.array(*[F.lit(k) for k in kinds]), (n % 9).cast("int"))
     return c.select(
         F.col("conv_id").alias("media_id"), F.floor(F.col("turn") / 4).alias("chapter_id"), F.col("turn").alias("pos"), F.when(n % 7 == 0, "hold").when(n % 2 == 0, "enter").otherwise("update").alias("action"),
-        t.alias("type"), F.when(n % 2 == 1, "small").otherwise("medium").alias("card_size"), F.substring("text", 1, 40).alias("title"), F.substring("text", 41, 90).alias("body"), F.lit("").alias("label"),
-        F.slice(F.split(F.col("text"), " "), 1, 12).alias("words"), n.alias("n"), F.when(n % 3 == 0, "multi-item").when(n % 3 == 1, "hierarchy").otherwise("row").alias("relation_layout"), F.substring("text", 1, 15).alias("source_note")
-    ).withColumn("items", F.slice("words", F.lit(1), (F.col("n") % 13).cast("int"))).drop("words", "n")
+        t.alias("type"), F.when(n % 2 == 1, "small").otherwise("medium").alias("card_size"), F.get(ls, F.lit(0)).alias("title"), F.array_join(F.slice(ls, F.lit(2), F.size(ls)), "\n").alias("body"), F.lit("").alias("label"),
+        ls.alias("items"), F.when(n % 3 == 0, "multi-item").when(n % 3 == 1, "hierarchy").otherwise("row").alias("relation_layout"), F.element_at(ls, -1).alias("source_note"))
 
 
 def _lines(c, few, many):
@@ -393,7 +393,8 @@ def _ln(c, units):
 
 STATES = f"""WITH s0 AS (SELECT conv_id AS media_id, turn // 4 AS chapter_id, turn AS pos, length(text) AS n, text FROM conversations),
 s1 AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'hold' WHEN n % 2 = 0 THEN 'enter' ELSE 'update' END AS action, ['thesis','quote','comparison','formula','relation','progressive-list','path','chat','other'][n % 9 + 1] AS type, n % 2 = 1 AS small,
-  substring(text, 1, 40) AS title, substring(text, 41, 90) AS body, string_split(text, ' ')[1:least(12, n % 13)] AS items, CASE n % 3 WHEN 0 THEN 'multi-item' WHEN 1 THEN 'hierarchy' ELSE 'row' END AS rl, substring(text, 1, 15) AS note FROM s0),
+  string_split(text, chr(10))[1] AS title, array_to_string(string_split(text, chr(10))[2:], chr(10)) AS body, string_split(text, chr(10)) AS items, CASE n % 3 WHEN 0 THEN 'multi-item' WHEN 1 THEN 'hierarchy' ELSE 'row' END AS rl,
+  string_split(text, chr(10))[-1] AS note FROM s0),
 s2 AS (SELECT *, len(items) AS k, coalesce(list_sum(list_transform(items, lambda x: {_w("x")})), 0)::DOUBLE AS iw FROM s1),
 s3 AS (SELECT *, pos = min(pos) OVER (PARTITION BY media_id, chapter_id) AS first, {_lines("title", 10, 12)} AS tl, {_lines("body", 16, 19)} AS bl, {_lines("title", 9, 11)} AS ql, greatest(1, ceil(iw / 20.0))::BIGINT AS ir,
   CASE WHEN k <= 0 THEN 0 WHEN rl <> 'multi-item' OR k < 5 OR k > 12 THEN 1 WHEN k >= 9 THEN 3 ELSE 2 END AS rr FROM s2 WHERE action <> 'hold'),
@@ -426,6 +427,68 @@ def _(spark, sf):
     return card_states(spark, sf).select("media_id", "pos", layout.text_weight("type", "label", "title", "body", "items", None, "source_note").alias("weight"))
 
 
+def card_plans(spark, sf):
+    """Turns as cards with a chosen size, structure and layout; every text is whole."""
+    c = table(spark, sf, "conversations")
+    n, ls, role = F.length("text"), F.split("text", "\n", -1), F.col("role")
+    pick = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i.cast("int"))
+    kinds = ["thesis", "quote", "comparison", "formula", "relation", "progressive-list", "path", "chat", "other"]
+    usual = ["single-point", "quote", "comparison", "formula", "parallel", "vertical-list", "vertical-list", "chat", "ring"]
+    related = ["narrative-path", "spoken-cause", "parallel", "comparison", "hierarchy", "multi-item"]
+    layouts = ["single-point", "narrative-path", "spoken-cause", "parallel", "comparison", "hierarchy", "formula", "multi-item", "vertical-list", "quote", "chat", "ring"]
+    structures = ["short-single", "core-idea", "horizontal-relation", "parallel-row", "comparison-row", "hierarchy", "balanced-grid", "vertical-list", "quote", "chat", "free-form"]
+    k = F.when(n % 2 == 0, 4).otherwise(n % 9)
+    mark = lambda i: F.when(n % 3 == 0, F.when(i == 0, "").otherwise("→")).otherwise(pick(["", "→", " ⇒ ", "x"], (i + n) % 4))
+    return c.select(
+        F.col("conv_id").alias("media_id"), F.col("turn").alias("pos"), pick(kinds, k).alias("type"), F.when(n % 11 == 0, "large").when(n % 4 == 1, "small").otherwise(" medium ").alias("card_size"),
+        pick(structures, n % 11).alias("content_structure"), F.when(n % 6 == 0, role).otherwise(F.col("text")).alias("size_reason"), F.when(n % 7 == 0, role).otherwise(F.col("text")).alias("layout_reason"),
+        F.when((n % 5 < 3) & (k == 4), pick(related, F.floor(n / 2) % 6)).when(n % 5 < 3, pick(usual, k)).otherwise(pick(layouts, F.floor(n / 9) % 12)).alias("relation_layout"),
+        F.when(role == "system", "formal-first").when(role == "assistant", " spoken-first ").otherwise("spoken-first").alias("fidelity_mode"),
+        F.lit(None).cast("string").alias("label"), F.get(ls, F.lit(0)).alias("title"), F.array_join(F.slice(ls, F.lit(2), F.size(ls)), "\n").alias("body"), F.split("text", " ", -1).alias("parts"),
+        F.transform(ls, lambda x, i: F.struct(x.alias("text"), mark(i).alias("incoming"))).alias("items"), F.when(n % 13 == 0, "x").alias("connector"), F.lit("").alias("source_name"), F.element_at(ls, -1).alias("source_note"))
+
+
+def _ws(items):
+    return f"list_sum(list_transform({items}, lambda x: {_w('x')}))::DOUBLE"
+
+
+PLANS = f"""WITH p0 AS (SELECT conv_id AS media_id, turn AS pos, role, text, length(text) AS n, string_split(text, chr(10)) AS ls, string_split(text, ' ') AS ps FROM conversations),
+p1 AS (SELECT *, ls[1] AS title, array_to_string(ls[2:], chr(10)) AS body, ls[-1] AS note, len(ls) AS k, CASE WHEN n % 2 = 0 THEN 'relation' ELSE ['thesis','quote','comparison','formula','relation','progressive-list','path','chat','other'][n % 9 + 1] END AS type,
+  CASE WHEN n % 11 = 0 THEN 'large' WHEN n % 4 = 1 THEN 'small' ELSE 'medium' END AS size, CASE WHEN n % 6 = 0 THEN role ELSE trim(text) END AS why, CASE WHEN n % 7 = 0 THEN role ELSE trim(text) END AS how FROM p0),
+p2 AS (SELECT *, CASE type WHEN 'thesis' THEN 'single-point' WHEN 'progressive-list' THEN 'vertical-list' WHEN 'path' THEN 'vertical-list' WHEN 'other' THEN 'none' WHEN 'relation' THEN 'none' ELSE type END AS own, CASE type WHEN 'thesis' THEN 'KEY IDEA' WHEN 'quote' THEN 'THE QUOTE' WHEN 'chat' THEN 'CONVERSATION'
+  WHEN 'comparison' THEN 'COMPARISON' WHEN 'formula' THEN 'THE FORMULA' WHEN 'progressive-list' THEN 'KEY POINTS' WHEN 'path' THEN 'THE PATH' WHEN 'relation' THEN 'THE RELATION' ELSE '' END AS lab FROM p1),
+p3 AS (SELECT *, CASE WHEN n % 5 < 3 AND type = 'relation' THEN ['narrative-path','spoken-cause','parallel','comparison','hierarchy','multi-item'][CASE WHEN n % 2 = 0 OR n % 9 = 4 THEN n // 2 % 6 + 1 END] WHEN n % 5 < 3 THEN CASE WHEN type = 'other' THEN 'ring' ELSE own END
+   ELSE ['single-point','narrative-path','spoken-cause','parallel','comparison','hierarchy','formula','multi-item','vertical-list','quote','chat','ring'][n // 9 % 12 + 1] END AS form,
+  CASE WHEN type = 'formula' THEN {_ws("ps")} WHEN type IN ('progressive-list', 'path') THEN {_w("lab")} + {_w("title")} WHEN type = 'relation' THEN {_w("lab")} + {_w("title")} + {_ws("ls")} WHEN type = 'quote' THEN {_w("title")} + {_w("body")} + {_w("note")}
+    WHEN type = 'thesis' THEN {_w("lab")} + {_w("title")} + {_w("body")} + {_ws("ls")} ELSE {_w("lab")} + {_w("title")} + {_w("body")} END AS weight FROM p2),
+p4 AS (SELECT *, CASE WHEN form IN ('narrative-path', 'spoken-cause', 'parallel', 'comparison', 'hierarchy', 'formula') THEN 2 WHEN form = 'multi-item' THEN 5 WHEN form = 'vertical-list' THEN 1 ELSE 0 END AS lo,
+  CASE form WHEN 'quote' THEN 0 WHEN 'single-point' THEN 1 WHEN 'comparison' THEN 2 WHEN 'formula' THEN 7 WHEN 'multi-item' THEN 12 ELSE 4 END AS hi FROM p3),
+p5 AS (SELECT *, CASE WHEN size = 'large' THEN ['card_size_invalid_or_missing'] ELSE list_filter([CASE WHEN n % 11 = 10 THEN 'content_structure_invalid_or_missing' END, CASE WHEN {_w("why")} < 8 THEN 'card_size_reason_missing' END, CASE WHEN role = 'system' THEN 'spoken_first_fidelity_missing' END,
+  CASE WHEN form = 'ring' THEN 'relation_layout_invalid_or_missing' END, CASE WHEN {_w("how")} < 8 THEN 'layout_reason_missing' END, CASE WHEN weight > CASE WHEN form = 'multi-item' THEN 112 WHEN size = 'small' THEN 28 ELSE 72 END THEN 'card_text_exceeds_selected_size' END,
+  CASE WHEN form <> 'ring' AND form <> own AND NOT (type = 'relation' AND form IN ('narrative-path', 'spoken-cause', 'parallel', 'comparison', 'hierarchy', 'multi-item')) THEN 'relation_layout_not_allowed_for_type' END,
+  CASE WHEN size = 'small' AND form NOT IN ('ring', 'single-point', 'vertical-list', 'quote', 'chat') THEN 'card_size_not_allowed_for_relation_layout' END, CASE WHEN type = 'relation' AND form <> 'ring' AND k NOT BETWEEN lo AND hi THEN 'relation_item_count_invalid' END,
+  CASE WHEN type = 'relation' AND form <> 'ring' AND n % 13 = 0 THEN 'relation_global_connector_forbidden' END, CASE WHEN type = 'formula' AND form <> 'formula' THEN 'formula_relation_layout_invalid' END], lambda x: x IS NOT NULL) END AS found FROM p4),
+j0 AS (SELECT media_id, pos, n, form, unnest(range(k)) AS i FROM p5 WHERE size <> 'large' AND type = 'relation' AND form <> 'ring'),
+j1 AS (SELECT *, CASE WHEN n % 3 = 0 THEN CASE WHEN i = 0 THEN '' ELSE '→' END ELSE ['', '→', '⇒', 'x'][(i + n) % 4 + 1] END AS mark FROM j0),
+j2 AS (SELECT media_id, pos, i + 1 AS item, CASE WHEN form IN ('narrative-path', 'spoken-cause') THEN CASE WHEN i = 0 AND mark <> '' THEN 'relation_first_item_connector_forbidden' WHEN i > 0 AND mark NOT IN ('→', '⇒') THEN 'relation_incoming_connector_missing_or_invalid' END
+  WHEN mark <> '' THEN 'relation_connector_not_allowed_for_layout' END AS rule FROM j1),
+cf AS (SELECT media_id, pos, NULL AS item, unnest(found) AS rule FROM p5 UNION ALL SELECT media_id, pos, item, rule FROM j2 WHERE rule IS NOT NULL)
+"""
+
+
+@query("card_findings", "P46", PLANS + " SELECT media_id, pos::VARCHAR AS subject_id, rule, item::VARCHAR AS item FROM cf")
+def _(spark, sf):
+    f = layout.card_findings(card_plans(spark, sf))
+    return f.select("media_id", "subject_id", "rule", F.try_element_at("detail", F.lit("item")).alias("item"))
+
+
+@query("card_selection", "P46", PLANS + """
+SELECT p.media_id, p.pos, CASE WHEN size <> 'large' THEN weight END AS text_weight, coalesce(e, 0)::INT AS errors, e IS NULL AS ok
+FROM p5 p LEFT JOIN (SELECT media_id, pos, count(*) AS e FROM cf GROUP BY 1, 2) c ON p.media_id = c.media_id AND p.pos = c.pos""")
+def _(spark, sf):
+    return layout.check_cards(card_plans(spark, sf)).select("media_id", "pos", "text_weight", F.size("card_errors").alias("errors"), "ok")
+
+
 @query("route_style", "J22", """
 WITH i AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'bold' END AS us, CASE WHEN toxic = 1 THEN 'alert' WHEN quality = 1 THEN 'calm' WHEN doc_id % 2 = 0 THEN 'odd' END AS pf, (doc_id % 101) / 100.0::DOUBLE AS cf FROM labels),
 r AS (SELECT *, CASE pf WHEN 'calm' THEN 'light' WHEN 'alert' THEN 'bold' END AS rt FROM i),

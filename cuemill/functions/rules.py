@@ -150,6 +150,28 @@ LAYER_GAP, COMPACT_GAP, STAGE_BUDGET = 24, 16, 690
 ROW_DISTRIBUTIONS = {
     5: [3, 2], 6: [3, 3], 7: [4, 3], 8: [4, 4], 9: [4, 4, 1], 10: [4, 4, 2], 11: [4, 4, 3], 12: [4, 4, 4],
 }
+# Fixed values of the card policy: largest text weight by size; structures; sizes, fewest and most items by layout; layouts by type.
+CARD_WEIGHTS = {"small": 28.0, "medium": 72.0}
+LAYOUT_WEIGHTS = {"multi-item": 112.0}
+CARD_STRUCTURES = [
+    "short-single", "core-idea", "horizontal-relation", "parallel-row", "comparison-row", "hierarchy", "balanced-grid",
+    "vertical-list", "quote", "chat",
+]
+CARD_LAYOUTS = {
+    "single-point": (["small", "medium"], 0, 1), "narrative-path": (["medium"], 2, 4), "spoken-cause": (["medium"], 2, 4),
+    "parallel": (["medium"], 2, 4), "comparison": (["medium"], 2, 2), "hierarchy": (["medium"], 2, 4), "formula": (["medium"], 2, 7),
+    "multi-item": (["medium"], 5, 12), "vertical-list": (["small", "medium"], 1, 4), "quote": (["small", "medium"], 0, 0),
+    "chat": (["small", "medium"], 0, 4),
+}
+TYPE_LAYOUTS = {
+    "thesis": ["single-point"], "quote": ["quote"], "chat": ["chat"], "comparison": ["comparison"], "formula": ["formula"],
+    "progressive-list": ["vertical-list"], "path": ["vertical-list"],
+    "relation": ["narrative-path", "spoken-cause", "parallel", "comparison", "hierarchy", "multi-item"],
+}
+CONNECTED_LAYOUTS = ["narrative-path", "spoken-cause"]
+CONNECTORS = ["→", "⇒"]
+FIDELITY_MODE = "spoken-first"
+REASON_WIDTH = 8.0
 
 # --- stages -------------------------------------------------------------------------------------
 STAGES = [

@@ -73,6 +73,69 @@ def card_layout(states: DataFrame, key: str = "media_id", chapter: str = "chapte
     return g.withColumn("fits", F.col("height") <= rules.STAGE_BUDGET).withColumn("fits_compact", F.col("compact_height") <= rules.STAGE_BUDGET)
 
 
+def _of(table: dict, key: Column) -> Column:
+    """Value of a small dictionary, null for other keys."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), key)
+
+
+def check_cards(states: DataFrame) -> DataFrame:
+    """Chosen size, structure, layout, reasons and connectors of every card state against the card policy.
+
+    Reads type, card_size, content_structure, size_reason, relation_layout, layout_reason, fidelity_mode, label, title, body,
+    parts (array of strings), items (array of structs text, incoming), connector, source_name, source_note; nulls count as
+    empty. Adds ``text_weight`` (null if the size is unknown: then that is the only error), ``card_errors``
+    (array of rule, item_no from 1 or null, actual) and ``ok``. All of it is worked out in the row: no shuffle."""
+    said = lambda c: text.clean_ends(c)
+    kind, size, form = F.coalesce("type", F.lit("")), said("card_size"), said("relation_layout")
+    sizes, fewest, most = ({k: v[i] for k, v in rules.CARD_LAYOUTS.items()} for i in range(3))
+    items = F.coalesce("items", F.array().cast(states.schema["items"].dataType))
+    parts = F.coalesce("parts", F.array().cast("array<string>"))
+    s = states.withColumn("__said", F.when(kind == "formula", parts).otherwise(F.transform(items, lambda x: F.coalesce(x["text"], F.lit("")))))
+    weight = text_weight("type", "label", "title", "body", "__said", "source_name", "source_note")
+    known, related = form.isin(*rules.CARD_LAYOUTS), kind == "relation"
+    small_ok = form.isin(*[k for k, v in sizes.items() if "small" in v])
+    fits_type = F.lit(False)
+    for k, v in rules.TYPE_LAYOUTS.items():
+        fits_type = F.when(kind == k, form.isin(*v)).otherwise(fits_type)
+    n = F.size(items)
+    thin = lambda c: text.display_width(said(c), 50) < rules.REASON_WIDTH
+    none = F.lit(None).cast("string")
+    checks = [
+        ("content_structure_invalid_or_missing", ~said("content_structure").isin(*rules.CARD_STRUCTURES), said("content_structure")),
+        ("card_size_reason_missing", thin("size_reason"), none),
+        ("spoken_first_fidelity_missing", said("fidelity_mode") != rules.FIDELITY_MODE, said("fidelity_mode")),
+        ("relation_layout_invalid_or_missing", ~known, form),
+        ("layout_reason_missing", thin("layout_reason"), none),
+        ("card_text_exceeds_selected_size", weight > F.coalesce(_of(rules.LAYOUT_WEIGHTS, form), _of(rules.CARD_WEIGHTS, size)), weight),
+        ("relation_layout_not_allowed_for_type", known & ~fits_type, form),
+        ("card_size_not_allowed_for_relation_layout", known & (size == "small") & ~small_ok, size),
+        ("relation_item_count_invalid", related & known & ~n.between(_of(fewest, form), _of(most, form)), n),
+        ("relation_global_connector_forbidden", related & known & F.col("connector").isNotNull(), F.col("connector")),
+        ("formula_relation_layout_invalid", (kind == "formula") & (form != "formula"), form),
+    ]
+    error = lambda rule, at, actual: F.struct(rule.alias("rule"), at.cast("int").alias("item_no"), actual.cast("string").alias("actual"))
+    whole = F.array_compact(F.array(*[F.when(bad, error(F.lit(rule), F.lit(None), actual)) for rule, bad, actual in checks]))
+
+    def joint(x: Column, i: Column) -> Column:
+        mark = said(x["incoming"])
+        rule = F.when(form.isin(*rules.CONNECTED_LAYOUTS), F.when((i == 0) & (mark != ""), "relation_first_item_connector_forbidden").when(
+            (i > 0) & ~mark.isin(*rules.CONNECTORS), "relation_incoming_connector_missing_or_invalid")).when(mark != "", "relation_connector_not_allowed_for_layout")
+        return F.when(x.isNotNull() & rule.isNotNull(), error(rule, i + 1, mark))
+
+    joints = F.when(related & known, F.array_compact(F.transform(items, joint)))
+    unsized = F.array(error(F.lit("card_size_invalid_or_missing"), F.lit(None), size))
+    sized = size.isin(*rules.CARD_WEIGHTS)
+    s = s.withColumn("card_errors", F.when(sized, F.concat(whole, F.coalesce(joints, F.slice(whole, 1, 0)))).otherwise(unsized))
+    return s.withColumn("text_weight", F.when(sized, weight)).withColumn("ok", F.size("card_errors") == 0).drop("__said")
+
+
+def card_findings(states: DataFrame, media: str = "media_id", subject: str = "pos") -> DataFrame:
+    """Errors of ``check_cards`` in the findings schema; ``detail`` holds item (from 1) and actual."""
+    f = check_cards(states).select(F.col(media).alias("media_id"), F.col(subject).cast("string").alias("subject_id"), F.explode("card_errors").alias("e"))
+    detail = F.map_filter(F.create_map(F.lit("item"), F.col("e.item_no").cast("string"), F.lit("actual"), F.col("e.actual")), lambda k, v: v.isNotNull())
+    return f.select("media_id", "e.rule", F.lit("error").alias("severity"), "subject_id", detail.alias("detail"))
+
+
 def route(inputs: DataFrame, routes: dict, default: str, threshold: float = 0.75, manual_only=()) -> DataFrame:
     """Style per input (user_style, profile, confidence, user_confirmed, user_reason): the user's choice, else the profile's
     route when sure enough, else the default. ``routes`` is a small dictionary, so it becomes an expression."""
