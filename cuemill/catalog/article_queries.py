@@ -8,7 +8,7 @@ from cuemill.catalog import views
 from cuemill.catalog.base import query, table
 from cuemill.catalog.frame_queries import REGIONS
 from cuemill.catalog.text_queries import WS
-from cuemill.functions import numbers, rules, text, urls
+from cuemill.functions import numbers, text, urls
 from cuemill.operators import articles
 from cuemill.sources import readers, writers
 
@@ -69,12 +69,12 @@ def _(spark, sf):
 
 
 def image_text():
-    return F.concat(F.lit("intro ![al "), "source", F.lit("](a_(1)_"), F.col("doc_id").cast("string"), F.lit(".png \"t\") mid "), "text", F.lit(" \\![no](x) ![](<b c.jpg>) end"))
+    return F.concat(F.lit("intro ![al "), "source", F.lit("](a_(1(2(3(4))))_"), F.col("doc_id").cast("string"), F.lit(".png \"t\") mid "), "text", F.lit(" \\![no](x) ![](<b c.jpg>) end"))
 
 
 @query("extract_images", "P38", r"""
 WITH g AS (SELECT doc_id, source, ' mid ' || text || ' \![no](x) ' AS mid FROM documents)
-SELECT doc_id, 1 AS ordinal, 'al ' || source AS alt, 'a_(1)_' || doc_id || '.png' AS destination, 'IMAGE_1' AS placeholder, 'intro ' AS before, left(mid, 100) AS after FROM g
+SELECT doc_id, 1 AS ordinal, 'al ' || source AS alt, 'a_(1(2(3(4))))_' || doc_id || '.png' AS destination, 'IMAGE_1' AS placeholder, 'intro ' AS before, left(mid, 100) AS after FROM g
 UNION ALL SELECT doc_id, 2, '', 'b c.jpg', 'IMAGE_2', right(mid, 100), ' end' FROM g""")
 def _(spark, sf):
     return articles.extract_images(table(spark, sf, "documents").select("doc_id", image_text().alias("text")))
@@ -113,7 +113,8 @@ def _(spark, sf):
     return articles.extract_links(table(spark, sf, "pages").select("page_id", h.alias("html")))
 
 
-ALLOWED = ", ".join(f"'{t}'" for t in rules.ALLOWED_TAGS)
+ALLOWED = """'section', 'div', 'p', 'h2', 'h3', 'h4', 'h5', 'h6', 'blockquote', 'strong', 'mark', 'em', 's', 'del', 'span', 'code', 'pre', 'a', 'img', 'figure', 'figcaption', 'hr',
+ 'table', 'thead', 'tbody', 'tr', 'th', 'td', 'sup', 'sub'"""
 GATE_HTML = """replace(replace(html, '<article>', '<article id="output" style="color:#000;font-size:12px;font-family:x;line-height:1" data-k="1" onclick="f()">'), '<br>', '<img src=""><a href="javascript:x" style="position: fixed">$$</a>')"""
 
 
@@ -194,7 +195,7 @@ def _(spark, sf):
 
 
 @query("markdown_image_refs", "J23", """
-SELECT doc_id, 0 AS ref_no, 'a_(1)_' || doc_id || '.png' AS ref, '' AS width FROM documents UNION ALL SELECT doc_id, 1, '<b c.jpg>', '' FROM documents UNION ALL SELECT doc_id, 2, 'pics/' || lang || '.png', (n_chars % 900 + 1)::VARCHAR FROM documents""")
+SELECT doc_id, 0 AS ref_no, 'a_(1(2(3(4))))_' || doc_id || '.png' AS ref, '' AS width FROM documents UNION ALL SELECT doc_id, 1, '<b c.jpg>', '' FROM documents UNION ALL SELECT doc_id, 2, 'pics/' || lang || '.png', (n_chars % 900 + 1)::VARCHAR FROM documents""")
 def _(spark, sf):
     t = F.concat(image_text(), F.lit(" ![[ pics/"), "lang", F.lit(".png | "), (F.col("n_chars") % 900 + 1).cast("string"), F.lit("]]"))
     return articles.markdown_image_refs(table(spark, sf, "documents").select("doc_id", t.alias("text")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuemill.catalog.base import query, table
-from cuemill.functions import rules, text
+from cuemill.functions import text
 
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0B]+"
 CLEAN = f"trim(regexp_replace(text, '{WS}', ' ', 'g'))"
@@ -304,7 +304,7 @@ def skeleton_text(d):
 
 SK = """CASE WHEN lang = 'en' THEN '对标五个标准，' WHEN lang = 'de' THEN '心理问题和对标，' ELSE '' END ||
  CASE n_chars % 3 WHEN 0 THEN '很多人求职拿offer。' WHEN 1 THEN '账号内容第一步，收藏！' ELSE '' END || text"""
-KEYS = rules.METHOD_KEYWORDS
+KEYS = ["第一", "第二", "方法", "步骤", "关键", "核心", "你要", "一定要"]
 
 
 @query("content_skeleton", "P28", f"""
@@ -319,16 +319,16 @@ SELECT doc_id,
   WHEN regexp_matches(head, '博主|账号|内容|流量|抖音|小红书') THEN '内容创作者' ELSE '需结合账号定位判断' END AS audience,
  CASE WHEN regexp_matches(head, '(?i)面试|简历|offer') THEN '求职决策或面试准备场景' WHEN regexp_matches(head, '账号|内容|视频|直播|选题') THEN '内容生产和账号增长场景'
   WHEN regexp_matches(head, '赚钱|商业|副业|客户') THEN '个人商业化或获客场景' ELSE '素材不足' END AS scene,
- CASE WHEN contains(raw, '对标') AND regexp_matches(raw, '100万|一百万|赚钱|挣钱') THEN {sq(rules.PAIN_MONEY)}
-  WHEN contains(raw, '心理问题') AND contains(raw, '对标') THEN {sq(rules.PAIN_STANDARD)} ELSE hook END AS pain,
- CASE WHEN contains(raw, '心理问题') AND contains(raw, '对标') THEN {sq(rules.CONTRAST_SPECIAL)}
+ CASE WHEN contains(raw, '对标') AND regexp_matches(raw, '100万|一百万|赚钱|挣钱') THEN '想赚到第一个100万，但不知道该找谁对标、如何照着更成熟的人做。'
+  WHEN contains(raw, '心理问题') AND contains(raw, '对标') THEN '不是没有方法，而是不愿意承认自己需要对齐更高标准。' ELSE hook END AS pain,
+ CASE WHEN contains(raw, '心理问题') AND contains(raw, '对标') THEN '表面是方法问题，实际被归因为不愿意和更高标准的对标保持一致。'
   WHEN regexp_matches(raw, '不是[^。！？!?]{{2,50}}而是[^。！？!?]{{2,60}}') THEN regexp_extract(raw, '不是[^。！？!?]{{2,50}}而是[^。！？!?]{{2,60}}')
   WHEN regexp_matches(raw, '很多人[^。！？!?]{{2,80}}') THEN regexp_extract(raw, '很多人[^。！？!?]{{2,80}}')
-  WHEN regexp_matches(raw, '真正[^。！？!?]{{2,80}}') THEN regexp_extract(raw, '真正[^。！？!?]{{2,80}}') ELSE {sq(rules.CONTRAST_DEFAULT)} END AS contrast,
- CASE WHEN contains(raw, '对标') AND contains(raw, '五个标准') THEN {sq(rules.METHOD_SPECIAL)} WHEN kpos > 0 THEN
-   CASE WHEN length(mt) <= 90 THEN mt ELSE rtrim(substring(mt, 1, 90)) || '...' END ELSE {sq(rules.METHOD_DEFAULT)} END AS method,
+  WHEN regexp_matches(raw, '真正[^。！？!?]{{2,80}}') THEN regexp_extract(raw, '真正[^。！？!?]{{2,80}}') ELSE '反差不明显或素材不足' END AS contrast,
+ CASE WHEN contains(raw, '对标') AND contains(raw, '五个标准') THEN '用“三条大原则”先建立判断，再用“找对标的五个标准”把抽象赚钱问题拆成可执行筛选。' WHEN kpos > 0 THEN
+   CASE WHEN length(mt) <= 90 THEN mt ELSE rtrim(substring(mt, 1, 90)) || '...' END ELSE '方法段需要人工复核' END AS method,
  CASE WHEN regexp_matches(raw, '(?i)\\d|万|元|offer|案例|客户') THEN '口播中包含数字或案例型证明' ELSE '证明素材不足' END AS proof,
- CASE WHEN contains(raw, '收藏') THEN {sq(rules.ACTION_SAVE)} WHEN regexp_matches(raw, '关注|评论|私信|收藏|转发|主页|链接') THEN '包含显性互动或转化动作'
+ CASE WHEN contains(raw, '收藏') THEN '用“视频有点长，收藏慢慢看”引导收藏。' WHEN regexp_matches(raw, '关注|评论|私信|收藏|转发|主页|链接') THEN '包含显性互动或转化动作'
    ELSE '未识别到明确 CTA' END AS action FROM m""")
 def _(spark, sf):
     from cuemill.operators import videos

@@ -224,28 +224,37 @@ def _(spark, sf):
     return videos.parse_detail(p)
 
 
-@query("parse_search", "S6", r"""
-SELECT page_id, (100000 + page_id)::VARCHAR AS id, 'https://www.douyin.com/video/' || (100000 + page_id) AS url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS title, 'Author ' || page_id AS author, (page_id % 9 + 1) || '天前' AS relative_time, (page_id * 3)::BIGINT AS search_metric
-FROM (SELECT page_id, regexp_extract(html, '<title>([^<]+)</title>', 1) AS t FROM pages) WHERE trim(t) <> '' AND page_id % 4 <> 3""")
+VISIBLE = r"trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def visible():
+    """All words of a page on one line, without its tags."""
+    return F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
+
+
+@query("parse_search", "S6", rf"""
+SELECT page_id, (100000 + page_id)::VARCHAR AS id, 'https://www.douyin.com/video/' || (100000 + page_id) AS url, t AS title, 'Author ' || page_id AS author, (page_id % 9 + 1) || '天前' AS relative_time, (page_id * 3)::BIGINT AS search_metric
+FROM (SELECT page_id, {VISIBLE} AS t FROM pages) WHERE t <> '' AND page_id % 4 <> 3""")
 def _(spark, sf):
     i = F.col("page_id").cast("string")
     n = F.col("page_id")
     tail = F.when(n % 4 == 3, F.lit("](/other)")).otherwise(F.concat(F.lit("](//www.douyin.com/video/"), (n + 100_000).cast("string"), F.lit(")")))
-    t = F.concat(F.lit("menu\n-   [![](cover)\n"), (n * 3).cast("string"), F.lit("赞\n"), F.regexp_extract("html", "<title>([^<]+)</title>", 1), F.lit("\n@Author "), i, F.lit(" "), (n % 9 + 1).cast("string"), F.lit("天前\n"), tail)
+    t = F.concat(F.lit("menu\n-   [![](cover)\n"), (n * 3).cast("string"), F.lit("赞\n"), visible(), F.lit("\n@Author "), i, F.lit(" "), (n % 9 + 1).cast("string"), F.lit("天前\n"), tail)
     return videos.parse_search(table(spark, sf, "pages").select("page_id", t.alias("text"))).drop("at_link")
 
 
-@query("page_evidence", "A24", r"""
-WITH p AS (SELECT page_id, 'https://v.example/video/' || page_id AS i, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN 'https://v.example/video/1' || page_id ELSE 'https://v.example/video/' || page_id END AS u, regexp_extract(html, '<h1>(The [^<]+)</h1>', 1) AS t,
-  CASE WHEN page_id % 3 > 0 THEN '2024-01-01' END AS d, page_id % 7 AS m FROM pages)
+@query("page_evidence", "A24", rf"""
+WITH p AS (SELECT page_id, 'https://v.example/video/' || page_id AS i, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN 'https://v.example/video/1' || page_id ELSE 'https://v.example/video/' || page_id END AS u, CASE WHEN contains(html, '$$$') THEN '' ELSE {VISIBLE} END AS t,
+  CASE WHEN page_id % 3 > 0 THEN '2024-01-01' END AS d, len(regexp_extract_all(html, '<p>')) AS m, regexp_matches(html, '</html>\s*$') AS whole FROM pages)
 SELECT page_id, regexp_extract(u, '/video/(\d+)', 1) AS video_id, list_filter([CASE WHEN regexp_extract(u, '/video/(\d+)', 1) = '' THEN 'not_a_detail_page' END, CASE WHEN page_id % 5 = 1 THEN 'id_differs' END, CASE WHEN t = '' THEN 'title_missing' END,
-  CASE WHEN d IS NULL THEN 'publish_time_missing' END, CASE WHEN m < 4 THEN 'metrics_not_stable' END], lambda x: x IS NOT NULL) AS errors, NOT (page_id % 5 IN (0, 1) OR t = '' OR d IS NULL OR m < 4) AS ok FROM p""")
+  CASE WHEN d IS NULL THEN 'publish_time_missing' END, CASE WHEN m < 4 OR NOT whole THEN 'metrics_not_stable' END], lambda x: x IS NOT NULL) AS errors, NOT (page_id % 5 IN (0, 1) OR t = '' OR d IS NULL OR m < 4 OR NOT whole) AS ok FROM p""")
 def _(spark, sf):
     n, i = F.col("page_id"), F.col("page_id").cast("string")
     base = F.concat(F.lit("https://v.example/video/"), i)
     p = table(spark, sf, "pages").select(
         "page_id", base.alias("input_url"), F.when(n % 5 == 0, F.col("url")).when(n % 5 == 1, F.concat(F.lit("https://v.example/video/1"), i)).otherwise(base).alias("current_url"),
-        F.regexp_extract("html", "<h1>(The [^<]+)</h1>", 1).alias("title"), F.when(n % 3 > 0, "2024-01-01").alias("published_at"), F.lit(True).alias("has_publish_time"), (n % 7).alias("metric_lines"), F.lit(True).alias("has_end_marker"))
+        F.when(F.contains(F.col("html"), F.lit("$$$")), "").otherwise(visible()).alias("title"), F.when(n % 3 > 0, "2024-01-01").alias("published_at"), F.lit(True).alias("has_publish_time"),
+        F.regexp_count("html", F.lit("<p>")).alias("metric_lines"), F.col("html").rlike(r"</html>\s*\z").alias("has_end_marker"))
     return videos.page_evidence(p).select("page_id", "video_id", "errors", "ok")
 
 

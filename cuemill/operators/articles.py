@@ -66,12 +66,22 @@ def article_meta(df: DataFrame, column: str = "text", max_length: int = 120) ->
     return d.withColumn("title", title).withColumn("summary", text.truncate_text(F.coalesce(F.get(usable, F.lit(0)), F.lit("")), max_length))
 
 
-IMAGE = r"(?<!\\)!\[((?:[^\]\\]|\\.)*)\]\(\s*(<[^>]*>|(?:[^()\s\\]|\\.|\([^()]*\))+)(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"
+def image_address(depth: int = 8) -> str:
+    """Pattern of an image's address: no blanks outside brackets, brackets nested up to ``depth`` deep. Every part is possessive
+    (no two can begin alike), so a long or unbalanced address is read once."""
+    plain = r"[^()\\]++|\\[\s\S]"
+    inner = rf"\((?:{plain})*+\)"
+    for _ in range(depth - 1):
+        inner = rf"\((?:{plain}|{inner})*+\)"
+    return rf"<[^>]*+>|(?:[^()\s\\]++|\\.|{inner})++"
+
+
+IMAGE = rf"(?<!\\)!\[((?:[^\]\\]++|\\.)*+)\]\(\s*+({image_address()})(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"
 
 
 def extract_images(df: DataFrame, column: str = "text", prefix: str = "IMAGE_", context: int = 100) -> DataFrame:
     """One row per Markdown image in order: alt, destination, placeholder and the text either side.
-    One level of nested parentheses is read; ``image_marks_left`` tells what the grammar could not."""
+    Brackets in an address may nest eight deep; ``image_marks_left`` tells what the grammar could not read."""
     rest = [c for c in df.columns if c != column]
     d = df.select(*rest, column, F.split(column, IMAGE).alias("__gaps"),
                   F.regexp_extract_all(column, F.lit(IMAGE), F.lit(1)).alias("__alts"),
@@ -297,30 +307,52 @@ def markdown_image_refs(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(*rest, F.posexplode(F.concat(md, ob)).alias("ref_no", "r")).select(*rest, "ref_no", "r.ref", "r.width")
 
 
+def parse_nested(document: str):
+    """JSON nested deeper than the C parser goes: the pure Python one, whose calls take no C stack, with room for all its levels."""
+    import json
+    import sys
+
+    decoder, usual = json.JSONDecoder(), sys.getrecursionlimit()
+    decoder.scan_once = json.scanner.py_make_scanner(decoder)
+    sys.setrecursionlimit(usual + 3 * (document.count("{") + document.count("[")))
+    try:
+        return decoder.decode(document)
+    finally:
+        sys.setrecursionlimit(usual)
+
+
 def forbidden_keys(df: DataFrame, column: str, keys=tuple(rules.FORBIDDEN_SKIN_KEYS)) -> DataFrame:
-    """Paths of forbidden keys anywhere in a JSON column, like ``a.b[0].c``, at any depth; text that is no JSON has none.
-    One pass: a document is parsed once and walked with a stack of its own."""
+    """Paths of forbidden keys anywhere in a JSON column, like ``a.b[0].c``, at any depth; null and text that is no JSON have none.
+    A document is parsed once; containers wait in a list with a link to the one around them, and only the paths that are
+    found are spelled out."""
     rest = [c for c in df.columns if c != column]
     wanted = frozenset(keys)
 
+    def spelled(link) -> str:
+        steps = []
+        while link is not None:
+            step, link = link
+            steps.append(f"[{step}]" if isinstance(step, int) else f".{step}" if link is not None else step)
+        return "".join(reversed(steps))
+
     def paths(document: str | None) -> list[str]:
         import json
 
         try:
-            open_ = [("", json.loads(document or "null"))]
-        except (ValueError, RecursionError):
+            try:
+                waiting = [(None, json.loads(document or "null"))]
+            except RecursionError:
+                waiting = [(None, parse_nested(document))]
+        except ValueError:
             return []
         found = []
-        while open_:
-            path, value = open_.pop()
-            if isinstance(value, dict):
-                for key, inner in value.items():
-                    at = f"{path}.{key}" if path else key
-                    if key in wanted:
-                        found.append(at)
-                    open_.append((at, inner))
-            elif isinstance(value, list):
-                open_ += [(f"{path}[{i}]", inner) for i, inner in enumerate(value)]
+        while waiting:
+            link, held = waiting.pop()
+            named = isinstance(held, dict)
+            if named:
+                found += [spelled((key, link)) for key in held.keys() & wanted]
+            if named or isinstance(held, list):
+                waiting += [((step, link), x) for step, x in (held.items() if named else enumerate(held)) if isinstance(x, (dict, list))]
         return found
 
     @F.pandas_udf("array<string>")
