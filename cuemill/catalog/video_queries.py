@@ -430,6 +430,26 @@ def _(spark, sf):
     return videos.anchor_timeline(utterances(spark, sf), "pas|not|der", rows_used=3)
 
 
+@query("video_judgments", "A8,P28", f"""
+WITH b AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN '' ELSE CASE n_chars % 5 WHEN 0 THEN '第一个100万 ' WHEN 1 THEN '心理问题 ' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '对标 三条 ' ELSE '' END || text END AS text,
+  CASE n_chars % 4 WHEN 0 THEN '素材不足' WHEN 1 THEN '一百万 ' || text ELSE text END AS hook, text AS pain, n_chars % 2 AS likes, n_chars % 3 AS n_comments, doc_id % 3 AS n_frames FROM documents),
+c AS (SELECT *, {CLEAN.replace("text", "hook")} AS h, {CLEAN.replace("text", "pain")} AS p, regexp_matches(text, '100万|一百万') AND contains(text, '对标') AS m FROM b)
+SELECT doc_id, CASE WHEN text <> '' THEN CASE WHEN m THEN '先用“第一个100万”给结果诱因，再把赚钱问题收束成“对标一致性”和“心理阻抗”，让用户愿意收藏长视频。'
+    ELSE '用“' || CASE WHEN length(h) <= 28 THEN h ELSE rtrim(substring(h, 1, 28)) || '...' END || '”先制造停留，再围绕' || CASE WHEN length(p) <= 24 THEN p ELSE rtrim(substring(p, 1, 24)) || '...' END || '推进。' END
+  WHEN likes > 0 OR n_comments > 0 THEN '公开视频有互动信号，但缺少音频和画面证据，不能完整判断爆款结构。' ELSE '素材不足，当前只能基于标题/评论做弱判断' END AS one_line_judgment,
+ CASE WHEN hook = '素材不足' THEN '素材不足' WHEN regexp_matches(hook, '100万|一百万') AND contains(text, '三条') THEN '结果问题足够具体，紧跟“三条”制造可获得感。' WHEN contains(text, '心理问题') AND contains(text, '对标') THEN '把方法问题转成心理问题，有冒犯感和反常识停留点。' ELSE '开头能快速点名问题或结果。' END AS hook_retention,
+ CASE WHEN m THEN '结果问题 + 三条判断 + 反常识归因 + 标准清单 + 收藏提示。' WHEN hook <> '素材不足' THEN '不是泛讲主题，先抛出“' || CASE WHEN length(h) <= 24 THEN h ELSE rtrim(substring(h, 1, 24)) || '...' END || '”，再给具体场景和方法。' ELSE '素材不足' END AS migration_formula,
+ CASE WHEN n_frames > 0 THEN '已抽帧，可进一步读图判断' ELSE '画面素材不足' END AS visual_rhythm FROM c""")
+def _(spark, sf):
+    n, i, said = F.col("n_chars"), F.col("doc_id"), F.col("text")
+    head = F.when(n % 5 == 0, "第一个100万 ").when(n % 5 == 1, "心理问题 ").otherwise("")
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.when(n % 7 == 0, "").otherwise(F.concat(head, F.when(i % 2 == 0, "对标 三条 ").otherwise(""), said)).alias("text"),
+        F.when(n % 4 == 0, "素材不足").when(n % 4 == 1, F.concat(F.lit("一百万 "), said)).otherwise(said).alias("hook"), said.alias("pain"),
+        (n % 2).alias("likes"), (n % 3).alias("n_comments"), (i % 3).alias("n_frames"))
+    return videos.judgments(d).select("doc_id", "one_line_judgment", "hook_retention", "migration_formula", "visual_rhythm")
+
+
 @query("video_breakdown", "A5,A7,A8,P26,P27,P28")
 def _(spark, sf):
     u = utterances(spark, sf)

@@ -362,7 +362,7 @@ pv AS (SELECT *, lag(end_ms) OVER x AS pe, lag(k) OVER x AS pt,
 fl AS (SELECT *, regexp_matches(k, '^(the|of|th|er|and|de|la)+$') AS hf, coalesce(regexp_matches(pt, '^(the|of|th|er|and|de|la)+$'), false) AS phf FROM pv),
 fp AS (SELECT s.media_id, s.seg_no, min(CASE WHEN NOT hf OR pos = last_pos THEN pos END) AS fpos, min(first_pos) AS first_pos
   FROM (SELECT media_id, seg_no, first_pos, last_pos, unnest(range(first_pos, last_pos + 1)) AS at FROM segments) s JOIN fl ON s.media_id = fl.media_id AND fl.pos = s.at GROUP BY 1, 2),
-r AS (SELECT fp.media_id, fp.seg_no, w.word_id, w.start_ms, w.pe, fpos - fp.first_pos AS lead_n, coalesce(w.phf AND w.start_ms - w.pe <= 900 AND w.pid <> sg.first_word_id AND w.pid <> sg.last_word_id, false) AS disc, w.pid FROM fp JOIN fl w ON fp.media_id = w.media_id AND fp.fpos = w.pos JOIN segments sg ON sg.media_id = fp.media_id AND sg.seg_no = fp.seg_no)
+r AS (SELECT fp.media_id, fp.seg_no, w.word_id, w.start_ms, w.pe, fpos - fp.first_pos AS lead_n, coalesce(w.phf AND w.start_ms - w.pe <= 900 AND fpos = sg.first_pos, false) AS disc, w.pid FROM fp JOIN fl w ON fp.media_id = w.media_id AND fp.fpos = w.pos JOIN segments sg ON sg.media_id = fp.media_id AND sg.seg_no = fp.seg_no)
 SELECT media_id, seg_no, word_id AS first_meaningful_word_id, lead_n AS leading_fillers, start_ms AS first_start_ms, CASE WHEN disc THEN pid END AS discarded_filler_word_id,
   CASE WHEN seg_no = 1 THEN 'opening' WHEN disc THEN 'after-filler' ELSE 'normal' END AS entry_context, coalesce(disc AND start_ms - pe BETWEEN -20 AND 12, false) AS continuous FROM r""")
 def _(spark, sf):

@@ -113,6 +113,17 @@ PAIN_MONEY = "想赚到第一个100万，但不知道该找谁对标、如何照
 PAIN_STANDARD = "不是没有方法，而是不愿意承认自己需要对齐更高标准。"
 PROOF_COMMENTS, PROOF_NUMBERS, PROOF_DEFAULT = "评论区存在需求线索", "口播中包含数字或案例型证明", "证明素材不足"
 ACTION_SAVE, ACTION_CTA, ACTION_DEFAULT = "用“视频有点长，收藏慢慢看”引导收藏。", "包含显性互动或转化动作", "未识别到明确 CTA"
+# Fixed wordings of a breakdown's judgments.
+MILLION = "100万|一百万"
+NO_MATERIAL = "素材不足"
+JUDGED_MILLION = "先用“第一个100万”给结果诱因，再把赚钱问题收束成“对标一致性”和“心理阻抗”，让用户愿意收藏长视频。"
+JUDGED = ("用“", "”先制造停留，再围绕", "推进。")
+JUDGED_BY_METRICS = "公开视频有互动信号，但缺少音频和画面证据，不能完整判断爆款结构。"
+JUDGED_WEAKLY = "素材不足，当前只能基于标题/评论做弱判断"
+STAY_RESULT, STAY_REVERSAL, STAY_DEFAULT = "结果问题足够具体，紧跟“三条”制造可获得感。", "把方法问题转成心理问题，有冒犯感和反常识停留点。", "开头能快速点名问题或结果。"
+FORMULA_MILLION = "结果问题 + 三条判断 + 反常识归因 + 标准清单 + 收藏提示。"
+FORMULA = ("不是泛讲主题，先抛出“", "”，再给具体场景和方法。")
+VISUAL_READY, VISUAL_MISSING = "已抽帧，可进一步读图判断", "画面素材不足"
 COMMENT_QUESTION = r"吗|？|\?|怎么|如何|求|请问|想问"
 COMMENT_INTERACTION = (
     r"@|回复|请问|求问|想问|怎么|如何|有没有|能不能|可以吗|吗|？|\?|博主|主播|老师|求|指路|讲讲|展开说|我也|我现在|我就是|有人"

@@ -150,21 +150,27 @@ def map_anchors(anchors: DataFrame, mapped: DataFrame, total_ms: DataFrame | Non
         F.when(stop.isNotNull(), F.least(F.col("__total"), stop)).alias("output_end_ms"), F.coalesce("missing", F.lit(0).cast("long")).alias("missing"))
 
 
-def entry_context(segments: DataFrame, words: DataFrame, filler: str = text.char_class(rules.FILLER_CHARS)) -> DataFrame:
+def entry_context(segments: DataFrame, words: DataFrame, filler: str = text.char_class(rules.FILLER_CHARS), listed: DataFrame | None = None) -> DataFrame:
     """How each segment begins: its first word after leading fillers, the word before that, and the context
-    (opening, after-filler or normal) with the continuous-speech flag. Times in ms, gap rule 0.9 s."""
+    (opening, after-filler or normal) with the continuous-speech flag. Times in ms, gap rule 0.9 s. A filler before it was
+    discarded only if it is none of the segment's own words: those of ``listed`` (media_id, seg_no, word_id), without which
+    a segment's words are all from its first to its last."""
     w = scans.previous(words.withColumn("__filler", text.is_filler("text", filler)), "media_id", "pos",
                        prev_end_ms="end_ms", prev_filler="__filler", prev_word_id="word_id")
     w = w.select("media_id", "pos", "word_id", "start_ms", "__filler", "prev_end_ms", "prev_filler", "prev_word_id")
-    s = segments.select("media_id", "seg_no", "segment_id", "first_pos", "last_pos", "first_word_id", "last_word_id")
+    s = segments.select("media_id", "seg_no", "segment_id", "first_pos", "last_pos")
     inside = (F.col("pos") >= F.col("first_pos")) & (F.col("pos") <= F.col("last_pos"))
     j = bucketed_range_join(w, s, "media_id", F.col("pos"), F.col("first_pos"), F.col("last_pos"), inside, POS_BUCKET)
     rank = F.when(~F.col("__filler") | (F.col("pos") == F.col("last_pos")), F.col("pos"))
-    row = F.struct("word_id", "pos", "start_ms", "prev_end_ms", "prev_filler", "prev_word_id", "first_pos", "first_word_id", "last_word_id")
+    row = F.struct("word_id", "pos", "start_ms", "prev_end_ms", "prev_filler", "prev_word_id", "first_pos")
     e = j.groupBy("media_id", "seg_no", "segment_id").agg(F.min_by(row, rank).alias("f")).select("media_id", "seg_no", "segment_id", "f.*")
     gap = F.col("start_ms") - F.col("prev_end_ms")
-    listed = (F.col("prev_word_id") == F.col("first_word_id")) | (F.col("prev_word_id") == F.col("last_word_id"))
-    discarded = F.coalesce(F.col("prev_filler") & ~listed & (gap <= rules.FILLER_REACH_US // 1000), F.lit(False))
+    if listed is None:
+        own = F.col("pos") > F.col("first_pos")
+    else:
+        e = e.join(listed.select("media_id", "seg_no", F.col("word_id").alias("prev_word_id"), F.lit(True).alias("__own")).distinct(), ["media_id", "seg_no", "prev_word_id"], "left")
+        own = F.coalesce("__own", F.lit(False))
+    discarded = F.coalesce(F.col("prev_filler") & ~own & (gap <= rules.FILLER_REACH_US // 1000), F.lit(False))
     lo, hi = (x // 1000 for x in rules.SPLICE_GAP_US)
     return e.select(
         "media_id", "seg_no", "segment_id", F.col("word_id").alias("first_meaningful_word_id"), (F.col("pos") - F.col("first_pos")).alias("leading_fillers"),

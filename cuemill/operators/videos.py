@@ -399,9 +399,29 @@ def anchor_timeline(utts: DataFrame, anchors: str, key: str = "media_id", pos: s
     return out
 
 
+def judgments(rows: DataFrame) -> DataFrame:
+    """Adds what a breakdown says of a video in a line: one_line_judgment, hook_retention, migration_formula and visual_rhythm.
+
+    Reads text, hook, pain (the skeleton's), likes, n_comments and n_frames; nulls count as empty or 0. Without text the
+    judgment rests on the public counts. Worked out in the row."""
+    said, hook = F.coalesce("text", F.lit("")), F.coalesce("hook", F.lit(""))
+    has = lambda c, word: F.contains(c, F.lit(word))
+    million, model = said.rlike(rules.MILLION), has(said, "对标")
+    told = lambda words, *parts: F.concat(*[x for w, p in zip(words, [*parts, F.lit("")]) for x in (F.lit(w), p)])
+    spoken = F.when(million & model, rules.JUDGED_MILLION).otherwise(told(rules.JUDGED, text.clip_text(hook, 28), text.clip_text(F.coalesce("pain", F.lit("")), 24)))
+    counted = (F.coalesce("likes", F.lit(0)) > 0) | (F.coalesce("n_comments", F.lit(0)) > 0)
+    stay = F.when(hook == rules.NO_MATERIAL, rules.NO_MATERIAL).when(hook.rlike(rules.MILLION) & has(said, "三条"), rules.STAY_RESULT).when(
+        has(said, "心理问题") & model, rules.STAY_REVERSAL).otherwise(rules.STAY_DEFAULT)
+    formula = F.when(million & model, rules.FORMULA_MILLION).when(hook != rules.NO_MATERIAL, told(rules.FORMULA, text.clip_text(hook, 24))).otherwise(rules.NO_MATERIAL)
+    return rows.withColumns({
+        "one_line_judgment": F.when(said != "", spoken).when(counted, rules.JUDGED_BY_METRICS).otherwise(rules.JUDGED_WEAKLY),
+        "hook_retention": stay, "migration_formula": formula,
+        "visual_rhythm": F.when(F.coalesce("n_frames", F.lit(0)) > 0, rules.VISUAL_READY).otherwise(rules.VISUAL_MISSING)})
+
+
 def video_breakdown(videos: DataFrame, utts: DataFrame, comments: DataFrame, frames: DataFrame) -> DataFrame:
-    """One breakdown row per video: hook and its class, skeleton, retention flags, comment demand, frame count. Blank
-    utterances are left out; a question in the speech or in the comments makes suspense."""
+    """One breakdown row per video: hook and its class, skeleton, retention flags, comment demand, frame count, judgments
+    (``likes`` of the videos counts where there is one). Blank utterances are left out; a question in the speech or in the comments makes suspense."""
     utts = utts.filter(text.clean_text("text") != "")
     head = scans.top_k(utts, "media_id", ["pos"], 2).groupBy("media_id").agg(
         text.clip_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: text.clean_text(x["text"])), ""), 64).alias("opening"))
@@ -413,4 +433,6 @@ def video_breakdown(videos: DataFrame, utts: DataFrame, comments: DataFrame, fra
     v = v.withColumn("suspense", F.coalesce("suspense", F.lit(False)) | F.coalesce("asked", F.lit(False))).drop("asked")
     source = F.when(F.coalesce("text", F.lit("")) == "", F.coalesce("title", F.lit(""))).otherwise(F.col("text"))
     v = content_skeleton(v).withColumn("hook", F.coalesce("opening", text.first_sentence(source)))
-    return v.withColumn("hook_type", text.hook_type("hook")).drop("opening")
+    v = v.withColumn("hook_type", text.hook_type("hook")).drop("opening")
+    judged = judgments(v.withColumn("pain", F.col("skeleton.pain")).withColumn("likes", F.col("likes") if "likes" in videos.columns else F.lit(0)))
+    return judged.drop("pain", *[c for c in ("likes",) if c not in videos.columns])
