@@ -32,13 +32,6 @@ def unpack(df: DataFrame, order: Sequence[str], made: Sequence[str] = ()) -> Dat
     return df.select(*back, *[F.col(c) for c in made if c not in order])
 
 
-def slices(batches, rows: int = 1024):
-    """Arrow batches in pieces of at most ``rows``, so that few texts are Python strings at a time."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-
-
 def slices_by_bytes(batches, column: int = 1, most: int = 4 << 20):
     """Arrow batches in pieces whose strings (or binaries) in ``column`` have at most ``most`` bytes together; one longer value
     is a piece by itself. Rows without such bytes are cut at 8,192."""
@@ -55,6 +48,32 @@ def slices_by_bytes(batches, column: int = 1, most: int = 4 << 20):
             at = upto
 
 
+def tidied(run):
+    """A task's function over Arrow batches that hands free memory back to the system, now and then and at its end. Workers
+    serve one task after another; otherwise each keeps the most that any of its tasks needed."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pool = pa.default_memory_pool()
+
+        def freed():
+            for batch in batches:
+                yield batch
+                del batch
+                pool.release_unused()
+
+        yield from run(freed())
+        pool.release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def beside(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table of keys, to be joined with texts: broadcast if it has at most ``rows`` rows, so the texts stay where they
     are; beyond that the build side of a shuffled hash join."""

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import beside, components, slices
+from cuemill.llm.common import beside, components, slices_by_bytes, tidied
 from cuemill.session import stage
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         known = WordHashes()
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             group, held = [], 0
             for i, t in zip(ids, texts):
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.where(n > 0, x.shape[1], 0)]).astype(np.int32)), pa.array(x.ravel())) for x in (keys[some], bits)]
         return pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array(n, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *lists], ["id", "n", "f1", "f2", "bands", "nibbles"])
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(tidied(run), SKETCH)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 64, lot: int = 512) -> DataFrame:
@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block
 
     def run(batches):
         known, at, own = WordHashes(), None, {}
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, column=5):
             src, dst = [], []
             for block_, lot_, turn, i, bs, text in zip(*[batch.column(c).to_pylist() for c in range(6)]):
                 s = shingles(text, width, known)
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block
                             break
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return sent.repartition("block", "lot").sortWithinPartitions("block", "lot", "turn").mapInArrow(run, "src long, dst long")
+    return sent.repartition("block", "lot").sortWithinPartitions("block", "lot", "turn").mapInArrow(tidied(run), "src long, dst long")
 
 
 def united(links: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -187,7 +187,7 @@ def united(links: DataFrame, most: int = 1_000_000) -> DataFrame:
                 parent.clear()
         yield forest()
 
-    return links.mapInArrow(run, "src long, dst long")
+    return links.mapInArrow(tidied(run), "src long, dst long")
 
 
 def near_duplicates(
@@ -274,7 +274,7 @@ def compared_in_full(left: DataFrame, facts: DataFrame, width: int, percent: int
 
     def run(batches):
         known, at, own, table = WordHashes(), None, [], None
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, column=names.index("text")):
             src, dst = [], []
             for band, key, block_, lot_, turn, i, n, c, lone, bands, nibbles, text in zip(*[batch.column(x).to_pylist() for x in names]):
                 if (band, key, block_, lot_) != at:
@@ -297,7 +297,7 @@ def compared_in_full(left: DataFrame, facts: DataFrame, width: int, percent: int
                             src.append(i), dst.append(own[k][0])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return sent.select(*names).repartition(*spot[:-1]).sortWithinPartitions(*spot).mapInArrow(run, "src long, dst long")
+    return sent.select(*names).repartition(*spot[:-1]).sortWithinPartitions(*spot).mapInArrow(tidied(run), "src long, dst long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import ranks, slices_by_bytes
+from cuemill.llm.common import ranks, slices_by_bytes, tidied
 from cuemill.session import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), PIECES)
 
 
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -289,7 +289,7 @@ def pack(parts: DataFrame, capacity: int = 2048, seed: int = 11, width: int = 3,
             kept = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema) if counts else spark.createDataFrame([], schema)
+    return ranked.mapInArrow(tidied(place), schema) if counts else spark.createDataFrame([], schema)
 
 
 def assemble(packed: DataFrame) -> DataFrame:
