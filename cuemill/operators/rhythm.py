@@ -9,7 +9,7 @@ from cuemill.functions import numbers, rules, text
 from cuemill.operators import joins, scans
 from cuemill.operators.segments import floor_durations
 from cuemill.operators.words import joined_text
-from cuemill.session import stage
+from cuemill.session import before_scan, stage
 
 PIECE_BUCKET_US = 600_000_000
 
@@ -109,10 +109,9 @@ def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, u
     parts = scans.scan(points, "media_id", "at_us", by, to_us=scans.lead("at_us")).filter(F.col("to_us") - F.col("at_us") > eps)
     mid2 = F.col("at_us") + F.col("to_us")
     bucket = 10_000_000
-    cut = joins.bucketed_range_join(
+    kept = joins.bucketed_range_join(
         parts, removals, "media_id", mid2 / 2, F.col("x_start") - eps, F.col("x_end") + eps,
-        (mid2 >= 2 * (F.col("x_start") - eps)) & (mid2 <= 2 * (F.col("x_end") + eps)), bucket)
-    kept = parts.join(cut.select("media_id", "at_us"), ["media_id", "at_us"], "left_anti")
+        (mid2 >= 2 * (F.col("x_start") - eps)) & (mid2 <= 2 * (F.col("x_end") + eps)), bucket, "left_anti")
     placed = joins.bucketed_range_join(
         kept, regions, "media_id", mid2 / 2, F.col("r_start") - eps, F.col("r_end") + eps,
         (mid2 >= 2 * (F.col("r_start") - eps)) & (mid2 <= 2 * (F.col("r_end") + eps)), bucket, "left")
@@ -122,12 +121,12 @@ def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, u
     def same(cur, prev):
         return (cur("at_us") - prev("to_us") <= eps) & (cur("speed_pct") == prev("speed_pct")) & cur(unit).eqNullSafe(prev(unit))
 
-    numbered = scans.change_runs(stage(rated, "parts"), "media_id", "at_us", by, ["at_us", "to_us", "speed_pct", unit], same, "piece_no")
+    numbered = scans.change_runs(before_scan(rated, "media_id", "parts"), "media_id", "at_us", by, ["at_us", "to_us", "speed_pct", unit], same, "piece_no")
     p = numbered.groupBy("media_id", "piece_no").agg(
         F.min("at_us").alias("source_start_us"), F.max("to_us").alias("source_end_us"), F.min("speed_pct").alias("speed_pct"), F.min(unit).alias(unit))
     length = F.col("source_end_us") - F.col("source_start_us")
     p = p.withColumn("__out", F.floor((length * 200 + F.col("speed_pct")) / (2 * F.col("speed_pct"))).cast("long"))
-    p = scans.scan(stage(p, "pieces"), "media_id", "piece_no", None, output_start_us=scans.sum_before("__out"))
+    p = scans.scan(before_scan(p, "media_id", "pieces"), "media_id", "piece_no", None, output_start_us=scans.sum_before("__out"))
     return p.withColumn("output_end_us", F.col("output_start_us") + F.col("__out")).withColumn("piece_no", F.col("piece_no").cast("long")).drop("__out").select(
         "media_id", "piece_no", "source_start_us", "source_end_us", "speed_pct", unit, "output_start_us", "output_end_us")
 
@@ -168,7 +167,7 @@ def rhythm_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
     m = map_time(ends, stage(pieces, "pieces")).groupBy("media_id", "pos").agg(
         F.min(F.when(F.col("point_id") % 2 == 0, F.col("mapped_us"))).alias("a"), F.min(F.when(F.col("point_id") % 2 == 1, F.col("mapped_us"))).alias("b"))
     w = words.join(m, ["media_id", "pos"])
-    w = floor_durations(stage(w, "mapped"), "media_id", "pos", F.col("a"), F.col("b"), F.lit(0).cast("long"), least=rules.MIN_WORD_MS * 1000)
+    w = floor_durations(before_scan(w, "media_id", "mapped"), "media_id", "pos", F.col("a"), F.col("b"), F.lit(0).cast("long"), least=rules.MIN_WORD_MS * 1000)
     return w.withColumnRenamed("output_word_start", "rhythm_start_us").withColumnRenamed("output_word_end", "rhythm_end_us").drop("a", "b")
 
 
