@@ -138,7 +138,7 @@ WITH p AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), l
 SELECT vec_id, list_sum(d) / len(d) AS mean_abs, len(list_filter(d, lambda x: x >= 20))::DOUBLE / len(d) AS changed_share, list_max(d) AS max_abs,
   list_sum(d) / len(d) >= 2 OR (len(list_filter(d, lambda x: x >= 20))::DOUBLE / len(d) >= 0.004 AND list_max(d) >= 35) AS visible FROM p""")
 def _(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.bround(x * 1000, 0).cast("int")).alias("v"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.rint((x.cast("float") * F.lit(1000).cast("float")).cast("double")).cast("int")).alias("v"))
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
     return j.select("vec_id", numbers.array_diff("v", "w").alias("d")).select("vec_id", "d.*")
 
