@@ -9,7 +9,7 @@ from cuemill.functions import numbers, rules, text
 from cuemill.operators import joins, scans
 from cuemill.operators.segments import floor_durations
 from cuemill.operators.words import joined_text
-from cuemill.session import before_scan, stage
+from cuemill.session import before_scan, hashed, stage
 
 PIECE_BUCKET_US = 600_000_000
 
@@ -73,7 +73,7 @@ def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTE
 
 def pause_edits(words: DataFrame, decisions: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Removals in over-long pauses: the middle goes, a short pause (longer by the unit's speed) stays."""
-    p = pauses(words, unit).filter(F.col("pause_ms") > rules.PAUSE_LIMIT_MS).join(decisions.select("media_id", unit, "speed_pct"), ["media_id", unit])
+    p = pauses(words, unit).filter(F.col("pause_ms") > rules.PAUSE_LIMIT_MS).join(hashed(decisions.select("media_id", unit, "speed_pct"), "media_id"), ["media_id", unit])
     half = F.col("speed_pct") * (5 * rules.PAUSE_TARGET_MS)
     p = p.withColumn("remove_start_us", F.col("gap_start_ms") * 1000 + half).withColumn("remove_end_us", F.col("gap_end_ms") * 1000 - half)
     p = p.withColumn("removed_us", F.col("remove_end_us") - F.col("remove_start_us"))
