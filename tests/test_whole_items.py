@@ -60,3 +60,18 @@ def test_words_are_not_shuffled(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     moved = [x for x in plan.splitlines() if "Exchange" in x]
     assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
+
+
+@pytest.mark.parametrize("name, times", [("expand_id_range", 1), ("collapse_spans", 1), ("span_completeness", 1), ("apply_corrections", 1), ("review_text", 2),
+                                         ("audit_cut_plan", 2), ("audit_verdict", 2), ("pause_edits", 2), ("retained_fillers", 2)])
+def test_words_are_made_few_times(spark, name, times):
+    """A plan that reads the words at each use splits all texts again; joins in place don't sort them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load()[name].run(spark, SF)._jdf.queryExecution()
+        made, joins = plan.optimizedPlan().toString().count("Generate posexplode(filter"), plan.executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert made == times
+    assert joins == 0 or name not in ("expand_id_range", "audit_cut_plan", "pause_edits", "retained_fillers")
