@@ -24,9 +24,10 @@ def pauses(words: DataFrame, unit: str | None = "unit_id") -> DataFrame:
                     F.col("start_ms").alias("gap_end_ms"), "pause_ms")
 
 
-def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTECTED_TEXT, with_text: bool = True) -> DataFrame:
+def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTECTED_TEXT, with_text: bool = True, with_edits: bool = False) -> DataFrame:
     """Rhythm decision per unit: span, active and pause time, speech units, rates, protection, speed tier,
-    pause edits, diagnosis, action, projected length and its class."""
+    pause edits, diagnosis, action, projected length and its class. ``with_edits`` adds ``edits``, the removals of ``pause_edits``
+    in the unit (remove_start_us, remove_end_us), and ``last_ms``, the latest end of its words."""
     w = scans.previous(words, "media_id", "pos", __pe="end_ms", __pu=unit)
     gap = F.when(F.col("__pu") == F.col(unit), F.greatest(F.lit(0).cast("long"), F.col("start_ms") - F.col("__pe")))
     w = w.withColumn("__gap", gap)
@@ -34,11 +35,13 @@ def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTE
     tiers = sorted({100, *[p for _, p in rules.SPEED_TIERS]})
     cut_us = {p: F.col("__gap") * 1000 - 10 * rules.PAUSE_TARGET_MS * p for p in tiers}
     is_cut = {p: (F.col("__gap") > rules.PAUSE_LIMIT_MS) & (cut_us[p] > rules.PAUSE_MIN_REMOVAL_MS * 1000) for p in tiers}
+    long_gap = F.when(F.col("__gap") > rules.PAUSE_LIMIT_MS, F.struct((F.col("__pe") * 1000).alias("a"), (F.col("start_ms") * 1000).alias("b")))
     g = w.groupBy("media_id", unit).agg(
         F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.min_by("word_id", "pos").alias("start_word_id"),
         F.max_by("word_id", "pos").alias("end_word_id"), F.sum(F.greatest(F.lit(rules.MIN_WORD_MS).cast("long"), F.col("end_ms") - F.col("start_ms"))).alias("active_ms"),
         F.coalesce(F.sum("__gap"), F.lit(0).cast("long")).alias("pause_ms"), joined_text().alias("text"),
-        *[F.count_if(is_cut[p]).alias(f"__n{p}") for p in tiers], *[F.coalesce(F.sum(F.when(is_cut[p], cut_us[p])), F.lit(0).cast("long")).alias(f"__r{p}") for p in tiers])
+        *[F.count_if(is_cut[p]).alias(f"__n{p}") for p in tiers], *[F.coalesce(F.sum(F.when(is_cut[p], cut_us[p])), F.lit(0).cast("long")).alias(f"__r{p}") for p in tiers],
+        *([F.max("end_ms").alias("last_ms"), F.collect_list(long_gap).alias("__long")] if with_edits else []))
     g = g.withColumn("span_ms", F.greatest(F.lit(rules.MIN_WORD_MS).cast("long"), F.col("end_ms") - F.col("start_ms")))
     g = g.withColumn("speech_units", F.greatest(F.lit(1).cast("long"), text.syllable_units("text")))
     reasons = F.array_compact(F.array(
@@ -57,6 +60,10 @@ def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTE
         return out
 
     g = g.withColumn("n_pause_edits", pick("n")).withColumn("removed_us", pick("r"))
+    if with_edits:
+        half = F.col("speed_pct") * (5 * rules.PAUSE_TARGET_MS)
+        cut = F.transform("__long", lambda x: F.struct((x["a"] + half).alias("remove_start_us"), (x["b"] - half).alias("remove_end_us")))
+        g = g.withColumn("edits", F.filter(cut, lambda x: x["remove_end_us"] - x["remove_start_us"] > rules.PAUSE_MIN_REMOVAL_MS * 1000))
     left_us = F.col("span_ms") * 1000 - F.col("removed_us")
     fast, cuts = F.col("speed_pct") > 100, F.col("n_pause_edits") > 0
     limit = lambda ms: left_us * 100 <= F.lit(ms * 1000).cast("long") * F.col("speed_pct")
@@ -68,7 +75,7 @@ def rhythm(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTE
         (left_us * F.lit(100.0) / F.col("speed_pct")).alias("projected_us"),
         F.when(fast & cuts, "pause-and-articulation-slow").when(fast, "articulation-slow").when(cuts, "excessive-pause").otherwise("natural-rhythm").alias("diagnosis"),
         F.when(fast & cuts, "compress-pauses-and-speed").when(fast, "speed-local-speech").when(cuts, "compress-pauses-only").otherwise("keep").alias("action"),
-        F.when(limit(rules.PREFERRED_CUE_MS), "preferred").when(limit(rules.ADAPTIVE_CUE_MS), "adaptive").otherwise("too-long").alias("duration_class"))
+        F.when(limit(rules.PREFERRED_CUE_MS), "preferred").when(limit(rules.ADAPTIVE_CUE_MS), "adaptive").otherwise("too-long").alias("duration_class"), *(["edits", "last_ms"] if with_edits else []))
 
 
 def pause_edits(words: DataFrame, decisions: DataFrame, unit: str = "unit_id") -> DataFrame:
@@ -95,15 +102,17 @@ def overlapping_edits(edits: DataFrame) -> DataFrame:
 
 def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Piecewise time map: cut [0, duration] at every region and removal end, drop removed parts, give each part its
-    region's speed, merge equal neighbours, and run the output clock. ``durations``: media_id, duration_us."""
+    region's speed, merge equal neighbours, and run the output clock. ``durations``: media_id, duration_us. All three are read
+    more than once; tables of whole items are best staged before, as in ``word_pieces``."""
     eps = rules.EPS_US
-    decisions, edits = stage(decisions.select("media_id", unit, "start_ms", "end_ms", "speed_pct"), "decisions"), stage(edits.select("media_id", "remove_start_us", "remove_end_us"), "edits")
+    decisions = before_scan(decisions.select("media_id", unit, "start_ms", "end_ms", "speed_pct"), "media_id", "decisions")
+    edits = before_scan(edits.select("media_id", "remove_start_us", "remove_end_us"), "media_id", "edits")
     regions = decisions.select("media_id", (F.col("start_ms") * 1000).alias("r_start"), (F.col("end_ms") * 1000).alias("r_end"), F.col("speed_pct").alias("r_pct"), F.col(unit).alias("r_unit"))
     removals = edits.select("media_id", F.col("remove_start_us").alias("x_start"), F.col("remove_end_us").alias("x_end"))
     ends = regions.select("media_id", F.explode(F.array("r_start", "r_end")).alias("at_us")).unionByName(
         removals.select("media_id", F.explode(F.array("x_start", "x_end")).alias("at_us")))
     zero = F.lit(0).cast("long")
-    points = ends.join(durations, "media_id").select("media_id", F.greatest(zero, F.least("duration_us", "at_us")).alias("at_us")).unionByName(
+    points = ends.join(hashed(durations, "media_id"), "media_id").select("media_id", F.greatest(zero, F.least("duration_us", "at_us")).alias("at_us")).unionByName(
         durations.select("media_id", F.explode(F.array(zero, F.col("duration_us"))).alias("at_us"))).distinct()
     by = scans.by_span("at_us", PIECE_BUCKET_US)
     parts = scans.scan(points, "media_id", "at_us", by, to_us=scans.lead("at_us")).filter(F.col("to_us") - F.col("at_us") > eps)
@@ -131,6 +140,15 @@ def build_pieces(decisions: DataFrame, edits: DataFrame, durations: DataFrame, u
         "media_id", "piece_no", "source_start_us", "source_end_us", "speed_pct", unit, "output_start_us", "output_end_us")
 
 
+def word_pieces(words: DataFrame, unit: str = "unit_id", protected: str = rules.PROTECTED_TEXT, tail_us: int = 0) -> DataFrame:
+    """The pieces of each item, which ends ``tail_us`` after its last word. Words are read once: decisions, removals and lengths
+    come from one small table of a row per unit."""
+    d = rhythm(words, unit, protected, with_text=False, with_edits=True)
+    d = stage(d.select("media_id", unit, "start_ms", "end_ms", "speed_pct", "edits", "last_ms"), "decisions")
+    total = d.groupBy("media_id").agg((F.max("last_ms") * 1000 + tail_us).alias("duration_us"))
+    return build_pieces(d, d.select("media_id", F.inline("edits")), total, unit)
+
+
 def map_time(points: DataFrame, pieces: DataFrame, at: str = "at_us", point_id: str = "point_id", out: str = "mapped_us") -> DataFrame:
     """Source time to output time. The first piece that holds the time (0.5 ms either side) maps it; in a removed gap
     the piece before gives its end; before everything it is 0. As-of scan over pieces, with the two pieces before
@@ -164,9 +182,9 @@ def rhythm_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
     ends = words.select("media_id", "pos", F.explode(F.array(
         F.struct((F.col("pos") * 2).cast("long").alias("point_id"), (F.col("start_ms") * 1000).alias("at_us")),
         F.struct((F.col("pos") * 2 + 1).cast("long").alias("point_id"), (F.col("end_ms") * 1000).alias("at_us")))).alias("e")).select("media_id", "pos", "e.*")
-    m = map_time(ends, stage(pieces, "pieces")).groupBy("media_id", "pos").agg(
+    m = map_time(ends, before_scan(pieces, "media_id", "pieces")).groupBy("media_id", "pos").agg(
         F.min(F.when(F.col("point_id") % 2 == 0, F.col("mapped_us"))).alias("a"), F.min(F.when(F.col("point_id") % 2 == 1, F.col("mapped_us"))).alias("b"))
-    w = words.join(m, ["media_id", "pos"])
+    w = words.join(hashed(m, "media_id"), ["media_id", "pos"])
     w = floor_durations(before_scan(w, "media_id", "mapped"), "media_id", "pos", F.col("a"), F.col("b"), F.lit(0).cast("long"), least=rules.MIN_WORD_MS * 1000)
     return w.withColumnRenamed("output_word_start", "rhythm_start_us").withColumnRenamed("output_word_end", "rhythm_end_us").drop("a", "b")
 
