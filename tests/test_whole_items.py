@@ -1,5 +1,6 @@
 """Tables dealt by item: the same results as block by block, and word tables are not shuffled again."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuemill.catalog import load
 from cuemill.operators import scans, segments
-from cuemill.session import deal, stage, whole
+from cuemill.session import deal, shared_folder, stage, whole
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,26 @@ def test_words_are_made_few_times(spark, name, times):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert made == times
     assert joins == 0 or name not in ("expand_id_range", "audit_cut_plan", "pause_edits", "retained_fillers")
+
+
+@pytest.mark.parametrize("name, times", [("rhythm_pieces", 1), ("audit_pieces", 1), ("map_time", 1), ("rhythm_words", 1), ("remap_words", 0), ("map_anchors", 0)])
+def test_few_tables_are_staged(spark, name, times):
+    """Each staged table is written, read and shuffled again: only decisions are, which pieces need several times."""
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    load()[name].run(spark, SF)
+    assert len(set(os.listdir(folder)) - before) == times
+
+
+def test_reveals_make_words_few_times(spark):
+    plan = load()["audit_reveals"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(filter") <= 4
+
+
+def test_anchors_of_whole_items(spark):
+    anchors = spark.createDataFrame([(1, 0, ["a", "b", "a"], 5, None), (1, 1, ["x", None], None, 7), (2, 0, ["a"], None, None), (3, 0, [], 1, 1), (4, 0, ["a"], 0, 9)],
+                                    "media_id long, anchor_id long, word_ids array<string>, start_offset_ms long, duration_ms long")
+    mapped = spark.createDataFrame([(1, "a", 10, 20), (1, "b", 30, 45), (1, "c", 50, 90), (2, "b", 1, 2), (4, "a", 3, 4), (4, "a", 2, 9), (1, None, 0, 99)],
+                                   "media_id long, word_id string, mapped_start_ms long, mapped_end_ms long")
+    plain, whole_ = (sorted(map(repr, segments.map_anchors(d(anchors), d(mapped)).collect())) for d in (lambda x: x, lambda x: deal(x, "media_id", 3)))
+    assert plain == whole_ and len(plain) == 5
