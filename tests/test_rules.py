@@ -144,3 +144,28 @@ def test_forbidden_keys_at_any_depth(spark):
     got = {(r.id, r.path) for r in articles.forbidden_keys(spark.createDataFrame(rows, "id int, j string"), "j", ("color",)).collect()}
     path = "".join(f".l{i}[1]" for i in range(11, -1, -1))[1:] + ".color"
     assert got == {(1, path), (2, "color"), (2, "color.color"), (5, "[0].a[0].color")}
+
+
+def test_first_sentence_is_found_without_trying_every_place(spark):
+    import random
+    import time
+
+    from cuemill.functions import rules, text
+
+    def plain(c):
+        t = text.clean_text(c)
+        hit = F.regexp_extract(t, f"(.{{1,80}}?{text.char_class(rules.SENTENCE_ENDS)})", 1)
+        return F.when(t == "", F.lit(rules.MISSING_TEXT)).when(hit != "", F.trim(hit)).otherwise(F.substring(t, 1, 80))
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["?", "。", " ", "\n", "\u0085", "\U0001f600", "a"]) if rnd.random() < share else "b" for _ in range(n)) for n in (0, 1, 2, 5, 90, 300) for share in (0.01, 0.1, 0.6) for _ in range(40)]
+    d = spark.createDataFrame([(x,) for x in [*texts, None]], "t string")
+    assert d.filter(~plain("t").eqNullSafe(text.first_sentence("t"))).count() == 0
+    long = spark.createDataFrame([("word " * 400_000,)], "t string")
+    spent = []
+    for f in (plain, text.first_sentence):
+        long.select(f("t")).collect()
+        began = time.time()
+        long.select(f("t")).collect()
+        spent.append(time.time() - began)
+    assert spent[1] * 2 < spent[0]
