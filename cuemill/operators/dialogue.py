@@ -45,7 +45,7 @@ def verify_quotes(evidence: DataFrame, sources: DataFrame, source_id: str = "sou
     return j.withColumn("found", F.col("offset") > 0).withColumn("line", F.when(F.col("offset") > 0, line)).drop("__t")
 
 
-def find_quotes(quotes: DataFrame, sources: DataFrame, quote_id: str = "item_id", source_id: str = "doc_id", window: int = 8, block_chars: int = 4096) -> DataFrame:
+def find_quotes(quotes: DataFrame, sources: DataFrame, quote_id: str = "item_id", source_id: str = "doc_id", window: int = 8, block_chars: int = 1 << 14) -> DataFrame:
     """Where quotes of any length stand word for word in any source: quote_id, source_id, offset (from 1, the first place).
 
     Every quote of at least ``window`` characters is posted under one of its grams, the one that fewest other quotes hold; shorter
@@ -63,7 +63,10 @@ def find_quotes(quotes: DataFrame, sources: DataFrame, quote_id: str = "item_id"
     blocks = t.select("__s", F.explode(F.sequence(F.lit(1), F.length("__t"), F.lit(block_chars))).alias("__from"), "__t")
     blocks = blocks.select("__s", F.substring(F.col("__t"), F.col("__from"), F.lit(block_chars + window - 1)).alias("__b"))
     cut = blocks.select("__s", "__b", F.explode(sizes).alias("__size")).filter(F.length("__b") >= F.col("__size"))
-    seen = cut.select("__s", F.col("__size").alias("__z"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__b") - F.col("__size") + 1), lambda i: F.substring(F.col("__b"), i, F.col("__size"))))).alias("__w"))
+    # All grams of a block in one pass: a substring would be counted off from the block's start for each. A pair of surrogates may
+    # give a gram that begins inside it; that is one candidate more at most.
+    every = F.concat(F.lit("(?s)(?=(.{"), F.col("__size").cast("string"), F.lit("}))"))
+    seen = cut.select("__s", F.col("__size").alias("__z"), F.explode(F.array_distinct(F.regexp_extract_all("__b", every, F.lit(1)))).alias("__w"))
     pairs = seen.join(posted.select("__q", "__size", "__key"), (F.col("__w") == F.col("__key")) & (F.col("__z") == F.col("__size"))).select("__s", "__q").distinct()
     met = pairs.join(posted.select("__q", "__quote"), "__q").join(t, "__s").withColumn("offset", F.instr("__t", F.col("__quote")))
     return met.filter("offset > 0").select(F.col("__q").alias(quote_id), F.col("__s").alias(source_id), "offset")
