@@ -97,7 +97,7 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.quality import STATS, quality_rules
 
-    found = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), least_docs=2)
+    found = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), least_docs=2, across=True)
     return found.select("doc_id", *STATS, "base_failed", "kept", "log_ppl", "low", "high")
 
 

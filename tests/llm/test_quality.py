@@ -152,3 +152,86 @@ def test_both_ways_score_unknown_words_alike(spark):
     table = spark.createDataFrame(rows, DOC)
     a, b = ({(r["doc_id"], r["lang"], r["word_chars"]): r["log_ppl"] for r in quality_rules(table, least_docs=2, model_rows=m).collect()} for m in (2_000_000, 0))
     assert a.keys() == b.keys() and all(b[k] == (None if v is None else pytest.approx(v, rel=1e-4)) for k, v in a.items())
+
+
+def running_grams(rows, lang, order, least_docs):
+    """Grams of running text and their plain Kneser-Ney tables: occurrences, contexts over word borders."""
+    count, docs = [Counter() for _ in range(order + 1)], defaultdict(set)
+    for at, (_, text, own, *_) in enumerate(rows):
+        words = [w.decode() for w in (text or "").lower().encode().split()]
+        if (own or "") == lang and words and 100 * sum(c in "#*$%&|<>" for c in text) <= 10 * len(words):
+            line = "\n" + " ".join(words) + " "
+            for i in range(1, len(line)):
+                g = line[max(0, i - order + 1) : i + 1]
+                count[len(g)][g] += 1
+                docs[g].add(at)
+    for c in count:
+        for g in [g for g in c if len(docs[g]) < least_docs]:
+            del c[g]
+    full = [g for c in count for g in c]
+    for k, g, before in {(k, g[-k:], g[-k - 1]) for g in full for k in range(1, len(g))}:
+        count[k][g] += 1
+    tables, weights = [], {}
+    for k in range(1, order + 1):
+        n = [sum(c == x for c in count[k].values()) for x in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0
+        d = [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[0] and n[i - 1] else (0.5, 1.0, 1.5)[i - 1] for i in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, c in count[k].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3) - 1]
+        weights |= {g: freed[g] / total[g] for g in total}
+        p = {}
+        for g, c in count[k].items():
+            below = tables[-1][g[1:]] if tables else 1 / (len(count[1]) + 1)
+            p[g] = (c - d[min(c, 3) - 1]) / total[g[:-1]] + weights[g[:-1]] * below
+        tables.append(p)
+    return {g: math.log(v) for t in tables for g, v in t.items()}, {g: math.log(w) for g, w in weights.items()}
+
+
+@pytest.mark.parametrize("model_rows, least_docs", [(2_000_000, 1), (0, 1), (2_000_000, 2), (0, 2)])
+def test_running_text_has_the_perplexity_of_a_plain_model(spark, model_rows, least_docs):
+    rows = odd_documents() + [(700, "tane zzq %%% #x# " * 5, "en", "a", 0), (701, "a\x00b ta#ne## so*** ri%%% qq&&", None, "a", 0)]
+    found = quality_rules(spark.createDataFrame(rows, DOC), order=4, model_rows=model_rows, least_docs=least_docs, across=True).collect()
+    assert Counter((r["doc_id"], *[r[s] for s in quality.STATS]) for r in found) == Counter((i, *stats(t)) for i, t, *_ in rows)
+    tables = {lang: running_grams(rows, lang, 4, least_docs) for lang in {r["lang"] for r in found}}
+    text = defaultdict(list)
+    for i, t, lang, *_ in rows:
+        text[i, lang or ""].append(t)
+
+    def log_p(lang, gram):
+        p, backoff = tables[lang]
+        return p[gram] if gram in p else -15.0 if len(gram) == 1 else backoff.get(gram[:-1], 0.0) + log_p(lang, gram[1:])
+
+    def log_ppl(lang, t):
+        words = [w.decode() for w in (t or "").lower().encode().split()]
+        line = "\n" + " ".join(words) + " "
+        return -sum(log_p(lang, line[max(0, i - 3) : i + 1]) for i in range(1, len(line))) / (len(line) - 1) if words else None
+
+    for r in found:
+        want = [log_ppl(r["lang"], t) for t in text[r["doc_id"], r["lang"]]]
+        assert any(r["log_ppl"] is None if w is None else r["log_ppl"] == pytest.approx(w, rel=1e-4) for w in want)
+
+
+def test_the_order_of_words_tells(spark):
+    """Words that end in a vowel and words that end in a consonant take turns everywhere but in one document."""
+    import random
+
+    from cuemill.llm import queries
+
+    rng = random.Random(5)
+    word = lambda end: "".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(1, 6))) + rng.choice(end)
+    turns = lambda: [word("aeiou" if i % 2 else "tnrsl") for i in range(80)]
+    start = {"aeiou": "tnrsl", "tnrsl": "aeiou"}
+    linked = lambda ws: [rng.choice(start["aeiou" if w[-1] in "aeiou" else "tnrsl"]) + x for w, x in zip(ws, ws[1:])]
+    rows = [(i, " ".join(linked(turns())), "en", "a", 0) for i in range(120)]
+    mixed = linked(turns())
+    mixed = [w for w in mixed if w[-1] in "aeiou"] + [w for w in mixed if w[-1] not in "aeiou"]
+    table = spark.createDataFrame(rows + [(500, " ".join(mixed), "en", "a", 0)], DOC)
+    seen = {}
+    original, queries.table = queries.table, lambda *_: table
+    try:
+        seen = {r["doc_id"]: r["kept"] for r in queries.QUERIES["op6_quality_rules"](spark, "").collect()}
+    finally:
+        queries.table = original
+    assert not seen[500] and sum(seen[i] for i in range(120)) >= 114
