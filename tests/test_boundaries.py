@@ -105,3 +105,25 @@ def test_against_a_walk(spark):
         mine = sorted((r.seg_no, r.refined_start_us, r.refined_end_us, names[r.entry_strategy], r.entry_clean, r.tail_clear) for r in got if r.media_id == media)
         assert mine == want[media], media
     assert {x[3] for m in want.values() for x in m} == {"splice", "onset", "quiet"}
+
+
+def test_only_samples_near_a_splice_are_ordered(spark, monkeypatch):
+    """Two splices, at 0.95 s and 49.95 s, in a minute of samples; entries in between are no splices."""
+    seen = []
+    facts = fr.crossing_facts
+    monkeypatch.setattr(fr, "crossing_facts", lambda samples: seen.append(samples) or facts(samples))
+    a = [950_000, 20_000_000, 49_950_000]
+    segments = spark.createDataFrame(
+        [(1, n + 1, t, t + 800_000, t + 800_000, None, "after-filler", t, t - 5_000, True, n != 1, 0, 60_000_000) for n, t in enumerate(a)],
+        "media_id long, seg_no long, source_start_us long, source_end_us long, last_end_us long, next_word_start_us long, entry_context string, first_start_us long, "
+        "predecessor_end_us long, discarded boolean, continuous boolean, window_start_us long, window_end_us long")
+    samples = spark.range(60_000).selectExpr("1L AS media_id", "id AS i", "IF(id % 7 < 3, 5, -5) AS v")
+    frames = spark.range(6_000).selectExpr("1L AS media_id", "id AS frame", "false AS smoothed")
+    regions = spark.createDataFrame([], "media_id long, region_start_us long, region_end_us long, peak double")
+    got = {r.seg_no: r.refined_start_us for r in fr.refine_boundaries(segments, frames, regions, samples, sample_rate=1000).collect()}
+    # The sign changes at 0 and 3 modulo 7.
+    for n in (1, 3):
+        at = a[n - 1] // 1000
+        near = min((i for i in range(at - 4, at + 3) if i % 7 in (0, 3)), key=lambda i: (abs(i - at), i))
+        assert got[n] == near * 1000
+    assert 0 < seen[0].count() <= 4 * fr.SAMPLE_CELL
