@@ -127,3 +127,35 @@ def test_only_samples_near_a_splice_are_ordered(spark, monkeypatch):
         near = min((i for i in range(at - 4, at + 3) if i % 7 in (0, 3)), key=lambda i: (abs(i - at), i))
         assert got[n] == near * 1000
     assert 0 < seen[0].count() <= 4 * fr.SAMPLE_CELL
+
+
+def test_quiet_ranges_hold_the_quiet_frames_and_no_others(spark, monkeypatch):
+    """Over many blocks of eight frames, for items that begin anywhere."""
+    monkeypatch.setattr(fr, "FRAME_BUCKET", 8)
+    rnd = random.Random(9)
+    active = {(m, f): rnd.random() < 0.3 for m in range(4) for f in range(m * 5, 70 + m)}
+    frames = spark.createDataFrame([(m, f, a) for (m, f), a in active.items()], "media_id long, frame long, smoothed boolean")
+    quiet = lambda m, f, none: not active.get((m, f), none)
+    for run in (1, 2, 3):
+        got = fr.quiet_facts(frames, "smoothed", run).collect()
+        spread = lambda a, b: sorted((r.media_id, f) for r in got for f in range(r[a], r[b] + 1))
+        assert spread("opens", "opens_to") == sorted(k for k in active if all(quiet(k[0], k[1] + i, True) for i in range(run)))
+        assert spread("settled", "settled_to") == sorted(k for k in active if quiet(*k, True) and quiet(k[0], k[1] - 1, False))
+        assert all(r[a] > r[b] or r[a] // 8 == r[b] // 8 for r in got for a, b in (("opens", "opens_to"), ("settled", "settled_to")))
+
+
+def test_frames_are_swept_as_ranges(spark, monkeypatch):
+    """A long silence is one fact a block, not one a frame."""
+    seen = []
+    sweep = fr.joins.sweep
+    monkeypatch.setattr(fr.joins, "sweep", lambda *a: seen.append(a[4]) or sweep(*a))
+    segments = spark.createDataFrame(
+        [(1, 1, 1_000_000, 1_800_000, 1_800_000, None, "opening", 1_000_000, None, False, False, 0, 60_000_000)],
+        "media_id long, seg_no long, source_start_us long, source_end_us long, last_end_us long, next_word_start_us long, entry_context string, first_start_us long, "
+        "predecessor_end_us long, discarded boolean, continuous boolean, window_start_us long, window_end_us long")
+    samples = spark.range(600).selectExpr("1L AS media_id", "id AS i", "1 AS v")
+    frames = spark.range(6_000).selectExpr("1L AS media_id", "id AS frame", "id BETWEEN 100 AND 181 AS smoothed")
+    regions = spark.createDataFrame([], "media_id long, region_start_us long, region_end_us long, peak double")
+    got = fr.refine_boundaries(segments, frames, regions, samples, sample_rate=10).collect()
+    assert [(r.refined_start_us, r.refined_end_us, r.entry_clean, r.tail_clear) for r in got] == [(970_000, 1_920_000, True, True)]
+    assert seen[0]["tail"][0].count() <= 4 and seen[1]["quiet"][0].count() <= 4

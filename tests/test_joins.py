@@ -79,3 +79,22 @@ def test_nearer_prefers_the_earlier(spark):
     side = "struct<at:long>"
     df = spark.createDataFrame([((3,), (5,)), (None, (5,)), ((3,), None), ((1,), (5,))], f"k_before {side}, k_after {side}")
     assert [x[0] and x[0].at for x in df.select(joins.nearer("k", F.lit(4))).collect()] == [3, 5, 3, 5]
+
+
+def test_sweep_over_ranges_is_a_sweep_over_their_places(spark):
+    rnd = random.Random(11)
+    step, width, ranges, places = 3, 60, [], []
+    for media in range(3):
+        at = 0
+        while at < 600:
+            at += rnd.randrange(3, 30, 3)
+            to = min(at + 3 * rnd.randint(0, 8), at // width * width + width - step)
+            ranges.append((media, at, to))
+            places += [(media, x) for x in range(at, to + 1, step)]
+            at = to
+    asks = [(m, n, rnd.randint(0, 620), lo, lo + rnd.randint(0, 70)) for m in range(3) for n, lo in enumerate(rnd.choices(range(600), k=120))]
+    rows = spark.createDataFrame(asks, "media long, no long, at long, lo long, hi long")
+    ask = {"one": (F.lit(True), F.col("at"), F.col("lo"), F.col("hi"))}
+    a = joins.sweep(rows, "media", "no", ask, {"one": (spark.createDataFrame(places, "media long, at long"), width)})
+    b = joins.sweep(rows, "media", "no", ask, {"one": (spark.createDataFrame(ranges, "media long, at long, to long"), width)}, {"one": step})
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
