@@ -213,6 +213,35 @@ def test_running_text_has_the_perplexity_of_a_plain_model(spark, model_rows, lea
         assert any(r["log_ppl"] is None if w is None else r["log_ppl"] == pytest.approx(w, rel=1e-4) for w in want)
 
 
+@pytest.mark.parametrize("order, few", [(2, 100), (3, 900), (5, 12_000)])
+def test_a_model_in_parts_scores_alike_and_writes_no_grams_of_documents(spark, order, few):
+    """Each part is smaller than the model. What is written beyond the model is small beside the texts."""
+    import os
+    import random
+
+    from cuemill.session import shared_folder
+
+    rng = random.Random(8)
+    rows = odd_documents() + [(700 + i, " ".join("".join(rng.choice("aeioutnrslé漢") for _ in range(rng.randint(1, 7))) for _ in range(400)), "en", "a", 0) for i in range(120)]
+    table = spark.createDataFrame(rows + rows[-2:], DOC).coalesce(2)
+    folder, size, found = shared_folder(spark), {}, {}
+    for model_rows in (2_000_000, few):
+        before = set(os.listdir(folder))
+        found[model_rows] = quality_rules(table, order=order, least_docs=2, model_rows=model_rows, across=True)
+        new = [n for n in os.listdir(folder) if n not in before]
+        model = [n for n in new if n.startswith("model-")][0]
+        # The model's own tables are the same both ways.
+        others = [n for n in new if n.rsplit("-", 1)[0] not in ("grams", "counts", "discounts", "parts", "model")]
+        size[model_rows] = sum(os.path.getsize(os.path.join(top, f)) for n in others for top, _, fs in os.walk(os.path.join(folder, n)) for f in fs if f.endswith(".parquet"))
+    name = lambda r: repr((r["doc_id"], r["th"], r["lang"], *[r[s] for s in quality.STATS], r["base_failed"], r["kept"]))
+    a, b = (sorted((name(r), -1.0 if r["log_ppl"] is None else r["log_ppl"]) for r in found[m].collect()) for m in (2_000_000, few))
+    assert len(a) == len(rows) + 2 and [x for x, _ in a] == [x for x, _ in b] and [y for _, y in a] == pytest.approx([y for _, y in b], rel=1e-6)
+    assert size[few] - size[2_000_000] < sum(len((r[1] or "").encode()) for r in rows) / 4
+    grams = spark.read.parquet(os.path.join(folder, model))
+    whole, one = quality.HashedModel.of(grams, order), quality.HashedModel.of(grams, order, 1, 4)
+    assert len(one.key) < len(whole.key) or order == 2
+
+
 def test_the_order_of_words_tells(spark):
     """Words that end in a vowel and words that end in a consonant take turns everywhere but in one document."""
     import random
