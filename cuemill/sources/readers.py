@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import numbers, text
 from cuemill.operators import articles
+from cuemill.session import stage
 
 WORD = "struct<text:string,start_time:double,end_time:double>"
 UTTERANCES = f"array<struct<text:string,start_time:double,end_time:double,words:array<{WORD}>>>"
@@ -132,12 +133,82 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return articles.article_meta(raw)
 
 
+#: Larger files are fingerprinted as a stream of lines: ``binaryFile`` holds a file in memory, and none above 2 GB.
+WHOLE_FILE_BYTES = 16 << 20
+#: Suffixes of files that the text reader would unpack.
+PACKED = r"(?i)\.(gz|bz2|deflate|snappy|lz4|zst|zstd|passthrough)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
 def fingerprint(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Path, size and sha256 of files. ``binaryFile`` reads a file whole, so keep very large media out with ``glob``."""
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, size and sha256 of files. Files above ``WHOLE_FILE_BYTES`` are streamed, one task each, and may have any size; packed
+    ones (``PACKED``) are read whole, so keep those of 2 GB and more out with ``glob``."""
+
+    def files(kind: str):
+        r = spark.read.format(kind)
+        return r.option("pathGlobFilter", glob) if glob else r
+
+    # Conditions on metadata alone leave files out before they are opened.
+    streamed = (F.col("_metadata.file_size") > WHOLE_FILE_BYTES) & ~F.col("_metadata.file_path").rlike(PACKED)
+    listed = files("binaryFile").load(path)
+    small = listed.filter(~streamed).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    large = listed.filter(streamed).select("path", F.col("length").alias("size_bytes"), F.col("_metadata.file_path").alias("file_path"))
+    most = large.agg(F.max("size_bytes")).first()[0]
+    if most is None:
+        return small
+    # A file is one split, and no other shares its partition, so a task gets its lines in order.
+    whole_files = {"spark.sql.files.maxPartitionBytes": most, "spark.sql.files.openCostInBytes": most}
+    before = {k: spark.conf.get(k) for k in whole_files}
+    try:
+        for k, v in whole_files.items():
+            spark.conf.set(k, str(v))
+        line = F.concat(F.col("value").cast("binary"), F.lit(b"\n"))
+        lines = files("text").option("lineSep", "\n").load(path).filter(streamed).select("_metadata.file_path", "_metadata.file_size", line.alias("line"))
+        found = stage(lines.mapInArrow(line_digests, "file_path string, sha256 string"), "digests")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return small.unionByName(large.join(found, "file_path").select("path", "size_bytes", "sha256"))
+
+
+def line_digests(batches):
+    """(file_path, sha256) of whole files from rows (file_path, file_size, line), the lines in order, each with its line feed. Their
+    size tells whether the last one has a line feed in the file, and whether the reader has left out a byte order mark."""
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def done(path, size, n, plain, marked):
+        for digest, missing in ((plain, size - n), (marked, size - n - len(BYTE_ORDER_MARK))):
+            if missing in (0, -1):
+                digest.update(b"\n" * (missing + 1))
+                return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], ["file_path", "sha256"])
+        raise ValueError(f"{path}: {n} bytes read, {size} expected")
+
+    at = size = None
+    for batch in batches:
+        paths, sizes, lines = batch.columns
+        if pa.types.is_binary(lines.type):
+            lines = lines.cast(pa.large_binary())
+        files, begin = pc.run_end_encode(paths), 0
+        for end, path in zip(files.run_ends.to_pylist(), files.values.to_pylist()):
+            if path != at:
+                if at is not None:
+                    yield done(at, size, n, *digests)
+                at, size, n, digests = path, sizes[begin].as_py(), 0, (hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK))
+            part = lines.slice(begin, end - begin)
+            offsets = memoryview(part.buffers()[1]).cast("B").cast("q")
+            data = memoryview(part.buffers()[2])[offsets[part.offset] : offsets[part.offset + len(part)]]
+            for digest in digests:
+                # The line feed at the end is written when it is known to be in the file.
+                if n:
+                    digest.update(b"\n")
+                digest.update(data[:-1])
+            n += len(data)
+            begin = end
+    if at is not None:
+        yield done(at, size, n, *digests)
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

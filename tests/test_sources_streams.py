@@ -99,3 +99,30 @@ def test_text_files_round_trip(spark, tmp_path):
     (tmp_path / "img" / "a.bin").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 20)
     r = readers.sniff_images(spark.read.format("binaryFile").load(str(tmp_path / "img"))).first()
     assert (r.image_type, r.needs_conversion) == ("image/png", False)
+
+
+def test_files_beyond_the_limit_of_whole_reads_are_fingerprinted(spark, tmp_path, monkeypatch):
+    """``binaryFile`` refuses files above a limit (2 GB by default); line ends, a byte order mark and suffixes change no digest."""
+    import gzip
+    import hashlib
+    import os
+    import random
+
+    noise = random.Random(3).randbytes
+    files = {
+        "plain.bin": noise(60_000), "feed at end.bin": noise(30_000) + b"\n", "mark%20.bin": b"\xef\xbb\xbf" + noise(30_000) + b"x", "mark and feed.bin": b"\xef\xbb\xbf" + noise(30_000) + b"\n",
+        "returns.bin": b"\r\n" * 9_000 + b"\r", "feeds.bin": b"\n" * 12_000, "no feed.bin": b"\0" * 500_000, "utf16.bin": "é漢\xff".encode("utf-16") * 2_000, "tiny.bin": b"x",
+    }
+    packed = {"packed.bin.gz": gzip.compress(noise(4_000))}
+    for name, content in (files | packed).items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(readers, "WHOLE_FILE_BYTES", 3_000, raising=False)
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5000")
+    try:
+        for glob, want in (("*.bin", files), (None, files | packed)):
+            got = {os.path.basename(r.path): (r.size_bytes, r.sha256) for r in readers.fingerprint(spark, str(tmp_path), glob).collect()}
+            assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == splits
