@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuemill.catalog import load
-from cuemill.operators import scans, segments
+from cuemill.catalog import load, views
+from cuemill.operators import audits, scans, segments
 from cuemill.session import deal, shared_folder, stage, whole
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,42 @@ def test_anchors_of_whole_items(spark):
                                    "media_id long, word_id string, mapped_start_ms long, mapped_end_ms long")
     plain, whole_ = (sorted(map(repr, segments.map_anchors(d(anchors), d(mapped)).collect())) for d in (lambda x: x, lambda x: deal(x, "media_id", 3)))
     assert plain == whole_ and len(plain) == 5
+
+
+def test_reveals_make_words_once_and_units_without_them(spark):
+    """Words are made once in the plan and once in the table staged before it; units are cut from the texts."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load()["audit_reveals"].run(spark, SF)._jdf.queryExecution()
+        made, joins = plan.optimizedPlan().toString().count("Generate posexplode(filter"), plan.executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert made == 1 and joins == 0
+
+
+def test_unit_rows_are_those_of_the_words(spark, tmp_path):
+    texts = [(1, " ".join("abcdefg"[: i % 7 + 1] * (1 + i % 40) for i in range(25))), (2, "one"), (3, ""), (4, None), (5, " \n a\t\tb "), (6, " ".join("x" for _ in range(24))), (0, " ".join("é漢" * (i % 9) + "z" for i in range(13)))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = views.unit_rows(spark, str(tmp_path)).select("media_id", "unit_id", "lo", "hi", "end_ms", F.array_join("texts", " ").alias("said"))
+    want = views.words(spark, str(tmp_path)).groupBy("media_id", "unit_id").agg(
+        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("end_ms").alias("end_ms"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("said"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 3 + 1 + 1 + 2 + 2
+
+
+def test_reveals_of_whole_items(spark):
+    words = spark.createDataFrame([(m, f"w{i}", i, t, i * 1000, i * 1000 + 500) for m in (1, 2) for i, t in enumerate(["One,", "two", "three", "four", "five"])],
+                                  "media_id long, word_id string, pos int, text string, start_ms long, end_ms long")
+    units = spark.createDataFrame([(1, "s", "a", "state", ["w3", "w2", "w9"], 0, 0), (1, "s", "b", "item", [], 0, 0), (1, "s", "c", "item", None, 0, 0), (1, "s", "d", "state", ["w1"], 0, 9000), (2, "s", "a", "item", ["w0"], 0, 0)],
+                                  "media_id long, segment_id string, visual_id string, unit string, trigger_word_ids array<string>, chapter_start_ms long, chapter_end_ms long")
+    ask = lambda m, n, v, unit, said, *ids: (m, n, "s", v, unit, "claim", said, "spoken here", n != 6, *ids)
+    events = spark.createDataFrame([
+        ask(1, 1, "a", "state", "two THREE!", "w1", "w2", "w1", "w2", "w3", "w4"), ask(1, 2, "a", "state", "x", "w1", "w2", "w1", "w2", "w2", "w4"), ask(1, 3, "b", "state", "one", "w0", "w0", "w0", "w0", "w4", "w4"),
+        ask(1, 4, "none", "item", "one", "w0", "w0", "w0", "w0", "w0", "w0"), ask(1, 5, "d", "state", "one", "w0", "w7", None, "w0", "w0", "w0"), ask(2, 6, "a", "item", "two", "w2", "w1", "w0", "w0", "w1", "w4")],
+        "media_id long, event_no long, segment_id string, visual_id string, unit string, role string, spoken_excerpt string, timing_reason string, spoiler_ok boolean, evidence_start_word_id string, "
+        "evidence_end_word_id string, earliest_allowed_word_id string, trigger_word_id string, fully_visible_by_word_id string, hold_until_word_id string")
+    plain, dealt = (sorted(((r.media_id, r.subject_id, r.rule.removeprefix("semantic_")) for r in audits.audit_reveals(d(events), d(units), d(words)).collect())) for d in (lambda x: x, lambda x: deal(x, "media_id", 3)))
+    assert plain == dealt == [
+        (1, "2", "reveal_duplicate_visual"), (1, "3", "reveal_unit_mismatch"), (1, "3", "trigger_differs_from_render"), (1, "4", "reveal_unknown_visual"), (1, "5", "reveal_word_unmapped"),
+        (1, "c", "reveal_visual_uncovered"), (2, "6", "evidence_range_reversed")]
