@@ -242,6 +242,22 @@ def test_a_model_in_parts_scores_alike_and_writes_no_grams_of_documents(spark, o
     assert len(one.key) < len(whole.key) or order == 2
 
 
+def test_keys_are_ordered_stably_also_where_their_first_bits_are_the_same():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for key in (rng.integers(0, 1 << 64, 5_000, np.uint64), rng.integers(0, 300, 5_000).astype(np.uint64), rng.integers(0, 300, 5_000).astype(np.uint64) << np.uint64(50), np.array([7], np.uint64)):
+        assert (quality.by_key(key) == np.argsort(key, kind="stable")).all()
+
+
+def test_keeping_documents_with_a_model_in_parts(spark):
+    """The first stage of the pipeline keeps the same documents, whole."""
+    rows = odd_documents()
+    table = spark.createDataFrame(rows, DOC).coalesce(2)
+    a, b = (sorted(map(repr, keep_quality(table, least_docs=2, across=True, model_rows=m).collect())) for m in (2_000_000, 2_000))
+    assert a == b and 0 < len(a) < len(rows)
+
+
 def test_the_order_of_words_tells(spark):
     """Words that end in a vowel and words that end in a consonant take turns everywhere but in one document."""
     import random
